@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as K
+from .lexical import contains_any
 
 
 def has_pattern(text: Column, pattern: str) -> Column:
-    return text.rlike("(?d)" + pattern)
+    return contains_any(text, K.CONTEXT_NEEDS[pattern]) & text.rlike("(?d)" + pattern)
 
 
 def has_command(commands: Column, names: list[str]) -> Column:

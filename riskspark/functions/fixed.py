@@ -150,6 +150,66 @@ SIGNATURES = [
      "explanatory comment"),
 ]
 
+# Substrings a text must contain before a pattern can match: every group must be
+# present, any member of a group is enough.  Read off the patterns above; they
+# only save regex runs.
+SIGNATURE_NEEDS = {
+    "rm_rf_root": [["rm"], ["-"]],
+    "rm_rf_generic": [["rm"], ["-"]],
+    "no_preserve_root": [["--no-preserve-root"]],
+    "dd_to_device": [["of=/dev/"]],
+    "mkfs_format": [["mkfs"], ["/dev/"]],
+    "fork_bomb": [[":()"]],
+    "fork_bomb_loose": [["}", "true", "((;;))"]],
+    "overwrite_block_device": [["/dev/"], [">"]],
+    "chmod_777": [["777"]],
+    "chmod_recursive_root": [["chmod"]],
+    "curl_pipe_shell": [["|"], ["curl", "wget", "fetch"]],
+    "remote_exec_eval": [["eval"], ["curl", "wget"]],
+    "wget_o_exec": [["wget"], ["|"]],
+    "reverse_shell_bash": [["/dev/tcp/"]],
+    "reverse_shell_nc": [["nc"], ["sh"], ["-"]],
+    "reverse_shell_python": [["python"], ["socket"]],
+    "dev_tcp_redirect": [["/dev/tcp/", "/dev/udp/"]],
+    "base64_decode_exec": [["base64"], ["|"]],
+    "base64_decode_present": [["base64"]],
+    "eval_present": [["eval"]],
+    "hex_decode_exec": [["\\x"], ["xxd", "printf"]],
+    "char_obfuscation": [["$("], ["printf"]],
+    "string_reverse_exec": [["rev"]],
+    "sudo_present": [["sudo"]],
+    "sudo_nopasswd": [["NOPASSWD", "/etc/sudoers"]],
+    "setuid_bit": [["chmod"]],
+    "crontab_edit": [["cron"]],
+    "systemd_persistence": [["/etc/systemd/system/", "systemctl"]],
+    "rc_local_persistence": [[">"], ["/etc/rc.local", "/.bashrc", "/.bash_profile", "/.profile"]],
+    "ssh_authorized_keys": [[".ssh/authorized_keys"]],
+    "etc_write": [["/etc/"], [">"]],
+    "iptables_flush": [["iptables", "ufw"]],
+    "history_clear": [["history", "HISTFILE"]],
+    "data_exfil_curl": [["curl", "wget"], ["http", "ftp"], ["-"]],
+    "etc_passwd_read_send": [["/etc/passwd", "/etc/shadow"], ["|"]],
+    "wipe_logs": [["/var/log/"]],
+    "kill_security_tools": [["auditd", "firewalld", "apparmor", "selinux"]],
+    "shebang_present": [["#!"]],
+    "set_euo_pipefail": [["set"], ["-"]],
+    "comment_density_marker": [["#"]],
+}
+CONTEXT_NEEDS = {
+    PRIVILEGE_PATTERN: ["NOPASSWD", "/etc/sudoers", "chmod"],
+    DEV_NET_PATTERN: ["/dev/"],
+    RECURSIVE_FLAG_PATTERN: ["-"],
+    BROAD_TARGET_PATTERN: ["/", "~", "$HOME"],
+    RM_FLAG_PATTERN: ["rm"],
+    DEVICE_WRITE_PATTERN: ["of=/dev/", "mkfs", "--no-preserve-root", "/dev/sd"],
+    SHRED_PATTERN: ["shred", "wipefs"],
+    BASE64_PATTERN: ["base64"],
+    EVAL_PATTERN: ["eval"],
+    HEX_RUN_PATTERN: ["\\x"],
+    PRINTF_OCTAL_PATTERN: ["printf"],
+    REVERSE_PATTERN: ["rev", "tr"],
+}
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: risk model
 # ---------------------------------------------------------------------------

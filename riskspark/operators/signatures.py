@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K
+from ..functions.lexical import contains_any
 
 CATEGORIES = [c for c in K.SIGNATURE_CATEGORIES]
 HIT_TYPE = "array<struct<id:string,category:string,weight:double,rationale:string>>"
@@ -26,7 +27,16 @@ def _flag(sig_id: str) -> str:
 def flag_signatures(df: DataFrame, text: str = "script") -> DataFrame:
     """One boolean column ``sig_<id>`` per signature."""
     t = F.col(text)
-    return df.withColumns({_flag(s[0]): t.rlike("(?dm)" + s[3]) for s in K.SIGNATURES})
+    return df.withColumns({_flag(s[0]): matches(t, s[0], s[3]) for s in K.SIGNATURES})
+
+
+def matches(text: Column, sig_id: str, pattern: str) -> Column:
+    """Regex search behind plain substring tests that any match must pass."""
+    tests = [contains_any(text, group) for group in K.SIGNATURE_NEEDS[sig_id]]
+    guard = tests[0]
+    for test in tests[1:]:
+        guard = guard & test
+    return guard & text.rlike("(?dm)" + pattern)
 
 
 def drop_flags(df: DataFrame) -> DataFrame:
