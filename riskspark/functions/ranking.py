@@ -19,7 +19,13 @@ SCORE_LOGIT_LIMIT = 40.0
 
 def hash_bucket(hex_text: Column) -> Column:
     """The leading hex digits: an even cut of anything ordered by a digest."""
-    return F.substring(hex_text, 1, HASH_BUCKET_DIGITS)
+    return F.coalesce(F.substring(hex_text, 1, HASH_BUCKET_DIGITS), F.lit(""))
+
+
+def _never_null(bucket: Column) -> Column:
+    """A join key that cannot be null gets no inferred ``is not null`` filter; such
+    a filter would copy the whole score expression below the projections."""
+    return F.coalesce(bucket.cast("int"), F.lit(0))
 
 
 def score_bucket(score: Column) -> Column:
@@ -28,13 +34,13 @@ def score_bucket(score: Column) -> Column:
     inner = F.ln(score / (F.lit(1.0) - score))
     clamped = F.when(score <= 0, -edge).when(score >= 1, edge).otherwise(
         F.greatest(-edge, F.least(edge, inner)))
-    return F.floor(clamped * SCORE_BUCKETS_PER_LOGIT).cast("int")
+    return _never_null(F.floor(clamped * SCORE_BUCKETS_PER_LOGIT))
 
 
 def value_bucket(value: Column) -> Column:
     """A coarse, order-keeping bucket of any double, even over its logarithm."""
     size = F.floor(F.ln(F.lit(1.0) + F.abs(value)) * SCORE_BUCKETS_PER_LOGIT)
-    return F.when(value < 0, -size).otherwise(size).cast("int")
+    return _never_null(F.when(value < 0, -size).otherwise(size))
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -69,7 +75,8 @@ def running(df: DataFrame, group: list[str], bucket: Column, order: str, sums: l
             descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Add running totals of ``sums`` along ``order`` (one row per group and value).
 
-    With ``descending`` the totals run from the highest value down.
+    With ``descending`` the totals run from the highest value down.  The sum over
+    the whole group comes along as ``all_<name>``.
     """
     keys = group + ["_bucket"]
     rows = df.withColumn("_bucket", bucket)
@@ -81,7 +88,8 @@ def running(df: DataFrame, group: list[str], bucket: Column, order: str, sums: l
         Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+        *keys, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(Window.partitionBy(*group)).alias(f"all_{s}") for s in sums])
     inside = Window.partitionBy(*keys).orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({f"_c_{s}": F.sum(s).over(inside) for s in sums}).join(offsets, keys)

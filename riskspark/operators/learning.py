@@ -262,9 +262,9 @@ def concept_drift(features: DataFrame, category: str = "obfuscated", epochs: int
 
 def flips_to_safe(features: DataFrame, model: RiskModel = RiskModel(), max_k: int = 50,
                   lr: float = STEP_RATE, l2: float = L2) -> DataFrame:
-    """Per dangerous row above the threshold: how many updates with its own
-    features labelled safe push its risk below the threshold (null: more than
-    ``max_k``).  A fold over an array per row; rows are independent.
+    """Per dangerous row: how many updates with its own features labelled safe push
+    its risk below the threshold (0: already below, null: more than ``max_k``).
+    A fold over an array per row; rows are independent.
     """
     names = model.features
     x = F.array(*[F.col(f) for f in names])
@@ -287,9 +287,10 @@ def flips_to_safe(features: DataFrame, model: RiskModel = RiskModel(), max_k: in
 
     rows = features.filter("label = 1").withColumn("_x", x)
     first = risk_of(w0, F.lit(float(model.bias)))
-    rows = rows.withColumn("start_risk", first).filter(F.col("start_risk") >= model.threshold)
+    rows = rows.withColumn("start_risk", first)
     start = state(w0, F.lit(float(model.bias)), F.col("start_risk"), F.lit(None).cast("int"))
     flips = F.aggregate(F.sequence(F.lit(1), F.lit(max_k)), start, update, lambda acc: acc["flip"])
+    flips = F.when(F.col("start_risk") < model.threshold, F.lit(0)).otherwise(flips)
     return rows.select("id", "category", "template", "start_risk", flips.alias("updates_to_flip"))
 
 

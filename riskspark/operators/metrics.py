@@ -57,77 +57,77 @@ def classification_metrics(pred: DataFrame, keys: list[str] = [], label: str = "
 # -- curves ------------------------------------------------------------------
 def score_counts(scored: DataFrame, keys: list[str] = [], score: str = "risk",
                  label: str = "label") -> DataFrame:
-    """(score, pos, neg) per distinct score with totals at or above it."""
+    """(score, pos, neg) per distinct score with totals at or above it.
+
+    One aggregation reads the rows; ordering happens on distinct scores, cut into
+    score buckets, so no class is ever sorted in one task.
+    """
     counts = scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    cum = ranking.running(counts, keys, ranking.score_bucket(F.col("score")), "score",
-                          ["pos", "neg"], descending=True)
-    totals = scored.groupBy(*keys).agg(
-        F.count_if(F.col(label) == 1).alias("all_pos"), F.count_if(F.col(label) == 0).alias("all_neg"))
-    return cum.join(totals, keys) if keys else with_row(cum, totals)
+    return ranking.running(counts, keys, ranking.score_bucket(F.col("score")), "score",
+                           ["pos", "neg"], descending=True)
+
+
+def _with_anchor(curve: DataFrame, keys: list[str], point: Column, anchor: Column) -> DataFrame:
+    """The curve's points, and ``anchor`` next to the highest score of each key."""
+    highest = (F.col("cum_pos") - F.col("pos") + F.col("cum_neg") - F.col("neg")) == 0
+    both = F.when(highest, F.array(anchor, point)).otherwise(F.array(point))
+    return curve.select(*keys, F.explode(both).alias("p")).select(*keys, "p.*")
 
 
 def roc_curve(scored: DataFrame, keys: list[str] = [], score: str = "risk",
               label: str = "label") -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score, plus the (0, 0) start."""
-    points = score_counts(scored, keys, score, label).select(
-        *keys, (F.col("cum_neg") / F.col("all_neg")).alias("fpr"),
-        (F.col("cum_pos") / F.col("all_pos")).alias("tpr"), F.col("score").alias("threshold"))
-    start = scored.groupBy(*keys).agg(
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-        F.lit(float("inf")).alias("threshold"))
-    return points.unionByName(start)
+    c = F.col
+    point = F.struct(ratio(c("cum_neg"), c("all_neg")).alias("fpr"),
+                     ratio(c("cum_pos"), c("all_pos")).alias("tpr"), c("score").alias("threshold"))
+    start = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+                     F.lit(float("inf")).alias("threshold"))
+    return _with_anchor(score_counts(scored, keys, score, label), keys, point, start)
 
 
 def pr_curve(scored: DataFrame, keys: list[str] = [], score: str = "risk",
              label: str = "label") -> DataFrame:
     """(precision, recall, threshold) at every distinct score, plus (1, 0)."""
-    points = score_counts(scored, keys, score, label).select(
-        *keys, (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        (F.col("cum_pos") / F.col("all_pos")).alias("recall"), F.col("score").alias("threshold"))
-    end = scored.groupBy(*keys).agg(
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-        F.lit(None).cast("double").alias("threshold"))
-    return points.unionByName(end)
-
-
-def roc_auc(scored: DataFrame, keys: list[str] = [], score: str = "risk",
-            label: str = "label") -> DataFrame:
-    """Area under the ROC curve; null with one class only.
-
-    A distinct score adds neg * (positives above + pos / 2): the trapezoid with
-    ties, as a plain sum over the score table.
-    """
     c = F.col
-    above = c("cum_pos") - c("pos")
-    area = F.sum(c("neg") * (above.cast("double") + c("pos") / F.lit(2.0)))
-    grouped = score_counts(scored, keys, score, label).groupBy(*keys).agg(
-        area.alias("_area"), F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n"))
-    auc = F.when((c("_p") > 0) & (c("_n") > 0), c("_area") / (c("_p").cast("double") * c("_n")))
-    return grouped.select(*keys, auc.alias("roc_auc"))
+    point = F.struct((c("cum_pos") / (c("cum_pos") + c("cum_neg"))).alias("precision"),
+                     ratio(c("cum_pos"), c("all_pos")).alias("recall"), c("score").alias("threshold"))
+    end = F.struct(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
+                   F.lit(None).cast("double").alias("threshold"))
+    return _with_anchor(score_counts(scored, keys, score, label), keys, point, end)
 
 
-def pr_auc(scored: DataFrame, keys: list[str] = [], score: str = "risk",
-           label: str = "label") -> DataFrame:
-    """Trapezoid area under precision over recall, anchored at (recall 0, precision 1).
+def ranking_metrics(scored: DataFrame, keys: list[str] = [], score: str = "risk",
+                    label: str = "label") -> DataFrame:
+    """roc_auc and pr_auc per key; null with one class only.
 
-    The previous point is the running total before this score, so no ordered
-    pass over the whole curve is needed.
+    Trapezoids as plain sums over the score table.  ROC: a distinct score adds
+    neg * (positives above + pos / 2).  Precision over recall, anchored at
+    (recall 0, precision 1): the previous point is the total above this score.
     """
     c = F.col
     prev_pos, prev_neg = c("cum_pos") - c("pos"), c("cum_neg") - c("neg")
+    roc_part = c("neg") * (prev_pos.cast("double") + c("pos") / F.lit(2.0))
     here = c("cum_pos") / (c("cum_pos") + c("cum_neg"))
     prev = F.when(prev_pos + prev_neg > 0, prev_pos / (prev_pos + prev_neg)).otherwise(F.lit(1.0))
-    area = F.sum(c("pos") * (here + prev) / F.lit(2.0))
+    pr_part = c("pos") * (here + prev) / F.lit(2.0)
     grouped = score_counts(scored, keys, score, label).groupBy(*keys).agg(
-        area.alias("_area"), F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n"))
-    auc = F.when((c("_p") > 0) & (c("_n") > 0), c("_area") / c("_p"))
-    return grouped.select(*keys, auc.alias("pr_auc"))
+        F.sum(roc_part).alias("_roc"), F.sum(pr_part).alias("_pr"),
+        F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n"))
+    both = (c("_p") > 0) & (c("_n") > 0)
+    return grouped.select(
+        *keys, F.when(both, c("_roc") / (c("_p").cast("double") * c("_n"))).alias("roc_auc"),
+        F.when(both, c("_pr") / c("_p")).alias("pr_auc"))
 
 
-def ranking_metrics(scored: DataFrame, keys: list[str], score: str = "risk",
-                    label: str = "label") -> DataFrame:
-    return roc_auc(scored, keys, score, label).join(pr_auc(scored, keys, score, label), keys)
+def roc_auc(scored: DataFrame, keys: list[str] = [], score: str = "risk",
+            label: str = "label") -> DataFrame:
+    return ranking_metrics(scored, keys, score, label).select(*keys, "roc_auc")
+
+
+def pr_auc(scored: DataFrame, keys: list[str] = [], score: str = "risk",
+           label: str = "label") -> DataFrame:
+    return ranking_metrics(scored, keys, score, label).select(*keys, "pr_auc")
 
 
 # -- threshold ----------------------------------------------------------------
@@ -150,17 +150,24 @@ def tune_threshold(scored: DataFrame, target: str = "f1", max_fpr: float = 0.05,
         *keys, step.cast("int").alias("step"),
         F.bround(s, 3).alias("candidate")
     ).agg(count[1].alias("pos"), count[0].alias("neg"))
-    floor_rows = folded.groupBy(*keys, "step").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.lit(False).alias("is_candidate"))
-    own = folded.select(*keys, F.round(F.col("candidate") * 1000).cast("int").alias("step"))
-    half = (folded.groupBy(*keys).agg(F.lit(500).alias("step")).select(*keys, "step"))
-    candidates = own.unionByName(half).distinct().select(
-        *keys, "step", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"),
-        F.lit(True).alias("is_candidate"))
+    # Each row feeds its own step and announces its candidate (and 0.5).
+    none = F.lit(0).cast("bigint")
+
+    def entry(at: Column, pos: Column, neg: Column, candidate: bool) -> Column:
+        return F.struct(at.cast("int").alias("step"), pos.alias("pos"), neg.alias("neg"),
+                        F.lit(candidate).alias("is_candidate"))
+
+    entries = F.array(
+        entry(F.col("step"), F.col("pos"), F.col("neg"), False),
+        entry(F.round(F.col("candidate") * 1000), none, none, True),
+        entry(F.lit(500), none, none, True))
+    steps = folded.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*").groupBy(
+        *keys, "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+                           F.max("is_candidate").alias("is_candidate"))
     down = Window.partitionBy(*keys).orderBy(F.col("step").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
-    cells = floor_rows.unionByName(candidates).withColumns({
+    cells = steps.withColumns({
         "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down),
         "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole),
     }).filter("is_candidate").withColumns({

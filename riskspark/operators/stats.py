@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import fixed as K, ranking
 from ..functions.hashing import digest, hex_number, uniform
 from ..functions.tables import with_row
+from ..session import checkpointed
 from . import metrics as M
 
 BOOT_METRICS = ["precision", "recall", "f1", "mcc", "accuracy", "false_positive_rate"]
 CLUSTER_METRICS = ["precision", "recall", "f1", "false_positive_rate"]
 # A 52-bit uniform number never falls further than 8.3 deviations from the mean;
 # the range below is wider, so no draw is cut off.
-DEVIATIONS = 12
+DEVIATIONS = 9
 EXACT_FACTORIAL = 20
 
 
@@ -46,39 +47,53 @@ def binomial_pmf(n: Column, k: Column, p: Column) -> Column:
             .when(p >= 1, F.when(k == n, 1.0).otherwise(0.0)).otherwise(F.exp(inner)))
 
 
-def binomial_draws(params: DataFrame, uniforms: DataFrame, keys: list[str]) -> DataFrame:
-    """Inverse-cumulative binomial draws.
-
-    ``params``: keys, n, p.  ``uniforms``: keys, b, u.  Returns keys, b, draw.
-    Cumulative sums and uniforms are merged in one ordered pass per key, so no
-    pair of a draw and a table row is ever formed.
-    """
+def _cumulative(params: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo, k and the cumulative probability ``v`` over the range that matters."""
     n, p = F.col("n"), F.col("p")
     mean, sd = n * p, F.sqrt(n * p * (F.lit(1.0) - p))
     lo = F.greatest(F.lit(0.0), F.floor(mean - sd * DEVIATIONS) - 2).cast("bigint")
     hi = F.least(n, (F.ceil(mean + sd * DEVIATIONS) + 2).cast("bigint"))
     table = params.withColumn("k", F.explode(F.sequence(lo, hi))).withColumn(
-        "_pmf", binomial_pmf(n, F.col("k"), p)).withColumn("_lo", lo)
+        "_pmf", binomial_pmf(n, F.col("k"), p)).withColumn("lo", lo).withColumn("hi", hi)
     order_k = Window.partitionBy(*keys).orderBy("k").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    cdf = table.select(*keys, F.sum("_pmf").over(order_k).alias("v"), F.col("_lo"),
-                       F.lit(0).alias("is_draw"), F.lit(None).cast("int").alias("b"))
-    points = uniforms.select(*keys, F.col("u").alias("v"), F.lit(None).cast("bigint").alias("_lo"),
+    return table.withColumn("v", F.sum("_pmf").over(order_k)).drop("_pmf")
+
+
+def binomial_draws(params: DataFrame, uniforms: DataFrame, keys: list[str]) -> DataFrame:
+    """Many draws from each of a few binomials.
+
+    ``params``: keys, n, p.  ``uniforms``: keys, b, u.  Returns keys, b, draw: the
+    lowest k whose cumulative probability reaches u.  Cumulative values and
+    uniforms are merged in one ordered pass per key, so no pair of a draw and a
+    table row is ever formed.
+    """
+    cdf = _cumulative(params, keys).select(
+        *keys, "v", "lo", F.lit(0).alias("is_draw"), F.lit(None).cast("int").alias("b"))
+    points = uniforms.select(*keys, F.col("u").alias("v"), F.lit(None).cast("bigint").alias("lo"),
                              F.lit(1).alias("is_draw"), F.col("b").cast("int").alias("b"))
-    # The draw is the lowest k whose cumulative sum reaches u: _lo plus the number
-    # of cumulative sums below u.
     upto = Window.partitionBy(*keys).orderBy("v", F.col("is_draw").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
     merged = cdf.unionByName(points).withColumns({
         "_below": F.sum(F.lit(1) - F.col("is_draw")).over(upto),
         "_size": F.sum(F.lit(1) - F.col("is_draw")).over(whole),
-        "_first": F.max("_lo").over(whole),
+        "_first": F.max("lo").over(whole),
     })
     return merged.filter("is_draw = 1").select(
         *keys, "b", (F.col("_first") + F.least(F.col("_below"), F.col("_size") - 1)).alias("draw"))
 
 
+def binomial_draw_each(params: DataFrame, keys: list[str]) -> DataFrame:
+    """One draw per parameter row (keys, n, p, u): keys, draw."""
+    lowest = F.max("lo") + F.count_if(F.col("v") < F.col("u"))
+    # A few thousand short rows grow by the range of k: spread them first.  The
+    # window and the aggregation then need no further shuffle.
+    wide = params.repartition(params.sparkSession.sparkContext.defaultParallelism, *keys)
+    return _cumulative(wide, keys).groupBy(*keys).agg(
+        F.least(lowest, F.max("hi")).alias("draw"))
+
+
 def _long(cells: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])
     return cells.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.metric", "p.value")
@@ -92,11 +107,9 @@ def _interval(long: DataFrame, alpha: float) -> DataFrame:
         F.count(F.lit(1)).alias("n_boot"))
 
 
-def class_bootstrap(pred: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED,
-                    label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Replicates of a class-stratified bootstrap: b, tp, fn, fp, tn."""
-    spark = pred.sparkSession
-    cells = M.confusion(pred, [], label, predicted)
+def class_bootstrap(cells: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED) -> DataFrame:
+    """Replicates of a class-stratified bootstrap of one row of counts: b, tp, fn, fp, tn."""
+    spark = cells.sparkSession
     params = cells.select(F.explode(F.array(
         F.struct(F.lit("pos").alias("cls"), (F.col("tp") + F.col("fn")).alias("n"), F.col("tp").alias("hit")),
         F.struct(F.lit("neg").alias("cls"), (F.col("fp") + F.col("tn")).alias("n"), F.col("fp").alias("hit")),
@@ -114,15 +127,18 @@ def class_bootstrap(pred: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEE
         (F.col("n_neg") - F.col("fp")).alias("tn"))
 
 
+def _point(cells: DataFrame, names: list[str]) -> DataFrame:
+    return _long(M.metrics_from_counts(cells), names, []).withColumnRenamed("value", "point")
+
+
 def bootstrap_ci(pred: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
                  seed: int = K.SPLIT_SEED, label: str = "label",
                  predicted: str = "predicted") -> DataFrame:
     """Percentile interval per count-based metric, class-stratified."""
-    replicates = M.metrics_from_counts(class_bootstrap(pred, n_boot, seed, label, predicted))
-    intervals = _interval(_long(replicates, BOOT_METRICS, []), alpha)
-    point = _long(M.classification_metrics(pred, [], label, predicted), BOOT_METRICS, []).select(
-        "metric", F.col("value").alias("point"))
-    return point.join(intervals, "metric")
+    cells = checkpointed(M.confusion(pred, [], label, predicted))
+    replicates = M.metrics_from_counts(class_bootstrap(cells, n_boot, seed))
+    return _point(cells, BOOT_METRICS).join(
+        _interval(_long(replicates, BOOT_METRICS, []), alpha), "metric")
 
 
 def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 100, alpha: float = 0.05,
@@ -144,22 +160,27 @@ def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 100, alpha: float = 0.05,
                               F.col("size")) + 1).alias("i"))
     sample = draws.join(numbered, ["label", "i"]).select("b", "score", "label")
     areas = M.ranking_metrics(sample, ["b"], "score", "label")
-    point = with_row(M.roc_auc(scored, [], score, label), M.pr_auc(scored, [], score, label))
+    point = M.ranking_metrics(scored, [], score, label)
     names = ["roc_auc", "pr_auc"]
     return _long(point, names, []).withColumnRenamed("value", "point").join(
         _interval(_long(areas, names, []), alpha), "metric")
 
 
 # -- clusters -----------------------------------------------------------------
-def cluster_bootstrap(pred: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED,
-                      cluster: str = "template", label: str = "label",
-                      predicted: str = "predicted") -> DataFrame:
-    """Replicates that redraw whole clusters: b, tp, fp, tn, fn.
+def cluster_cells(pred: DataFrame, cluster: str = "template", label: str = "label",
+                  predicted: str = "predicted") -> DataFrame:
+    """One confusion row per cluster, written once: all the cluster statistics read it."""
+    return checkpointed(M.confusion(pred, [cluster], label, predicted))
 
-    Rows fold to one confusion row per cluster first; replicates with one class
-    are left out.
-    """
-    cells = M.confusion(pred, [cluster], label, predicted)
+
+def _all_cells(cells: DataFrame) -> DataFrame:
+    return cells.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
+
+
+def cluster_bootstrap(cells: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED,
+                      cluster: str = "template") -> DataFrame:
+    """Replicates that redraw whole clusters: b, tp, fp, tn, fn.  Replicates with
+    one class are left out."""
     numbered = ranking.ranked(
         cells.withColumn("_md5", digest(seed, F.col(cluster))), [],
         ranking.hash_bucket(F.col("_md5")), [F.col("_md5"), F.col(cluster)], "pos").drop("_md5")
@@ -174,48 +195,45 @@ def cluster_bootstrap(pred: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_S
     return summed.filter("tp + fn > 0 and fp + tn > 0")
 
 
+def _cluster_ci(cells: DataFrame, n_boot: int, alpha: float, seed: int, cluster: str) -> DataFrame:
+    replicates = M.metrics_from_counts(cluster_bootstrap(cells, n_boot, seed, cluster))
+    return _point(_all_cells(cells), CLUSTER_METRICS).join(
+        _interval(_long(replicates, CLUSTER_METRICS, []), alpha), "metric")
+
+
 def cluster_bootstrap_ci(pred: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
                          seed: int = K.SPLIT_SEED, cluster: str = "template",
                          label: str = "label", predicted: str = "predicted") -> DataFrame:
-    replicates = M.metrics_from_counts(
-        cluster_bootstrap(pred, n_boot, seed, cluster, label, predicted))
-    intervals = _interval(_long(replicates, CLUSTER_METRICS, []), alpha)
-    point = _long(M.classification_metrics(pred, [], label, predicted), CLUSTER_METRICS, []).select(
-        "metric", F.col("value").alias("point"))
-    return point.join(intervals, "metric")
+    return _cluster_ci(cluster_cells(pred, cluster, label, predicted), n_boot, alpha, seed, cluster)
 
 
-def naive_bootstrap(pred: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED,
-                    label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Replicates that redraw single rows: b, tp, fp, tn, fn.
+def naive_bootstrap(cells: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED) -> DataFrame:
+    """Replicates that redraw single rows, from one row of counts: b, tp, fp, tn, fn.
 
     n draws over four cells are three nested binomial draws: positives first,
     then the hits among the positives and among the negatives of the replicate.
     """
-    spark = pred.sparkSession
-    cells = M.confusion(pred, [], label, predicted).select(
+    spark = cells.sparkSession
+    totals = cells.select(
         "*", (F.col("tp") + F.col("fn")).alias("n_pos"),
         (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("n_all"))
-    base = spark.range(n_boot).select(F.col("id").cast("int").alias("b"))
 
-    def points(step: str) -> DataFrame:
-        return base.select("b", uniform(digest(seed, F.lit(step), F.col("b"))).alias("u"))
+    def u(step: Column) -> Column:
+        return uniform(digest(seed, step, F.col("b")))
 
     one = F.lit(0).alias("g")
-    first = cells.select(one, F.col("n_all").alias("n"),
-                         M.ratio(F.col("n_pos").cast("double"), F.col("n_all")).alias("p"))
-    positives = binomial_draws(first, points("positives").select(one, "b", "u"), ["g"]).select(
-        "b", F.col("draw").alias("pos"))
-    rates = cells.select("n_all", M.ratio(F.col("tp").cast("double"), F.col("n_pos")).alias("p_tp"),
-                         M.ratio(F.col("fp").cast("double"), F.col("n_all") - F.col("n_pos")).alias("p_fp"))
+    first = totals.select(one, F.col("n_all").alias("n"),
+                          M.ratio(F.col("n_pos").cast("double"), F.col("n_all")).alias("p"))
+    points = spark.range(n_boot).select(one, F.col("id").alias("b")).withColumn("u", u(F.lit("positives")))
+    positives = binomial_draws(first, points, ["g"]).select("b", F.col("draw").alias("pos"))
+    rates = totals.select("n_all", M.ratio(F.col("tp").cast("double"), F.col("n_pos")).alias("p_tp"),
+                          M.ratio(F.col("fp").cast("double"), F.col("n_all") - F.col("n_pos")).alias("p_fp"))
     per_b = with_row(positives, rates)
-    params = per_b.select(F.explode(F.array(
-        F.struct(F.lit("tp").alias("cell"), "b", F.col("pos").alias("n"), F.col("p_tp").alias("p")),
-        F.struct(F.lit("fp").alias("cell"), "b", (F.col("n_all") - F.col("pos")).alias("n"), F.col("p_fp").alias("p")),
-    )).alias("s")).select("s.cell", F.col("s.b").alias("rep"), "s.n", "s.p")
-    uniforms = points("tp").select(F.lit("tp").alias("cell"), F.col("b").alias("rep"), "b", "u").unionByName(
-        points("fp").select(F.lit("fp").alias("cell"), F.col("b").alias("rep"), "b", "u"))
-    drawn = binomial_draws(params, uniforms, ["cell", "rep"]).groupBy("b").agg(
+    params = per_b.select("b", F.explode(F.array(
+        F.struct(F.lit("tp").alias("cell"), F.col("pos").alias("n"), F.col("p_tp").alias("p")),
+        F.struct(F.lit("fp").alias("cell"), (F.col("n_all") - F.col("pos")).alias("n"), F.col("p_fp").alias("p")),
+    )).alias("s")).select("b", "s.*").withColumn("u", u(F.col("cell")))
+    drawn = binomial_draw_each(params, ["cell", "b"]).groupBy("b").agg(
         F.max(F.when(F.col("cell") == "tp", F.col("draw"))).alias("tp"),
         F.max(F.when(F.col("cell") == "fp", F.col("draw"))).alias("fp"))
     return drawn.join(per_b, "b").select(
@@ -228,10 +246,11 @@ def naive_vs_cluster(pred: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
                      seed: int = K.SPLIT_SEED, cluster: str = "template",
                      label: str = "label", predicted: str = "predicted") -> DataFrame:
     """Interval width when clusters are redrawn against width when rows are."""
-    wide = cluster_bootstrap_ci(pred, n_boot, alpha, seed, cluster, label, predicted).select(
+    cells = cluster_cells(pred, cluster, label, predicted)
+    wide = _cluster_ci(cells, n_boot, alpha, seed, cluster).select(
         "metric", "point", F.col("ci_low").alias("cluster_low"), F.col("ci_high").alias("cluster_high"))
     rows = _interval(_long(M.metrics_from_counts(
-        naive_bootstrap(pred, n_boot, seed, label, predicted)), CLUSTER_METRICS, []), alpha).select(
+        naive_bootstrap(_all_cells(cells), n_boot, seed)), CLUSTER_METRICS, []), alpha).select(
         "metric", F.col("ci_low").alias("naive_low"), F.col("ci_high").alias("naive_high"))
     width = F.col("naive_high") - F.col("naive_low")
     return wide.join(rows, "metric").withColumn("width_ratio", F.when(
@@ -324,7 +343,7 @@ def reliability_bins(scored: DataFrame, n_bins: int = 10, prob: str = "risk",
     spark = scored.sparkSession
     edges = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
     p = F.col(prob)
-    bin_no = F.lit(None).cast("int")
+    bin_no = F.lit(-1)  # never null: see ranking._never_null
     for i in reversed(range(n_bins)):
         inside = (p <= edges[i + 1]) & ((p >= edges[i]) if i == 0 else (p > edges[i]))
         bin_no = F.when(inside, i).otherwise(bin_no)
@@ -352,14 +371,18 @@ def brier_score(scored: DataFrame, prob: str = "risk", label: str = "label",
         F.avg(F.pow(F.col(prob) - F.col(label), F.lit(2.0))).alias("brier"))
 
 
+def _score_label_counts(train: DataFrame, prob: str, label: str) -> DataFrame:
+    """One weighted row per (score, label): what the calibration fits read."""
+    return checkpointed(train.groupBy(F.col(prob).alias("x"), F.col(label).cast("double").alias("y")).agg(
+        F.count(F.lit(1)).cast("double").alias("w")))
+
+
 def isotonic_calibrate(train: DataFrame, test: DataFrame, prob: str = "risk",
                        label: str = "label", out: str = "isotonic") -> DataFrame:
     """Monotone recalibration fitted on ``train``, flat outside its range."""
     from pyspark.ml.regression import IsotonicRegression
 
-    # The fit sees one weighted row per (score, label), not every script.
-    folded = train.groupBy(F.col(prob).alias("x"), F.col(label).cast("double").alias("y")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
+    folded = _score_label_counts(train, prob, label)
     model = IsotonicRegression(
         featuresCol="x", labelCol="y", weightCol="w", predictionCol=out).fit(folded)
     return model.transform(test.withColumn("x", F.col(prob))).drop("x")
@@ -372,8 +395,7 @@ def platt_calibrate(train: DataFrame, test: DataFrame, prob: str = "risk",
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    folded = train.groupBy(F.col(prob).alias("x"), F.col(label).cast("double").alias("y")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
+    folded = _score_label_counts(train, prob, label)
     n = folded.agg(F.sum("w")).first()[0]
     as_vector = VectorAssembler(inputCols=["x"], outputCol="v")
     model = LogisticRegression(

@@ -273,12 +273,12 @@ def folded(spark, sf):
 @query("cv_summary", FOLDED + ", long AS (" + " UNION ALL ".join(
     f"SELECT fold, '{m}' AS metric, {e} AS value FROM pf" for m, e in metric_exprs().items()) + f""")
 SELECT metric, {d6('avg(value)')} AS mean, {d6('stddev_pop(value)')} AS std, {d6('min(value)')} AS min,
-  {d6('max(value)')} AS max, string_agg(printf('%.4f', value), ',' ORDER BY fold) AS values FROM long GROUP BY metric""")
+  {d6('max(value)')} AS max, string_agg(printf('%.4f', round(value, 4)), ',' ORDER BY fold) AS values FROM long GROUP BY metric""")
 def cv_summary(spark, sf):
     """Default model over leave-template-out folds."""
     per_fold = M.classification_metrics(folded(spark, sf), ["fold"])
     out = splits.cv_summary(per_fold, M.METRICS)
-    text = F.array_join(F.transform("values", lambda v: F.format_string("%.4f", v)), ",")
+    text = F.array_join(F.transform("values", lambda v: F.format_string("%.4f", F.round(v, 4))), ",")
     return out.select("metric", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")], text.alias("values"))
 
 
@@ -304,8 +304,8 @@ def binomial_sql(params: str, points: str, keys: str, name: str) -> str:
     pmf = (f"CASE WHEN p <= 0 THEN (k = 0)::INTEGER::DOUBLE WHEN p >= 1 THEN (k = n)::INTEGER::DOUBLE ELSE exp({ln_fact('n')} - {ln_fact('k')} - {ln_fact('(n - k)')} "
            f"+ CASE WHEN k = 0 THEN 0 ELSE k * ln(p) END + CASE WHEN n = k THEN 0 ELSE (n - k) * ln(1 - p) END) END")
     return f"""{name}_k AS (SELECT {keys}, n, p, unnest(range(
-    greatest(0, floor(n * p - sqrt(n * p * (1 - p)) * 12) - 2)::BIGINT,
-    least(n, (ceil(n * p + sqrt(n * p * (1 - p)) * 12) + 2)::BIGINT) + 1)) AS k FROM {params}),
+    greatest(0, floor(n * p - sqrt(n * p * (1 - p)) * 9) - 2)::BIGINT,
+    least(n, (ceil(n * p + sqrt(n * p * (1 - p)) * 9) + 2)::BIGINT) + 1)) AS k FROM {params}),
 {name}_cdf AS (SELECT {keys}, k, sum({pmf}) OVER (PARTITION BY {keys} ORDER BY k) AS v FROM {name}_k),
 {name} AS (SELECT {', '.join('u.' + k.strip() for k in keys.split(','))}, u.b, t.k AS draw
   FROM {points} u ASOF JOIN {name}_cdf t ON {on} AND t.v >= u.u)"""

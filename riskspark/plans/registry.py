@@ -31,20 +31,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(keys: DataFrame, key: str) -> DataFrame:
+    """Keys over all cores: eight bytes of key grow into a whole script to analyse,
+    so file splits sized for bytes read would be far too coarse."""
+    return keys.select(key).repartition(keys.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The study corpus: one generated script per order."""
-    return synthesize_corpus(table(spark, sf, "orders"), "o_orderkey")
+    return synthesize_corpus(spread(table(spark, sf, "orders"), "o_orderkey"), "o_orderkey")
 
 
 def holdout(spark: SparkSession, sf: str) -> DataFrame:
     """An independent corpus: one script per customer, another seed."""
-    return synthesize_corpus(table(spark, sf, "customer"), "c_custkey", seed=2024, prefix="h_")
+    return synthesize_corpus(spread(table(spark, sf, "customer"), "c_custkey"), "c_custkey", seed=2024, prefix="h_")
 
 
 def benign(spark: SparkSession, sf: str) -> DataFrame:
     """A corpus of benign rows only: scripts per part that are labelled safe."""
     return synthesize_corpus(
-        table(spark, sf, "part"), "p_partkey", seed=77, prefix="x_").filter("label = 0")
+        spread(table(spark, sf, "part"), "p_partkey"), "p_partkey", seed=77, prefix="x_").filter("label = 0")
 
 
 def scored(spark: SparkSession, sf: str, source: Frame = corpus) -> DataFrame:

@@ -257,12 +257,12 @@ def context(src: str = "parsed", name: str = "ctx", text: str = "script") -> str
              f"{K.SUBSTITUTIONS_PER_LINE}", 0.15)),
     }
     cols = ",\n    ".join(f"{sql} AS context_{d}" for d, sql in dims.items())
-    return f"{name} AS (\n  SELECT *, {cols}\n  FROM {src}\n)"
+    return f"{name} AS MATERIALIZED (\n  SELECT *, {cols}\n  FROM {src}\n)"
 
 
 def flags_cte(src: str, name: str = "flagged", text: str = "script") -> str:
     cols = ",\n    ".join(f"{found(text, s[3], '(?m)')} AS sig_{s[0]}" for s in K.SIGNATURES)
-    return f"{name} AS (\n  SELECT *, {cols}\n  FROM {src}\n)"
+    return f"{name} AS MATERIALIZED (\n  SELECT *, {cols}\n  FROM {src}\n)"
 
 
 def cat_sum(category: str) -> str:
@@ -287,7 +287,7 @@ def features(src: str = "flagged", name: str = "features") -> str:
         return f"(CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
     return f"""{name}_sums AS (SELECT *, {sums}, {hit_list()} AS hit_ids FROM {src}
-), {name} AS (
+), {name} AS MATERIALIZED (
   SELECT *,
     {binary('pipes_to_shell')} AS semantic_pipes_to_shell,
     {binary(has_any('commands', K.SCORING_DESTRUCTIVE))} AS semantic_has_destructive_cmd,
@@ -321,7 +321,7 @@ def sigmoid(z: str) -> str:
 
 def scored(src: str = "features", name: str = "scored", disabled=(),
            threshold: float = K.DEFAULT_THRESHOLD) -> str:
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT *, 1.0::DOUBLE - risk AS trust, {level_case('risk')} AS level,
     risk >= {threshold!r} AS dangerous
   FROM (SELECT *, {sigmoid('logit')} AS risk FROM (SELECT *, {logit(disabled)} AS logit FROM {src}))
