@@ -339,5 +339,5 @@ KAPPA_BANDS = [(0.0, "worse than chance"), (0.20, "slight"), (0.40, "fair"),
                (0.60, "moderate"), (0.80, "substantial")]
 KAPPA_TOP_BAND = "almost perfect"
 FENCE_PATTERN = r"```(?:bash|sh|shell|zsh)?\s*\n(.*?)```"
-WORD_TOKEN_PATTERN = r"\b\w\w+\b"
+WORD_TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 REGULARISATION_GRID = [0.25, 1.0, 4.0, 16.0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, registry, scoring_queries  # noqa: F401
+from . import metric_queries, registry, scoring_queries, study_queries  # noqa: F401
 
 
 def all_queries() -> dict:

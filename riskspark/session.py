@@ -45,8 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder (a plain path where it is local)."""
+    base = shared_dir(spark).removeprefix("file:")
+    base = "/" + base.lstrip("/") if base.startswith("/") else base
+    return f"{base.rstrip(chr(47))}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
