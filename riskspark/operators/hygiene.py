@@ -41,8 +41,11 @@ def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of ``size`` lower-case words (the whole text when shorter)."""
     words = _all(F.lower(text), r"\S+")
     n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1),
-                       lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    # Shifted copies of the word list, zipped: each is built once per text.
+    room = F.greatest(n - size + 1, F.lit(0))
+    runs = F.slice(words, F.lit(1), room)
+    for i in range(1, size):
+        runs = F.zip_with(runs, F.slice(words, F.lit(i + 1), room), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(n >= size, F.array_distinct(runs)).when(
         n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 

@@ -59,35 +59,52 @@ def fold_rows(features: DataFrame, extra: list[str] = [], label: str = "label")
     return features.groupBy(*extra, label, *K.FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def fit_many(table: DataFrame, models: dict[str, tuple[RiskModel, Column | None]], epochs: int,
-             lr: float = BATCH_RATE, l2: float = L2, label: str = "label") -> dict[str, Training]:
+def _model_rows(models: dict[str, RiskModel], held: dict) -> Column:
+    """The models as one literal array: numbers stay out of the generated code, so
+    all epochs share one compiled stage."""
+    def row(name: str, m: RiskModel) -> Column:
+        on = set(m.features)
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(float(m.bias)).alias("bias"),
+            F.array(*[F.lit(float(m.weights[f]) if f in on else 0.0) for f in K.FEATURES]).alias("w"),
+            F.lit(int(held.get(name, -1))).alias("held"))
+
+    return F.array(*[row(n, m) for n, m in models.items()])
+
+
+def fit_many(table: DataFrame, starts: dict[str, RiskModel], epochs: int, lr: float = BATCH_RATE,
+             l2: float = L2, label: str = "label", fold: str | None = None,
+             held: dict | None = None) -> dict[str, Training]:
     """Fit several models in lockstep on a folded table: one aggregation per epoch.
 
-    Each entry is a start model and the condition its training rows meet.
+    With ``fold``, model ``name`` leaves out the rows whose fold is ``held[name]``.
     Weights of disabled groups stay as they are; the bias is not regularised.
     """
-    runs = {name: Training(start) for name, (start, _) in models.items()}
+    runs = {name: Training(start) for name, start in starts.items()}
+    held = held or {}
+    w, x = F.col("m.w"), {f: F.col(f) for f in K.FEATURES}
     for _ in range(epochs):
-        rows, sums = table, []
-        for i, (name, (_, keep)) in enumerate(models.items()):
-            model = runs[name].model
-            n = F.col("n") if keep is None else F.when(keep, F.col("n")).otherwise(F.lit(0.0))
-            rows = rows.withColumn(f"_p{i}", scoring.sigmoid(scoring.logit(model))).withColumn(f"_n{i}", n)
-            err = (F.col(f"_p{i}") - F.col(label)) * F.col(f"_n{i}")
-            sums += [F.sum(err * F.col(f)).alias(f"{i}:{f}") for f in model.features]
-            sums += [F.sum(err).alias(f"{i}:bias"), F.sum(F.col(f"_n{i}")).alias(f"{i}:n"),
-                     F.sum(bce(F.col(f"_p{i}"), F.col(label)) * F.col(f"_n{i}")).alias(f"{i}:loss")]
-        row = rows.agg(*sums).first()
-        for i, name in enumerate(models):
-            run, n = runs[name], row[f"{i}:n"] or 1.0
+        rows = table.withColumn("m", F.explode(_model_rows({n: r.model for n, r in runs.items()}, held)))
+        if fold is not None:
+            rows = rows.filter(F.col(fold) != F.col("m.held"))
+        z = F.col("m.bias")
+        for i, f in enumerate(K.FEATURES):
+            z = z + w[i] * x[f]
+        rows = rows.withColumn("p", scoring.sigmoid(z)).withColumn(
+            "err", (F.col("p") - F.col(label)) * F.col("n"))
+        sums = rows.groupBy(F.col("m.name").alias("name")).agg(
+            *[F.sum(F.col("err") * x[f]).alias(f) for f in K.FEATURES],
+            F.sum("err").alias("bias"), F.sum("n").alias("n"),
+            F.sum(bce(F.col("p"), F.col(label)) * F.col("n")).alias("loss"))
+        for row in sums.collect():  # one row of 17 numbers per model
+            run, n = runs[row["name"]], row["n"]
             old = run.model
             weights = dict(old.weights)
             for f in old.features:
-                weights[f] -= lr * ((row[f"{i}:{f}"] or 0.0) / n + l2 * weights[f])
-            bias = old.bias - lr * (row[f"{i}:bias"] or 0.0) / n
-            run.losses.append((row[f"{i}:loss"] or 0.0) / n)
-            run.model = RiskModel(weights, bias, old.threshold, old.disabled)
-    for name, (start, _) in models.items():
+                weights[f] -= lr * (row[f] / n + l2 * weights[f])
+            run.losses.append(row["loss"] / n)
+            run.model = RiskModel(weights, old.bias - lr * row["bias"] / n, old.threshold, old.disabled)
+    for name, start in starts.items():
         end = runs[name].model
         change = sum((end.weights[f] - start.weights[f]) ** 2 for f in K.FEATURES)
         runs[name].weight_delta_norm = math.sqrt(change + (end.bias - start.bias) ** 2)
@@ -97,7 +114,7 @@ def fit_many(table: DataFrame, models: dict[str, tuple[RiskModel, Column | None]
 def train(features: DataFrame, epochs: int = 40, lr: float = BATCH_RATE, l2: float = L2,
           start: RiskModel = RiskModel(), label: str = "label") -> Training:
     table = checkpointed(fold_rows(features, label=label))
-    return fit_many(table, {"model": (start, None)}, epochs, lr, l2, label)["model"]
+    return fit_many(table, {"model": start}, epochs, lr, l2, label)["model"]
 
 
 def training_log(spark: SparkSession, run: Training) -> DataFrame:
@@ -127,7 +144,7 @@ def train_and_eval(train_rows: DataFrame, test_rows: DataFrame, disabled: tuple
 def fit_configs(train_rows: DataFrame, configs: list[tuple[str, tuple, bool]], tune: bool = True,
                 epochs: int = 40, lr: float = BATCH_RATE, l2: float = L2) -> dict[str, Training]:
     table = checkpointed(fold_rows(_with_features(train_rows)))
-    learners = {name: (RiskModel(disabled=off), None) for name, off, learn in configs if learn}
+    learners = {name: RiskModel(disabled=off) for name, off, learn in configs if learn}
     runs = fit_many(table, learners, epochs, lr, l2) if learners else {}
     for name, off, learn in configs:
         if not learn:
@@ -153,16 +170,12 @@ def config_predictions(features: DataFrame, keep: list[str] = ["id", "label"]) -
     return predictions_of(features, models, keep)
 
 
-def metric_table(pred: DataFrame, key: str = "config") -> DataFrame:
-    counts = M.classification_metrics(pred, [key])
-    return counts.join(M.ranking_metrics(pred, [key]), key)
-
-
 def run_configs(train_rows: DataFrame, test_rows: DataFrame, configs: list[tuple[str, tuple, bool]],
                 tune: bool = True, epochs: int = 40, lr: float = BATCH_RATE, l2: float = L2) -> DataFrame:
     runs = fit_configs(train_rows, configs, tune, epochs, lr, l2)
-    test = _with_features(test_rows)
-    table = metric_table(predictions_of(test, {n: r.model for n, r in runs.items()}, ["id", "label"]))
+    test = fold_rows(_with_features(test_rows))
+    pred = predictions_of(test, {n: r.model for n, r in runs.items()}, ["label", "n"])
+    table = M.full_metrics(pred, ["config"], weight="n")
     log = test.sparkSession.createDataFrame(
         [(n, float(r.model.threshold), r.losses[0] if r.losses else None,
           r.losses[-1] if r.losses else None, float(r.weight_delta_norm)) for n, r in runs.items()],
@@ -198,13 +211,14 @@ def cross_validate(features: DataFrame, folds: DataFrame, k: int, epochs: int =
     """
     rows = features.join(folds.select("id", "fold"), "id")
     table = checkpointed(fold_rows(rows, ["fold"]))
-    runs = fit_many(table, {str(i): (RiskModel(), F.col("fold") != i) for i in range(k)}, epochs, lr, l2)
+    runs = fit_many(table, {str(i): RiskModel() for i in range(k)}, epochs, lr, l2,
+                    fold="fold", held={str(i): i for i in range(k)})
     risk = F.lit(None).cast("double")
     for i in range(k):
         risk = F.when(F.col("fold") == i, scoring.sigmoid(scoring.logit(runs[str(i)].model))).otherwise(risk)
     oof = rows.withColumn("risk", risk).withColumn("predicted", F.col("risk") >= 0.5).select(
         "id", "label", "fold", "risk", "predicted")
-    return metric_table(oof, "fold"), oof
+    return M.full_metrics(oof, ["fold"]), oof
 
 
 def holdout_eval(holdout: DataFrame, model: RiskModel) -> DataFrame:
@@ -229,7 +243,7 @@ def external_fpr(benign: DataFrame, models: dict[str, RiskModel]) -> DataFrame:
 
 def online_step(table: DataFrame, model: RiskModel, lr: float = STEP_RATE, l2: float = L2) -> RiskModel:
     """One mean-gradient step on a folded table."""
-    return fit_many(table, {"m": (model, None)}, 1, lr, l2)["m"].model
+    return fit_many(table, {"m": model}, 1, lr, l2)["m"].model
 
 
 def concept_drift(features: DataFrame, category: str = "obfuscated", epochs: int = 40,
@@ -240,7 +254,7 @@ def concept_drift(features: DataFrame, category: str = "obfuscated", epochs: int
     from ..functions.tables import with_row
 
     base = checkpointed(fold_rows(features.filter(F.col("category") != category)))
-    model = tuned(base, fit_many(base, {"m": (RiskModel(), None)}, epochs, lr)["m"].model)
+    model = tuned(base, fit_many(base, {"m": RiskModel()}, epochs, lr)["m"].model)
     novel = features.filter((F.col("category") == category) & (F.col("label") == 1))
     # ids end in a running number, so their digest cuts them evenly
     novel = ranking.ranked(novel.withColumn("_md5", F.md5("id")), [],
@@ -248,7 +262,7 @@ def concept_drift(features: DataFrame, category: str = "obfuscated", epochs: int
     adapt = novel.filter(F.col("_rank") % 2 == 1)
     held = novel.filter(F.col("_rank") % 2 == 0)
     table = checkpointed(fold_rows(adapt))
-    online = fit_many(table, {"m": (model, None)}, passes, lr)["m"].model
+    online = fit_many(table, {"m": model}, passes, lr)["m"].model
     counts = held.agg(
         F.count(F.lit(1)).alias("n_eval"),
         F.avg((scoring.sigmoid(scoring.logit(model)) >= model.threshold).cast("double")).alias("frozen_recall"),

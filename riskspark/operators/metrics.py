@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ranking
 from ..functions.tables import with_row
+from ..session import checkpointed
 
 METRICS = ["precision", "recall", "f1", "mcc", "accuracy", "false_positive_rate",
            "false_negative_rate", "specificity"]
@@ -20,13 +21,20 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(0.0))
 
 
+def _count(condition: Column, weight: str | None) -> Column:
+    """Rows meeting ``condition``; ``weight`` names a column of row counts."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.sum(F.when(condition, F.col(weight)).otherwise(0)).cast("bigint")
+
+
 def confusion(pred: DataFrame, keys: list[str] = [], label: str = "label",
-              predicted: str = "predicted") -> DataFrame:
+              predicted: str = "predicted", weight: str | None = None) -> DataFrame:
     """tp, fp, tn, fn per key."""
     y, p = F.col(label) == 1, F.col(predicted).cast("int") == 1
     return pred.groupBy(*keys).agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
-        F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
+        _count(y & p, weight).alias("tp"), _count(~y & p, weight).alias("fp"),
+        _count(~y & ~p, weight).alias("tn"), _count(y & ~p, weight).alias("fn"))
 
 
 def metrics_from_counts(cells: DataFrame) -> DataFrame:
@@ -50,20 +58,33 @@ def metrics_from_counts(cells: DataFrame) -> DataFrame:
 
 
 def classification_metrics(pred: DataFrame, keys: list[str] = [], label: str = "label",
-                           predicted: str = "predicted") -> DataFrame:
-    return metrics_from_counts(confusion(pred, keys, label, predicted))
+                           predicted: str = "predicted", weight: str | None = None) -> DataFrame:
+    return metrics_from_counts(confusion(pred, keys, label, predicted, weight))
+
+
+def full_metrics(pred: DataFrame, keys: list[str], score: str = "risk", label: str = "label",
+                 predicted: str = "predicted", weight: str | None = None) -> DataFrame:
+    """The metric bundle with roc_auc and pr_auc per key.
+
+    Predictions fold to one weighted row per (key, label, score, decision), written
+    once; both halves read that table.
+    """
+    unit = F.lit(1) if weight is None else F.col(weight)
+    folded = checkpointed(pred.groupBy(*keys, label, score, predicted).agg(F.sum(unit).alias("_k")))
+    return classification_metrics(folded, keys, label, predicted, "_k").join(
+        ranking_metrics(folded, keys, score, label, "_k"), keys)
 
 
 # -- curves ------------------------------------------------------------------
 def score_counts(scored: DataFrame, keys: list[str] = [], score: str = "risk",
-                 label: str = "label") -> DataFrame:
+                 label: str = "label", weight: str | None = None) -> DataFrame:
     """(score, pos, neg) per distinct score with totals at or above it.
 
     One aggregation reads the rows; ordering happens on distinct scores, cut into
     score buckets, so no class is ever sorted in one task.
     """
     counts = scored.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        _count(F.col(label) == 1, weight).alias("pos"), _count(F.col(label) == 0, weight).alias("neg"))
     return ranking.running(counts, keys, ranking.score_bucket(F.col("score")), "score",
                            ["pos", "neg"], descending=True)
 
@@ -98,7 +119,7 @@ def pr_curve(scored: DataFrame, keys: list[str] = [], score: str = "risk",
 
 
 def ranking_metrics(scored: DataFrame, keys: list[str] = [], score: str = "risk",
-                    label: str = "label") -> DataFrame:
+                    label: str = "label", weight: str | None = None) -> DataFrame:
     """roc_auc and pr_auc per key; null with one class only.
 
     Trapezoids as plain sums over the score table.  ROC: a distinct score adds
@@ -111,7 +132,7 @@ def ranking_metrics(scored: DataFrame, keys: list[str] = [], score: str = "risk"
     here = c("cum_pos") / (c("cum_pos") + c("cum_neg"))
     prev = F.when(prev_pos + prev_neg > 0, prev_pos / (prev_pos + prev_neg)).otherwise(F.lit(1.0))
     pr_part = c("pos") * (here + prev) / F.lit(2.0)
-    grouped = score_counts(scored, keys, score, label).groupBy(*keys).agg(
+    grouped = score_counts(scored, keys, score, label, weight).groupBy(*keys).agg(
         F.sum(roc_part).alias("_roc"), F.sum(pr_part).alias("_pr"),
         F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n"))
     both = (c("_p") > 0) & (c("_n") > 0)
@@ -141,15 +162,13 @@ def tune_threshold(scored: DataFrame, target: str = "f1", max_fpr: float = 0.05,
     beats -1 the threshold is 0.5.  ``weight`` names a column of row counts.
     """
     s = F.col(score)
-    unit = F.lit(1) if weight is None else F.col(weight)
-    count = {y: F.sum(F.when(F.col(label) == y, unit).otherwise(0)).cast("bigint") for y in (0, 1)}
     step = F.floor(s * 1000)
     step = F.when(s >= (step + 1) / F.lit(1000.0), step + 1).when(
         s < step / F.lit(1000.0), step - 1).otherwise(step)
     folded = scored.groupBy(
         *keys, step.cast("int").alias("step"),
         F.bround(s, 3).alias("candidate")
-    ).agg(count[1].alias("pos"), count[0].alias("neg"))
+    ).agg(_count(F.col(label) == 1, weight).alias("pos"), _count(F.col(label) == 0, weight).alias("neg"))
     # Each row feeds its own step and announces its candidate (and 0.5).
     none = F.lit(0).cast("bigint")
 

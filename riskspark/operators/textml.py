@@ -97,24 +97,30 @@ class TextSpace:
     def vectors(self, rows: DataFrame, keep: list[str], name: str = "features",
                 columns: int | None = None) -> DataFrame:
         """``rows`` with a sparse TF-IDF vector; ``columns`` folds it to fewer."""
-        import pandas as pd
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-
         size = max(1, self.size if columns is None else min(columns, self.size))
         weights = weigh(terms(rows), self.vocab).groupBy(
             "id", F.pmod(F.col("slot"), F.lit(size)).alias("slot")).agg(F.sum("weight").alias("weight"))
         # one list per script: as long as the script has terms
         packed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("_e"))
+        joined = rows.select("id", *keep).join(packed, "id", "left")
+        return joined.withColumn(name, sparse_vector(size, F.col("_e.slot"), F.col("_e.weight"))).drop("_e")
 
-        @F.pandas_udf(VectorUDT())
-        def pack(slots: pd.Series, values: pd.Series) -> pd.Series:
-            empty = SparseVector(size, [], [])
-            return pd.Series([
-                empty if s is None else SparseVector(size, list(s), list(v))
-                for s, v in zip(slots, values)])
 
-        joined = rows.select("id", *keep).join(packed, "id", "left")
-        return joined.withColumn(name, pack(F.col("_e.slot"), F.col("_e.weight"))).drop("_e")
+def sparse_vector(size: int, indices: Column, values: Column) -> Column:
+    """A sparse ML vector from index and value arrays (null: no entries).
+
+    The vector type has no SQL constructor for sparse data, but its stored form is
+    a plain struct, which a JSON round trip turns into the type on the JVM.
+    """
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.coalesce(indices, F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(values, F.array().cast("array<double>")).alias("values"))
+    text = F.to_json(F.struct(stored.alias("v")))
+    return F.from_json(text, StructType([StructField("v", VectorUDT())]))["v"]
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -165,9 +171,8 @@ def scored_by(model, rows: DataFrame, keep: list[str], name: str) -> DataFrame:
                       (F.col("prediction") == 1.0).alias("predicted"))
 
 
-def metric_table(pred: DataFrame) -> DataFrame:
-    counts = M.classification_metrics(pred, ["detector"])
-    return counts.join(M.ranking_metrics(pred, ["detector"]), "detector")
+def metric_table(pred: DataFrame, keys: tuple = ("detector",)) -> DataFrame:
+    return M.full_metrics(pred, list(keys))
 
 
 KEEP = ["id", "label"]
@@ -203,9 +208,7 @@ def evaluate_baselines(train: DataFrame, test: DataFrame, real: DataFrame | None
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
-    pred = checkpointed(pred)
-    counts = M.classification_metrics(pred, ["target", "detector"])
-    return counts.join(M.ranking_metrics(pred, ["target", "detector"]), ["target", "detector"])
+    return metric_table(pred, ("target", "detector"))
 
 
 def _assembled(rows: DataFrame, inputs: list[str], name: str = "features") -> DataFrame:

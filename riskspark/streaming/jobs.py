@@ -11,12 +11,15 @@ from ..session import shared_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A parquet file or folder of ``folder`` as a stream, with the schema it has."""
+    """The parquet table ``name`` of ``folder`` as a stream, with the schema it has.
+
+    The path is a glob, so the table may be one file or a folder of files.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def stream_analyze(scripts: DataFrame, model: RiskModel = RiskModel()) -> DataFrame:
