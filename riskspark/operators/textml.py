@@ -6,11 +6,11 @@ same weights as sparse vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, ranking
 from ..functions.lexical import _all
-from ..session import checkpointed
+from ..session import checkpointed, shared_path
 from . import metrics as M, scoring
 
 NO_TERMS = "array<string>"
@@ -30,27 +30,37 @@ def word_ngrams(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def _padded_grams(word: Column, low: int, high: int) -> Column:
+    w = F.concat(F.lit(" "), word, F.lit(" "))
+    lengths = F.sequence(F.lit(low), F.least(F.lit(high), F.length(word) + 2))
+    return F.flatten(F.transform(lengths, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(word) + 3 - n), lambda i: F.substring(w, i, n))))
+
+
 def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character runs of 3 to 5 inside each word padded with one blank per side."""
-    padded = F.transform(_all(F.lower(text), r"\S+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(_all(F.lower(text), r"\S+"), lambda w: _padded_grams(w, low, high)))
 
-    def of_word(w: Column) -> Column:
-        lengths = F.sequence(F.lit(low), F.least(F.lit(high), F.length(w)))
-        return F.flatten(F.transform(lengths, lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))
 
-    return F.flatten(F.transform(padded, of_word))
+def by_id(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows placed by id once: every later grouping by (id, ...) stays where it is,
+    so texts travel but their many grams never do."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
 
 
 def terms(df: DataFrame, id_col: str = "id", text: str = "script") -> DataFrame:
-    """(id, analyzer, term, tf): occurrences per row."""
-    t = F.col(text)
-    both = F.array(
-        F.struct(F.lit("word").alias("analyzer"), word_ngrams(t).alias("grams")),
-        F.struct(F.lit("char").alias("analyzer"), char_wb_ngrams(t).alias("grams")))
-    long = df.select(F.col(id_col).alias("id"), F.explode(both).alias("x")).select(
-        "id", "x.analyzer", F.explode("x.grams").alias("term"))
-    return long.groupBy("id", "analyzer", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, analyzer, term, tf): occurrences per row.
+
+    Character grams come from the distinct words of a row, weighted by their count.
+    """
+    rows = by_id(df.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("_t")))
+    words = rows.select("id", F.explode(word_ngrams(F.col("_t"))).alias("term")).groupBy("id", "term").agg(
+        F.count(F.lit(1)).alias("tf")).select("id", F.lit("word").alias("analyzer"), "term", "tf")
+    distinct = rows.select("id", F.explode(_all(F.col("_t"), r"\S+")).alias("w")).groupBy("id", "w").agg(
+        F.count(F.lit(1)).alias("k"))
+    chars = distinct.select("id", "k", F.explode(_padded_grams(F.col("w"), 3, 5)).alias("term")).groupBy(
+        "id", "term").agg(F.sum("k").alias("tf")).select("id", F.lit("char").alias("analyzer"), "term", "tf")
+    return words.unionByName(chars)
 
 
 def vocabulary(term_counts: DataFrame, n_docs: int, min_df: int = 2) -> DataFrame:
@@ -60,32 +70,47 @@ def vocabulary(term_counts: DataFrame, n_docs: int, min_df: int = 2) -> DataFram
     return df.filter(F.col("df") >= min_df).withColumn("idf", idf)
 
 
-def weigh(term_counts: DataFrame, vocab: DataFrame) -> DataFrame:
+# A vocabulary of this many terms is some 60 MB: small enough to send to every task.
+BROADCAST_TERMS = 1_000_000
+
+
+def weigh(term_counts: DataFrame, vocab: DataFrame, n_terms: int) -> DataFrame:
     """(id, analyzer, term, weight) + vocabulary columns: sublinear tf times idf,
     scaled to length 1 per row and analyzer.
 
-    The join is on the term.  A term found in most rows is a hot key; skew joins
-    split its rows, as its vocabulary side is a single row.
+    A vocabulary of checked size is broadcast and rows stay in place.  A larger one
+    is joined on the term; a term found in most rows is then a hot key, which skew
+    joins split, as its vocabulary side is a single row.
     """
-    raw = term_counts.join(vocab, ["analyzer", "term"]).withColumn(
+    table = F.broadcast(vocab) if n_terms <= BROADCAST_TERMS else vocab
+    raw = term_counts.join(table, ["analyzer", "term"]).withColumn(
         "_w", (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
-    norms = raw.groupBy("id", "analyzer").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, ["id", "analyzer"]).withColumn(
+    # as long as one document has terms
+    per_row = Window.partitionBy("id", "analyzer")
+    return raw.withColumn("_norm", F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(per_row))).withColumn(
         "weight", F.col("_w") / F.col("_norm")).drop("_w", "_norm")
 
 
+def stored_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> tuple[DataFrame, int]:
+    """The vocabulary written to the shared folder, and its size."""
+    spark = counts.sparkSession
+    path = shared_path(spark, "vocabulary")
+    vocabulary(counts, n_docs, min_df).write.parquet(path)
+    vocab = spark.read.parquet(path)
+    return vocab, vocab.count()
+
+
 def tfidf(df: DataFrame, min_df: int = 2, id_col: str = "id", text: str = "script") -> DataFrame:
-    counts = checkpointed(terms(df, id_col, text))
-    return weigh(counts, vocabulary(counts, df.count(), min_df)).select(
-        "id", "analyzer", "term", "df", "idf", "tf", "weight")
+    counts = terms(df, id_col, text)
+    vocab, n_terms = stored_vocabulary(counts, df.count(), min_df)
+    return weigh(counts, vocab, n_terms).select("id", "analyzer", "term", "df", "idf", "tf", "weight")
 
 
 class TextSpace:
     """Vocabulary and weights of a training corpus, applied to any corpus."""
 
     def __init__(self, train: DataFrame, min_df: int = 2, max_columns: int = MAX_COLUMNS):
-        counts = terms(train)
-        vocab = vocabulary(counts, train.count(), min_df).withColumn(
+        vocab = vocabulary(terms(train), train.count(), min_df).withColumn(
             "_md5", F.md5(F.concat_ws("|", "analyzer", "term")))
         numbered = checkpointed(ranking.ranked(
             vocab, [], ranking.hash_bucket(F.col("_md5")), [F.col("_md5"), F.col("term")], "_rank"))
@@ -98,7 +123,7 @@ class TextSpace:
                 columns: int | None = None) -> DataFrame:
         """``rows`` with a sparse TF-IDF vector; ``columns`` folds it to fewer."""
         size = max(1, self.size if columns is None else min(columns, self.size))
-        weights = weigh(terms(rows), self.vocab).groupBy(
+        weights = weigh(terms(rows), self.vocab, self.n_terms).groupBy(
             "id", F.pmod(F.col("slot"), F.lit(size)).alias("slot")).agg(F.sum("weight").alias("weight"))
         # one list per script: as long as the script has terms
         packed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("_e"))
@@ -178,36 +203,47 @@ def metric_table(pred: DataFrame, keys: tuple = ("detector",)) -> DataFrame:
 KEEP = ["id", "label"]
 
 
-def fit_baseline(name: str, train: DataFrame, space: TextSpace | None = None, n_trees: int = 300):
-    """Fit one text baseline; returns (vectoriser, fitted model)."""
-    space = space or TextSpace(train)
-    columns = FOREST_COLUMNS if name == "text_rf" else None
-    rows = checkpointed(with_class_weights(space.vectors(train, ["label"], columns=columns)))
-    n = rows.count()
-    estimator = {"text_logreg": lambda: logreg(n), "text_svm": lambda: svm(n),
-                 "text_rf": lambda: forest(n_trees)}[name]()
-    return (lambda other: space.vectors(other, ["label"], columns=columns)), estimator.fit(rows)
+def _width(name: str) -> int | None:
+    return FOREST_COLUMNS if name == "text_rf" else None
 
 
-def baseline_predictions(name: str, train: DataFrame, test: DataFrame, space: TextSpace | None = None,
-                         n_trees: int = 300) -> DataFrame:
-    vectorise, model = fit_baseline(name, train, space, n_trees)
-    return scored_by(model, vectorise(test), KEEP, name)
+def training_vectors(space: TextSpace, train: DataFrame, columns: int | None = None) -> DataFrame:
+    return checkpointed(with_class_weights(space.vectors(train, ["label"], columns=columns)))
 
 
-def evaluate_baselines(train: DataFrame, test: DataFrame, real: DataFrame | None = None,
-                       names: tuple = ("text_logreg", "text_svm", "text_rf"), n_trees: int = 300) -> DataFrame:
-    """Metrics of every baseline on ``test``, and on ``real`` after a refit on all rows."""
+def fit_baseline(name: str, rows: DataFrame, n_trees: int = 300):
+    """Fit one text baseline on weighted training vectors."""
+    if name == "text_rf":
+        return forest(n_trees).fit(rows)
+    return {"text_logreg": logreg, "text_svm": svm}[name](rows.count()).fit(rows)
+
+
+def baseline_predictions(names: tuple, train: DataFrame, test: DataFrame, n_trees: int = 300) -> DataFrame:
+    """(id, label, detector, risk, predicted) of each baseline fitted on ``train``.
+
+    Estimators that read the same vectors share them.
+    """
+    train, test = checkpointed(train), checkpointed(test)
     space = TextSpace(train)
-    parts = [baseline_predictions(n, train, test, space, n_trees).withColumn("target", F.lit("test")) for n in names]
-    if real is not None:
-        everything = train.unionByName(test)
-        full = TextSpace(everything)
-        parts += [baseline_predictions(n, everything, real, full, n_trees).withColumn("target", F.lit("holdout"))
-                  for n in names]
+    parts = []
+    for columns in dict.fromkeys(_width(n) for n in names):
+        fit_on = training_vectors(space, train, columns)
+        target = checkpointed(space.vectors(test, ["label"], columns=columns))
+        parts += [scored_by(fit_baseline(n, fit_on, n_trees), target, KEEP, n)
+                  for n in names if _width(n) == columns]
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
+    return pred
+
+
+def evaluate_baselines(train: DataFrame, test: DataFrame, real: DataFrame | None = None,
+                       names: tuple = ("text_logreg", "text_svm", "text_rf"), n_trees: int = 300) -> DataFrame:
+    """Metrics of every baseline on ``test``, and on ``real`` after a refit on all rows."""
+    pred = baseline_predictions(names, train, test, n_trees).withColumn("target", F.lit("test"))
+    if real is not None:
+        refit = baseline_predictions(names, train.unionByName(test), real, n_trees)
+        pred = pred.unionByName(refit.withColumn("target", F.lit("holdout")))
     return metric_table(pred, ("target", "detector"))
 
 

@@ -488,7 +488,7 @@ def _text_split(spark, sf):
 def _baseline(name):
     def run(spark, sf):
         train, test = _text_split(spark, sf)
-        out = textml.metric_table(textml.baseline_predictions(name, train, test))
+        out = textml.metric_table(textml.baseline_predictions((name,), train, test))
         return out.select("detector", "tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in [*M.METRICS, "roc_auc", "pr_auc"]])
     return run
 
