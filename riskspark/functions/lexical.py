@@ -147,16 +147,27 @@ def segment_words(segments: Column) -> Column:
     return F.transform(segments, tokenize)
 
 
-def commands_of(words: Column) -> Column:
+def _plain_word(word: Column) -> Column:
+    """True for a word that can be a command: no assignment, no block keyword."""
+    assignment = word.contains("=") & word.rlike(K.ASSIGNMENT_PATTERN)
+    return ~assignment & ~word.isin(K.SKIPPED_WORDS)
+
+
+def commands_of(segments: Column) -> Column:
     """Command names: the first word of a segment that is neither an assignment
-    nor a block keyword, without its folder; ordered, distinct."""
-    def first(tokens: Column) -> Column:
-        kept = F.filter(
-            tokens, lambda t: ~t.rlike(K.ASSIGNMENT_PATTERN) & ~t.isin(K.SKIPPED_WORDS))
-        return F.get(kept, F.lit(0))
+    nor a block keyword, without its folder; ordered, distinct.
+
+    Most segments start with the command and hold no quotes: their first word is
+    cut off without splitting the rest.
+    """
+    def first(segment: Column) -> Column:
+        head = F.substring_index(segment, " ", 1)
+        simple = ~segment.rlike(r"""['"\\#\t\r]""") & _plain_word(head)
+        return F.when(simple, head).otherwise(
+            F.get(F.filter(tokenize(segment), _plain_word), F.lit(0)))
 
     firsts = F.filter(
-        F.transform(words, first), lambda c: c.isNotNull() & (c != "") & ~c.startswith("-"))
+        F.transform(segments, first), lambda c: c.isNotNull() & (c != "") & ~c.startswith("-"))
     return F.array_distinct(F.transform(firsts, basename))
 
 
@@ -173,7 +184,7 @@ def parse_scripts(df: DataFrame, text: str = "script") -> DataFrame:
         .withColumn("seg_words", segment_words(F.col("segments")))
         .withColumns({
             "parsed_with": F.lit("fallback"),
-            "commands": commands_of(F.col("seg_words")),
+            "commands": commands_of(F.col("segments")),
             "flags": flags_of(F.col("seg_words")),
             "words": F.flatten("seg_words"),
             "paths": extract_paths(t),

@@ -50,42 +50,97 @@ def shingles(text: Column, size: int = 3) -> Column:
         n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
+# A shingle of more sets than this is hot: it never forms pairs on its own.
+HOT_SETS = 1000
+
+
+def _set_rows(df: DataFrame, side: str, size: int, id_col: str, text: str) -> DataFrame:
+    """(side, id, _set, _s): sorted shingle hashes of every non-empty text."""
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(
+        shingles(F.col(text), size), lambda s: F.xxhash64(s))).alias("_s")).filter(F.size("_s") > 0)
+    return rows.withColumn("_set", F.sha2(F.to_json("_s"), 256)).withColumn("side", F.lit(side))
+
+
+def _jaccard(common: Column, n_a: Column, n_b: Column) -> Column:
+    return common / (n_a + n_b - common)
+
+
+def _rare_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(set_a, similarity) of pairs that share a prefix shingle that is not hot."""
+    prefix = placed.filter("in_prefix and not hot")
+    left = prefix.filter("side = 'a'").select("s", F.col("_set").alias("set_a"), F.col("n").alias("n_a"))
+    right = prefix.filter("side = 'b'").select("s", F.col("_set").alias("set_b"), F.col("n").alias("n_b"))
+    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
+    pairs = left.join(right, "s").filter(fits).select("set_a", "set_b").distinct()
+
+    def arrays(side: str) -> DataFrame:
+        return sets.filter(F.col("side") == side).select(
+            F.col("_set").alias(f"set_{side}"), F.col("_s").alias(f"s_{side}"))
+
+    both = pairs.join(arrays("a"), "set_a").join(arrays("b"), "set_b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.select("set_a", _jaccard(common, F.size("s_a"), F.size("s_b")).alias("similarity"))
+
+
+def _hot_pairs(placed: DataFrame) -> DataFrame:
+    """(set_a, similarity) counting hot shingles alone.
+
+    Sets fold by their hot part: a group of near copies shares one, however large
+    the group is.  Without a common rare shingle the overlap is that of the hot
+    parts, and the smallest member is the most similar one; with a common rare
+    shingle this is a lower bound and the rare pairs hold the exact value.
+    """
+    per_set = placed.groupBy("side", "_set", "n").agg(
+        F.count_if(F.col("hot") & F.col("in_prefix")).alias("reach"),
+        F.array_sort(F.collect_list(F.when(F.col("hot"), F.struct("df", "s")))).alias("_hot"))
+    per_set = per_set.filter(F.col("reach") > 0).withColumn(
+        "hot_set", F.sha2(F.to_json("_hot"), 256))
+    a = per_set.filter("side = 'a'").groupBy("hot_set", "n").agg(
+        F.max("reach").alias("reach"), F.any_value("_hot").alias("_hot"))
+    b = per_set.filter("side = 'b'").groupBy("hot_set").agg(
+        F.max("reach").alias("reach"), F.any_value("_hot").alias("_hot"), F.min("n").alias("n"))
+
+    def reached(folded: DataFrame, *keys: Column) -> DataFrame:
+        first = F.slice("_hot", F.lit(1), F.col("reach").cast("int"))
+        return folded.select(*keys, F.explode(first).alias("e")).select("*", "e.s").drop("e")
+
+    left = reached(a, F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"))
+    right = reached(b, F.col("hot_set").alias("hot_b"))
+    pairs = left.join(right, "s").select("hot_a", "n_a", "hot_b").distinct()
+    both = pairs.join(a.select(F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"), F.col("_hot").alias("s_a")),
+                      ["hot_a", "n_a"]).join(
+        b.select(F.col("hot_set").alias("hot_b"), F.col("n").alias("n_b"), F.col("_hot").alias("s_b")), "hot_b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    best = both.groupBy("hot_a", "n_a").agg(
+        F.max(_jaccard(common, F.col("n_a"), F.col("n_b"))).alias("similarity"))
+    members = per_set.filter("side = 'a'").select(
+        F.col("_set").alias("set_a"), F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"))
+    return members.join(best, ["hot_a", "n_a"]).select("set_a", "similarity")
+
+
 def near_duplicates(a: DataFrame, b: DataFrame, threshold: float = 0.85, size: int = 3,
-                    id_col: str = "id", text: str = "text") -> DataFrame:
+                    id_col: str = "id", text: str = "text", hot_sets: int = HOT_SETS) -> DataFrame:
     """Rows of ``a`` whose best shingle Jaccard against any row of ``b`` reaches
     ``threshold``: (id, similarity).  Exact; no pair of unrelated rows is formed.
 
     * Rows with one and the same shingle set fold into one set first, so copies
       meet once however many there are.
-    * Shingles are ordered rare first.  Two sets as similar as the threshold share
-      one of their first ``n - ceil(t * n) + 1`` shingles and differ in size by at
-      most the factor ``t``; only such pairs are candidates, and common shingles
-      sit beyond the prefix.
+    * Shingles are ordered rare first.  The first shingle two sets share lies among
+      the first ``n - ceil(t * n) + 1`` of each when they are as similar as the
+      threshold; only such pairs are candidates.
+    * A shingle of more than ``hot_sets`` sets forms no pairs of sets: sets fold by
+      their hot shingles and meet once per fold.
     """
-    def prepared(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(F.col(id_col).alias("id"), F.transform(
-            shingles(F.col(text), size), lambda s: F.xxhash64(s)).alias("_s"))
-        rows = rows.filter(F.size("_s") > 0).withColumn("_s", F.array_sort("_s"))
-        return rows.withColumn("_set", F.sha2(F.to_json("_s"), 256)).withColumn("side", F.lit(side))
-
-    rows = checkpointed(prepared(a, "a").unionByName(prepared(b, "b")))
+    rows = checkpointed(_set_rows(a, "a", size, id_col, text).unionByName(_set_rows(b, "b", size, id_col, text)))
     sets = rows.groupBy("side", "_set").agg(F.any_value("_s").alias("_s"))
     posting = sets.select("side", "_set", F.size("_s").alias("n"), F.explode("_s").alias("s"))
     freq = posting.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = Window.partitionBy("side", "_set").orderBy("df", "s")
-    placed = posting.join(freq, "s").withColumn("pos", F.row_number().over(by_rarity))
     # 1e-9 keeps ceil() from rounding up an exact product
-    prefix = placed.filter(
-        F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    left = prefix.filter("side = 'a'").select("s", F.col("_set").alias("set_a"), F.col("n").alias("n_a"))
-    right = prefix.filter("side = 'b'").select("s", F.col("_set").alias("set_b"), F.col("n").alias("n_b"))
-    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = left.join(right, "s").filter(fits).select("set_a", "set_b").distinct()
-    with_a = pairs.join(sets.filter("side = 'a'").select(F.col("_set").alias("set_a"), F.col("_s").alias("s_a")), "set_a")
-    with_b = with_a.join(sets.filter("side = 'b'").select(F.col("_set").alias("set_b"), F.col("_s").alias("s_b")), "set_b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    jaccard = common / (F.size("s_a") + F.size("s_b") - common)
-    best = with_b.select("set_a", jaccard.alias("similarity")).groupBy("set_a").agg(
+    last = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    placed = posting.join(freq, "s").withColumns({
+        "in_prefix": F.row_number().over(by_rarity) <= last, "hot": F.col("df") > hot_sets})
+    best = _rare_pairs(placed, sets, threshold).unionByName(_hot_pairs(placed)).groupBy("set_a").agg(
         F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold)
     members = rows.filter("side = 'a'").select("id", F.col("_set").alias("set_a"))
     return members.join(best, "set_a").select("id", "similarity")

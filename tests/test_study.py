@@ -102,17 +102,25 @@ def test_near_duplicates_match_brute_force(spark):
         return {" ".join(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({" ".join(w)} if w else set())
 
     bs = [shingles(r["text"]) for r in b.collect()]
-    for threshold in (.85, .5):
+    for threshold, hot in ((.85, 1000), (.85, 3), (.5, 1000), (.5, 3), (.5, 0)):
         want = {}
         for r in a.collect():
             s = shingles(r["text"])
             best = max((len(s & o) / len(s | o) for o in bs if s | o), default=0) if s else 0
             if best >= threshold:
                 want[r["id"]] = best
-        got = {r["id"]: r["similarity"] for r in hygiene.near_duplicates(a, b, threshold).collect()}
+        got = {r["id"]: r["similarity"] for r in hygiene.near_duplicates(a, b, threshold, hot_sets=hot).collect()}
         assert got == pytest.approx(want)
 
 
+def test_a_group_of_near_copies_meets_once_per_fold(spark):
+    core = " ".join(f"c{i}" for i in range(100))
+    a = spark.createDataFrame([(i, f"{core} a{i}") for i in range(200)], "id long, text string")
+    b = spark.createDataFrame([(i, f"{core} b{i} b{i}x") for i in range(200)], "id long, text string")
+    out = hygiene.near_duplicates(a, b, hot_sets=50).collect()
+    assert len(out) == 200 and all(r["similarity"] == pytest.approx(98 / 101) for r in out)
+
+
 def test_near_duplicates_form_no_pairs_across_unrelated_rows(spark):
     a = spark.createDataFrame([(1, "a b c d")], "id long, text string")
     plan = hygiene.near_duplicates(a, a)._jdf.queryExecution().executedPlan().toString()
