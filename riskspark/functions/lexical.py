@@ -97,8 +97,8 @@ def basename(word: Column) -> Column:
 
 
 def pipes_to_shell(text: Column) -> Column:
-    parts = F.split(text, r"\|")
-    fed = F.slice(parts, F.lit(2), F.size(parts))
+    # start + length must stay an int; no array reaches 2**30 segments
+    fed = F.slice(F.split(text, r"\|"), F.lit(2), F.lit(2**30))
     found = F.exists(
         fed,
         lambda s: basename(F.regexp_extract(strip(s), r"^(sudo\s+)?(\S+)", 2)).isin(

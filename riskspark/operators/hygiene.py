@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lexical import _all
-from ..session import checkpointed
+from ..session import stored
 
 
 def dedup_exact(df: DataFrame, text: str = "script", order: str = "id") -> DataFrame:
@@ -37,17 +37,15 @@ def pending_annotation(corpus: DataFrame, done: DataFrame, max_chars: int = 4000
     })
 
 
-def shingles(text: Column, size: int = 3) -> Column:
-    """Distinct runs of ``size`` lower-case words (the whole text when shorter)."""
-    words = _all(F.lower(text), r"\S+")
+def shingles(words: Column, size: int = 3) -> Column:
+    """Distinct runs of ``size`` words (all words together when there are fewer)."""
     n = F.size(words)
     # Shifted copies of the word list, zipped: each is built once per text.
     room = F.greatest(n - size + 1, F.lit(0))
     runs = F.slice(words, F.lit(1), room)
     for i in range(1, size):
         runs = F.zip_with(runs, F.slice(words, F.lit(i + 1), room), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n >= size, F.array_distinct(runs)).when(
-        n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= size, runs).otherwise(F.array(F.array_join(words, " ")))
 
 
 # A shingle of more sets than this is hot: it never forms pairs on its own.
@@ -56,33 +54,62 @@ HOT_SETS = 1000
 
 def _set_rows(df: DataFrame, side: str, size: int, id_col: str, text: str) -> DataFrame:
     """(side, id, _set, _s): sorted shingle hashes of every non-empty text."""
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(
-        shingles(F.col(text), size), lambda s: F.xxhash64(s))).alias("_s")).filter(F.size("_s") > 0)
-    return rows.withColumn("_set", F.sha2(F.to_json("_s"), 256)).withColumn("side", F.lit(side))
+    # The filter is on the text: on the shingles it would compute them twice.
+    words = df.filter(F.col(text).rlike(r"\S")).select(
+        F.col(id_col).alias("id"), _all(F.lower(F.col(text)), r"\S+").alias("_w"))
+    hashed = F.transform(shingles(F.col("_w"), size), lambda s: F.xxhash64(s))
+    rows = words.select("id", F.array_sort(F.array_distinct(hashed)).alias("_s"))
+    return rows.withColumn("_set", F.unhex(F.md5(F.to_json("_s")))).withColumn("side", F.lit(side))
+
+
+def _ordered_sets(rows: DataFrame, threshold: float, hot_sets: int) -> DataFrame:
+    """One row per distinct set and side: its shingles rare first, split into the
+    prefix that is not hot (``rare``) and all hot ones (``hot``), and how many of
+    the hot ones the prefix reaches (``reach``)."""
+    sets = rows.groupBy("side", "_set").agg(F.any_value("_s").alias("_s"))
+    posting = sets.select("side", "_set", F.explode("_s").alias("s"))
+    freq = posting.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    # one list per set, as long as its text
+    ordered = posting.join(freq, "s").groupBy("side", "_set").agg(
+        F.array_sort(F.collect_list(F.struct("df", "s"))).alias("_o")).withColumn("n", F.size("_o"))
+    # 1e-9 keeps ceil() from rounding up an exact product
+    last = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    prefix = F.slice("_o", F.lit(1), last)
+
+    def hashes(items: Column) -> Column:
+        return F.transform(items, lambda e: e["s"])
+
+    rare = F.filter(prefix, lambda e: e["df"] <= hot_sets)
+    hot = F.filter(F.col("_o"), lambda e: e["df"] > hot_sets)
+    return ordered.select(
+        "side", "_set", "n", hashes(F.col("_o")).alias("_s"), hashes(rare).alias("rare"),
+        hashes(hot).alias("hot"), (last - F.size(rare)).alias("reach"))
 
 
 def _jaccard(common: Column, n_a: Column, n_b: Column) -> Column:
     return common / (n_a + n_b - common)
 
 
-def _rare_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(set_a, similarity) of pairs that share a prefix shingle that is not hot."""
-    prefix = placed.filter("in_prefix and not hot")
-    left = prefix.filter("side = 'a'").select("s", F.col("_set").alias("set_a"), F.col("n").alias("n_a"))
-    right = prefix.filter("side = 'b'").select("s", F.col("_set").alias("set_b"), F.col("n").alias("n_b"))
-    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = left.join(right, "s").filter(fits).select("set_a", "set_b").distinct()
+    def side(name: str) -> DataFrame:
+        return sets.filter(F.col("side") == name)
 
-    def arrays(side: str) -> DataFrame:
-        return sets.filter(F.col("side") == side).select(
-            F.col("_set").alias(f"set_{side}"), F.col("_s").alias(f"s_{side}"))
+    def prefix(name: str) -> DataFrame:
+        return side(name).select(F.explode("rare").alias("s"), F.col("_set").alias(f"set_{name}"),
+                                 F.col("n").alias(f"n_{name}"))
 
-    both = pairs.join(arrays("a"), "set_a").join(arrays("b"), "set_b")
+    def whole(name: str) -> DataFrame:
+        return side(name).select(F.col("_set").alias(f"set_{name}"), F.col("_s").alias(f"s_{name}"))
+
+    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
+    pairs = prefix("a").join(prefix("b"), "s").filter(fits).select("set_a", "set_b").distinct()
+    both = pairs.join(whole("a"), "set_a").join(whole("b"), "set_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.select("set_a", _jaccard(common, F.size("s_a"), F.size("s_b")).alias("similarity"))
 
 
-def _hot_pairs(placed: DataFrame) -> DataFrame:
+def _hot_pairs(sets: DataFrame) -> DataFrame:
     """(set_a, similarity) counting hot shingles alone.
 
     Sets fold by their hot part: a group of near copies shares one, however large
@@ -90,26 +117,22 @@ def _hot_pairs(placed: DataFrame) -> DataFrame:
     parts, and the smallest member is the most similar one; with a common rare
     shingle this is a lower bound and the rare pairs hold the exact value.
     """
-    per_set = placed.groupBy("side", "_set", "n").agg(
-        F.count_if(F.col("hot") & F.col("in_prefix")).alias("reach"),
-        F.array_sort(F.collect_list(F.when(F.col("hot"), F.struct("df", "s")))).alias("_hot"))
-    per_set = per_set.filter(F.col("reach") > 0).withColumn(
-        "hot_set", F.sha2(F.to_json("_hot"), 256))
+    per_set = sets.filter(F.col("reach") > 0).select(
+        "side", "_set", "n", "hot", "reach", F.unhex(F.md5(F.to_json("hot"))).alias("hot_set"))
     a = per_set.filter("side = 'a'").groupBy("hot_set", "n").agg(
-        F.max("reach").alias("reach"), F.any_value("_hot").alias("_hot"))
+        F.max("reach").alias("reach"), F.any_value("hot").alias("hot"))
     b = per_set.filter("side = 'b'").groupBy("hot_set").agg(
-        F.max("reach").alias("reach"), F.any_value("_hot").alias("_hot"), F.min("n").alias("n"))
+        F.max("reach").alias("reach"), F.any_value("hot").alias("hot"), F.min("n").alias("n"))
 
     def reached(folded: DataFrame, *keys: Column) -> DataFrame:
-        first = F.slice("_hot", F.lit(1), F.col("reach").cast("int"))
-        return folded.select(*keys, F.explode(first).alias("e")).select("*", "e.s").drop("e")
+        return folded.select(*keys, F.explode(F.slice("hot", F.lit(1), F.col("reach"))).alias("s"))
 
     left = reached(a, F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"))
     right = reached(b, F.col("hot_set").alias("hot_b"))
     pairs = left.join(right, "s").select("hot_a", "n_a", "hot_b").distinct()
-    both = pairs.join(a.select(F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"), F.col("_hot").alias("s_a")),
+    both = pairs.join(a.select(F.col("hot_set").alias("hot_a"), F.col("n").alias("n_a"), F.col("hot").alias("s_a")),
                       ["hot_a", "n_a"]).join(
-        b.select(F.col("hot_set").alias("hot_b"), F.col("n").alias("n_b"), F.col("_hot").alias("s_b")), "hot_b")
+        b.select(F.col("hot_set").alias("hot_b"), F.col("n").alias("n_b"), F.col("hot").alias("s_b")), "hot_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     best = both.groupBy("hot_a", "n_a").agg(
         F.max(_jaccard(common, F.col("n_a"), F.col("n_b"))).alias("similarity"))
@@ -131,16 +154,10 @@ def near_duplicates(a: DataFrame, b: DataFrame, threshold: float = 0.85, size: i
     * A shingle of more than ``hot_sets`` sets forms no pairs of sets: sets fold by
       their hot shingles and meet once per fold.
     """
-    rows = checkpointed(_set_rows(a, "a", size, id_col, text).unionByName(_set_rows(b, "b", size, id_col, text)))
-    sets = rows.groupBy("side", "_set").agg(F.any_value("_s").alias("_s"))
-    posting = sets.select("side", "_set", F.size("_s").alias("n"), F.explode("_s").alias("s"))
-    freq = posting.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = Window.partitionBy("side", "_set").orderBy("df", "s")
-    # 1e-9 keeps ceil() from rounding up an exact product
-    last = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    placed = posting.join(freq, "s").withColumns({
-        "in_prefix": F.row_number().over(by_rarity) <= last, "hot": F.col("df") > hot_sets})
-    best = _rare_pairs(placed, sets, threshold).unionByName(_hot_pairs(placed)).groupBy("set_a").agg(
+    rows = stored(_set_rows(a, "a", size, id_col, text).unionByName(
+        _set_rows(b, "b", size, id_col, text)), "shingles")
+    sets = stored(_ordered_sets(rows, threshold, hot_sets), "sets")
+    best = _rare_pairs(sets, threshold).unionByName(_hot_pairs(sets)).groupBy("set_a").agg(
         F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold)
     members = rows.filter("side = 'a'").select("id", F.col("_set").alias("set_a"))
     return members.join(best, "set_a").select("id", "similarity")

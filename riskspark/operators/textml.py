@@ -10,24 +10,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, ranking
 from ..functions.lexical import _all
-from ..session import checkpointed, shared_path
+from ..session import checkpointed, stored
 from . import metrics as M, scoring
 
-NO_TERMS = "array<string>"
 # Beyond this many terms, columns are shared by hashing so that the model on the
 # driver keeps a fixed size.
 MAX_COLUMNS = 1 << 20
 FOREST_COLUMNS = 1 << 10
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case words of two or more word characters."""
+    return _all(F.lower(text), K.WORD_TOKEN_PATTERN)
+
+
+def with_pairs(words: Column) -> Column:
+    """Words and pairs of neighbours; pass a column, it is read several times."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(
+        F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def word_ngrams(text: Column) -> Column:
-    """Lower-case words of two or more word characters, and pairs of neighbours."""
-    words = _all(F.lower(text), K.WORD_TOKEN_PATTERN)
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(
-        F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
-        lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast(NO_TERMS))
-    return F.concat(words, pairs)
+    return with_pairs(words_of(text))
 
 
 def _padded_grams(word: Column, low: int, high: int) -> Column:
@@ -54,7 +59,8 @@ def terms(df: DataFrame, id_col: str = "id", text: str = "script") -> DataFrame:
     Character grams come from the distinct words of a row, weighted by their count.
     """
     rows = by_id(df.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("_t")))
-    words = rows.select("id", F.explode(word_ngrams(F.col("_t"))).alias("term")).groupBy("id", "term").agg(
+    words = rows.select("id", words_of(F.col("_t")).alias("_w")).select(
+        "id", F.explode(with_pairs(F.col("_w"))).alias("term")).groupBy("id", "term").agg(
         F.count(F.lit(1)).alias("tf")).select("id", F.lit("word").alias("analyzer"), "term", "tf")
     distinct = rows.select("id", F.explode(_all(F.col("_t"), r"\S+")).alias("w")).groupBy("id", "w").agg(
         F.count(F.lit(1)).alias("k"))
@@ -93,10 +99,7 @@ def weigh(term_counts: DataFrame, vocab: DataFrame, n_terms: int) -> DataFrame:
 
 def stored_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> tuple[DataFrame, int]:
     """The vocabulary written to the shared folder, and its size."""
-    spark = counts.sparkSession
-    path = shared_path(spark, "vocabulary")
-    vocabulary(counts, n_docs, min_df).write.parquet(path)
-    vocab = spark.read.parquet(path)
+    vocab = stored(vocabulary(counts, n_docs, min_df), "vocabulary")
     return vocab, vocab.count()
 
 

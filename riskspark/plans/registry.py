@@ -37,6 +37,13 @@ def spread(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(key).repartition(keys.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def spread_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents over all cores: a text grows into thousands of grams, so one
+    split of bytes read is too much work for one task."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The study corpus: one generated script per order."""
     return synthesize_corpus(spread(table(spark, sf, "orders"), "o_orderkey"), "o_orderkey")

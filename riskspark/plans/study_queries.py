@@ -14,7 +14,7 @@ from ..streaming import jobs
 from . import sqlbase as Q
 from .metric_queries import (DECIDED_COLUMNS, EVENTS_SQL, METRIC_COLUMNS, RULES_SQL, cells, metric_exprs, metric_row,
                              syscalls, wilson_sql)
-from .registry import (BENIGN, HOLDOUT, SCORED, benign, corpus, d6, holdout, query, r6, scored, spread, table)
+from .registry import (BENIGN, HOLDOUT, SCORED, benign, corpus, d6, holdout, query, r6, scored, spread, spread_texts, table)
 
 SCRIPTS = Q.scripts()
 CUSTOMER_SCRIPTS = Q.scripts("customer", "c_custkey", 2024, "h_")
@@ -129,7 +129,7 @@ best AS (SELECT da, max(c / (na + nb - c)::DOUBLE) AS similarity FROM shared GRO
 @query("near_duplicates", f"WITH {SHINGLE_SQL} SELECT da AS id, {d6('similarity')} AS similarity FROM best WHERE similarity >= 0.85")
 def near_duplicates(spark, sf):
     """Labelled documents that nearly repeat one of the others."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread_texts(spark, sf).withColumnRenamed("doc_id", "id")
     ids = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     a, b = docs.join(ids, "id", "left_semi"), docs.join(ids, "id", "left_anti")
     return hygiene.near_duplicates(a, b, 0.85).select("id", r6("similarity").alias("similarity"))
@@ -439,7 +439,7 @@ SQL_CHAR_GRAMS = (r"flatten(list_transform(regexp_extract_all(lower(text), '\S+'
 
 def _grams(spark, sf, fn):
     g = fn(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return spread_texts(spark, sf).select(
         "doc_id", F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("n_distinct"),
         F.md5(F.array_join(F.array_sort(g), "|")).alias("digest"))
 

@@ -52,6 +52,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip(chr(47))}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a large intermediate table to the shared folder as Parquet and read it
+    back: columnar, pruned per reader, and no lineage behind it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written rows.
 
