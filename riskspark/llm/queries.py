@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, simhash, url_filter
+from . import bpe, decontaminate, exact_dedup, simhash, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,35 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.text_groups(table(spark, sf, "documents"), keep="max")
 
 
+@query("op6_decontamination", r"""
+    WITH cut_docs AS (
+      SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
+      WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    cut_items AS (
+      SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark
+      WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    items AS (SELECT item_id, w, least(5, len(w)) AS k FROM cut_items WHERE len(w) > 0),
+    item_shingles AS (
+      SELECT DISTINCT item_id, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS s
+      FROM items),
+    sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+    doc_shingles AS (
+      SELECT DISTINCT doc_id, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS s
+      FROM cut_docs, (SELECT DISTINCT k FROM items)),
+    hits AS (
+      SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (k, s)
+      GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+    FROM hits JOIN sizes USING (item_id) WHERE n_shared >= ceil(n_shingles * 0.8 - 1e-9)""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 # FIXED VALUES: the listed rules.
 URL_RULES = [
     url_filter.Rule("allow", "org/"),

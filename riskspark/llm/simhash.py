@@ -272,6 +272,7 @@ def drop_near_copies(docs: DataFrame, size: int = 4, radius: int = 4, id_col: st
                      text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component (the one of the smallest id), all
     columns as they are.  Rows with a null id stay."""
-    gone = near_groups(docs, size, radius, id_col=id_col, text_col=text_col).filter(
-        "doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    groups = near_groups(docs, size, radius, id_col=id_col, text_col=text_col)
+    gone = Scratch(docs.sparkSession, "simhash").store(groups.filter("doc_id <> component_id").select(
+        F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
