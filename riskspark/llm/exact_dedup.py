@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text
+from .common import Scratch, id_and_text
 
 
 def never_null(digest: Column) -> Column:
@@ -58,6 +58,9 @@ def text_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
         "_h", "_s", "keep_id",
         F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(
             F.raise_error(F.lit("two texts share both digests"))).alias("group_size"))
+    # Written, so that the join below has nothing but two exchanges under it and a hot
+    # group can be split.
+    groups = Scratch(docs.sparkSession, "exact").store(groups, "groups")
     rows = base.select("doc_id", "_h", sha256(F.col("_t")).alias("_s"))
     return rows.join(groups, ["_h", "_s"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -67,5 +70,6 @@ def text_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
 def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of equal texts, all columns as they are.
     Rows with a null id stay (they cannot be told apart by id)."""
-    gone = text_groups(docs, keep, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = Scratch(docs.sparkSession, "exact").store(text_groups(docs, keep, id_col, text_col).filter(
+        "not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
