@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, simhash, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, ngram_lm, pii, simhash, token_count, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf, "documents"))
 
 
+@query("op3_lm_scores")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf, "documents"))
+
+
 @query("op4_exact_dedup", """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -45,6 +50,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.text_groups(table(spark, sf, "documents"), keep="max")
 
 
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf, "documents"), BYTE_BPE)
+
+
 @query("op6_decontamination", r"""
     WITH cut_docs AS (
       SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
@@ -87,3 +97,8 @@ URL_RULES = [
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_identifiers(table(spark, sf, "documents"))
