@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_lm, pii, simhash, token_count, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, token_count, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op7_repeats")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
