@@ -276,6 +276,17 @@ ARCHITECTURES = ["SCMP_ARCH_X86_64", "SCMP_ARCH_AARCH64"]
 ACT_ALLOW, ACT_ERRNO, ACT_KILL = "SCMP_ACT_ALLOW", "SCMP_ACT_ERRNO", "SCMP_ACT_KILL_PROCESS"
 NAMESPACES = ["pid", "mount", "uts", "ipc"]
 DROPPED_CAPABILITIES = ["NET_ADMIN", "SYS_ADMIN", "SYS_MODULE"]
+# names, action, comment
+NETWORK_RULE = (NETWORK_DENIED_SYSCALLS, ACT_ERRNO, "network egress blocked at this trust level")
+KILL_RULE = (KILLED_SYSCALLS, ACT_KILL, "execution denied")
+# level: default action, rules after the allowed syscalls, namespaces, dropped capabilities
+LEVEL_SANDBOX = {
+    "TRUSTED": (ACT_ALLOW, [], NAMESPACES, DROPPED_CAPABILITIES),
+    "MONITOR": (ACT_ERRNO, [], NAMESPACES, DROPPED_CAPABILITIES),
+    "RESTRICT": (ACT_ERRNO, [NETWORK_RULE], [*NAMESPACES, "net"], ["ALL"]),
+    "DENY": (ACT_ERRNO, [NETWORK_RULE, KILL_RULE], [*NAMESPACES, "net"], ["ALL"]),
+}
+PROFILE_COMMENT = "seccomp profile for trust level "
 ALLOWING_DECISIONS = ["allow", "allow_with_audit"]
 AUDITING_DECISIONS = ["allow_with_audit", "sandbox"]
 REASONS = {

@@ -187,6 +187,8 @@ def run_configs(train_rows: DataFrame, test_rows: DataFrame, configs: list[tuple
 def with_f1_delta(table: DataFrame, base: str = "full") -> DataFrame:
     from ..functions.tables import with_row
 
+    # one row per configuration, written once: the delta reads it twice
+    table = checkpointed(table)
     full = table.filter(F.col("config") == base).select(F.col("f1").alias("_full"))
     return with_row(table, full).withColumn("delta_f1", F.col("f1") - F.col("_full")).drop("_full")
 

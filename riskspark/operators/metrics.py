@@ -250,9 +250,9 @@ def fpr_reduction(a: DataFrame, b: DataFrame, keys: list[str] = []) -> DataFrame
 def recall_by_variant(pred: DataFrame, keys: list[str] = [], predicted: str = "predicted",
                       base: str = "original") -> DataFrame:
     """Recall on dangerous rows per text variant and its drop from ``base``."""
-    recall = pred.filter("label = 1").groupBy(*keys, "variant").agg(
+    recall = checkpointed(pred.filter("label = 1").groupBy(*keys, "variant").agg(
         F.count(F.lit(1)).alias("n_dangerous"),
-        F.avg(F.col(predicted).cast("int").cast("double")).alias("recall"))
+        F.avg(F.col(predicted).cast("int").cast("double")).alias("recall")))
     original = recall.filter(F.col("variant") == base).select(*keys, F.col("recall").alias("_base"))
     joined = recall.join(original, keys) if keys else with_row(recall, original)
     return joined.withColumn("drop", F.col("_base") - F.col("recall")).drop("_base")

@@ -159,9 +159,17 @@ def override_model(default: DataFrame, override: DataFrame) -> DataFrame:
         "model_id", "feature", F.coalesce("new_weight", "weight").alias("weight"))
 
 
-def read_model(table: DataFrame, disabled: tuple = ()) -> RiskModel:
-    """Load a 15-row model table back into plan-time literals."""
-    values = {r["feature"]: r["weight"] for r in table.select("feature", "weight").limit(64).collect()}
+def read_model(table: DataFrame, disabled: tuple = (), model_id: str | None = None) -> RiskModel:
+    """Load a 15-row model table back into plan-time literals.
+
+    ``model_id`` picks one of several models; a feature that stands twice is an error.
+    """
+    rows = table if model_id is None else table.filter(F.col("model_id") == model_id)
+    known = rows.filter(F.col("feature").isin(*K.FEATURES, "bias", "threshold"))
+    found = known.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.any_value("weight").alias("weight")).collect()
+    if any(r["n"] > 1 for r in found):
+        raise ValueError("the table holds several models: pass model_id")
+    values = {r["feature"]: r["weight"] for r in found}
     weights = {f: values.get(f, K.DEFAULT_WEIGHTS[f]) for f in K.FEATURES}
     return RiskModel(weights, values.get("bias", K.DEFAULT_BIAS),
                      values.get("threshold", K.DEFAULT_THRESHOLD), disabled)

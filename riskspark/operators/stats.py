@@ -21,9 +21,10 @@ from . import metrics as M
 
 BOOT_METRICS = ["precision", "recall", "f1", "mcc", "accuracy", "false_positive_rate"]
 CLUSTER_METRICS = ["precision", "recall", "f1", "false_positive_rate"]
-# A 52-bit uniform number never falls further than 8.3 deviations from the mean;
-# the range below is wider, so no draw is cut off.
-DEVIATIONS = 9
+# Bernstein's inequality bounds the chance beyond t = L/3 + sqrt(L^2/9 + 2 L var) by
+# exp(-L) on either side.  exp(-40) is far below the 2^-53 steps of the uniform numbers,
+# so no draw is cut off, whatever the mean.
+TAIL = 40.0
 EXACT_FACTORIAL = 20
 
 
@@ -50,9 +51,10 @@ def binomial_pmf(n: Column, k: Column, p: Column) -> Column:
 def _cumulative(params: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lo, k and the cumulative probability ``v`` over the range that matters."""
     n, p = F.col("n"), F.col("p")
-    mean, sd = n * p, F.sqrt(n * p * (F.lit(1.0) - p))
-    lo = F.greatest(F.lit(0.0), F.floor(mean - sd * DEVIATIONS) - 2).cast("bigint")
-    hi = F.least(n, (F.ceil(mean + sd * DEVIATIONS) + 2).cast("bigint"))
+    mean, var = n * p, n * p * (F.lit(1.0) - p)
+    reach = F.lit(TAIL / 3) + F.sqrt(F.lit(TAIL**2 / 9) + F.lit(2 * TAIL) * var)
+    lo = F.greatest(F.lit(0.0), F.floor(mean - reach) - 2).cast("bigint")
+    hi = F.least(n, (F.ceil(mean + reach) + 2).cast("bigint"))
     table = params.withColumn("k", F.explode(F.sequence(lo, hi))).withColumn(
         "_pmf", binomial_pmf(n, F.col("k"), p)).withColumn("lo", lo).withColumn("hi", hi)
     order_k = Window.partitionBy(*keys).orderBy("k").rowsBetween(
@@ -141,28 +143,46 @@ def bootstrap_ci(pred: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
         _interval(_long(replicates, BOOT_METRICS, []), alpha), "metric")
 
 
-def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 100, alpha: float = 0.05,
+def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
                      seed: int = K.SPLIT_SEED, score: str = "risk", label: str = "label") -> DataFrame:
     """Percentile interval of roc_auc and pr_auc, class-stratified.
 
-    Areas need scores, not cells: every class member gets a number and each
-    replicate draws as many numbers as the class has members.  That is rows x
-    replicates draws, spread over the cluster, so ``n_boot`` is the knob here.
+    Rows fold to counts per distinct score first.  Drawing the rows of a class with
+    replacement is one multinomial draw over its scores, so a replicate costs the number
+    of distinct scores, whatever the number of rows.  Blocks of replicates are groups of
+    their own; a replicate's generator is seeded by its number, so results do not depend
+    on the partitioning.
     """
-    rows = scored.select("id", F.col(score).alias("score"), F.col(label).cast("int").alias("label"))
-    numbered = ranking.ranked(
-        rows.withColumn("_md5", digest(seed, F.col("id"))), ["label"],
-        ranking.hash_bucket(F.col("_md5")), [F.col("_md5"), F.col("id")], "i").select("label", "i", "score")
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    draws = numbered.select("label", "i").join(F.broadcast(sizes), "label").withColumn(  # two rows
-        "b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(
-        "label", "b", (F.pmod(hex_number(digest(seed, F.col("b"), F.col("label"), F.col("i")), 1, 12),
-                              F.col("size")) + 1).alias("i"))
-    sample = draws.join(numbered, ["label", "i"]).select("b", "score", "label")
-    areas = M.ranking_metrics(sample, ["b"], "score", "label")
-    point = M.ranking_metrics(scored, [], score, label)
+    counts = checkpointed(scored.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
+    blocks = min(64, n_boot)
+
+    def replicates(pdf):
+        import numpy as np
+        import pandas as pd
+
+        table = pdf.sort_values("score", ascending=False)
+        block, out = int(table["block"].iloc[0]), []
+        sizes = {c: int(table[c].sum()) for c in ("pos", "neg")}
+        for b in range(block, n_boot, blocks):
+            if not all(sizes.values()):
+                out.append((b, None, None))
+                continue
+            rng = np.random.default_rng([seed, b])
+            pos, neg = (rng.multinomial(n, table[c].to_numpy() / n) for c, n in sizes.items())
+            cum_pos, cum_all = np.cumsum(pos), np.cumsum(pos + neg)
+            above = np.concatenate(([0], cum_pos[:-1]))
+            roc = (neg * (above + pos / 2)).sum() / (sizes["pos"] * sizes["neg"])
+            # an empty score repeats the point before it, and has no positives to weigh
+            here = np.divide(cum_pos, cum_all, out=np.ones(len(pos)), where=cum_all > 0)
+            pr = (pos * (here + np.concatenate(([1.0], here[:-1]))) / 2).sum() / sizes["pos"]
+            out.append((b, roc, pr))
+        return pd.DataFrame(out, columns=["b", "roc_auc", "pr_auc"]).astype({"roc_auc": float, "pr_auc": float})
+
+    dealt = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    areas = dealt.groupBy("block").applyInPandas(replicates, "b long, roc_auc double, pr_auc double")
     names = ["roc_auc", "pr_auc"]
-    return _long(point, names, []).withColumnRenamed("value", "point").join(
+    return _long(M.ranking_metrics(scored, [], score, label), names, []).withColumnRenamed("value", "point").join(
         _interval(_long(areas, names, []), alpha), "metric")
 
 

@@ -303,9 +303,11 @@ def binomial_sql(params: str, points: str, keys: str, name: str) -> str:
     on = " AND ".join(f"t.{k.strip()} = u.{k.strip()}" for k in keys.split(","))
     pmf = (f"CASE WHEN p <= 0 THEN (k = 0)::INTEGER::DOUBLE WHEN p >= 1 THEN (k = n)::INTEGER::DOUBLE ELSE exp({ln_fact('n')} - {ln_fact('k')} - {ln_fact('(n - k)')} "
            f"+ CASE WHEN k = 0 THEN 0 ELSE k * ln(p) END + CASE WHEN n = k THEN 0 ELSE (n - k) * ln(1 - p) END) END")
+    # 13.4 + sqrt(178 + 80 var): Bernstein's bound at exp(-40), rounded up
+    reach = "(13.4 + sqrt(178 + 80 * n * p * (1 - p)))"
     return f"""{name}_k AS (SELECT {keys}, n, p, unnest(range(
-    greatest(0, floor(n * p - sqrt(n * p * (1 - p)) * 9) - 2)::BIGINT,
-    least(n, (ceil(n * p + sqrt(n * p * (1 - p)) * 9) + 2)::BIGINT) + 1)) AS k FROM {params}),
+    greatest(0, floor(n * p - {reach}) - 2)::BIGINT,
+    least(n, (ceil(n * p + {reach}) + 2)::BIGINT) + 1)) AS k FROM {params}),
 {name}_cdf AS (SELECT {keys}, k, sum({pmf}) OVER (PARTITION BY {keys} ORDER BY k) AS v FROM {name}_k),
 {name} AS (SELECT {', '.join('u.' + k.strip() for k in keys.split(','))}, u.b, t.k AS draw
   FROM {points} u ASOF JOIN {name}_cdf t ON {on} AND t.v >= u.u)"""
@@ -335,7 +337,7 @@ def bootstrap_ci(spark, sf):
 
 @query("bootstrap_auc_ci")
 def bootstrap_auc_ci(spark, sf):
-    out = stats.bootstrap_auc_ci(scored(spark, sf), n_boot=10)
+    out = stats.bootstrap_auc_ci(scored(spark, sf))
     return out.select("metric", *[r6(c).alias(c) for c in ("point", "ci_low", "ci_high")], "n_boot")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import context, fixed as K, lexical
@@ -298,8 +300,7 @@ def seccomp_profile(spark, sf):
                        F.array_join(text, ";").alias("rules"))
 
 
-@query("rego_text", Q.with_(SCORED, POLICY) + """
-SELECT id, 'package riskspark.execution' || chr(10) || chr(10) || '# Generated from the trust level.' || chr(10)
+REGO = """'package riskspark.execution' || chr(10) || chr(10) || '# Generated from the trust level.' || chr(10)
  || '# trust_level = ' || s.level || chr(10) || '# risk_score = ' || printf('%.4f', risk) || chr(10) || chr(10)
  || 'default allow = false' || chr(10) || chr(10) || 'trust_level := "' || s.level || '"' || chr(10)
  || 'risk_score := ' || printf('%.4f', risk) || chr(10) || 'matched_signatures := ['
@@ -308,7 +309,11 @@ SELECT id, 'package riskspark.execution' || chr(10) || chr(10) || '# Generated f
  || CASE WHEN decision IN ('allow', 'allow_with_audit') THEN 'true' ELSE 'false' END || ' }' || chr(10) || chr(10)
  || 'audit { ' || CASE WHEN decision IN ('allow_with_audit', 'sandbox') THEN 'true' ELSE 'false' END || ' }'
  || chr(10) || chr(10) || 'network_egress_allowed := ' || CASE WHEN network = 'allow' THEN 'true' ELSE 'false' END
- || chr(10) || 'allow_new_privileges := ' || CASE WHEN new_privileges THEN 'true' ELSE 'false' END || chr(10) AS rego
+ || chr(10) || 'allow_new_privileges := ' || CASE WHEN new_privileges THEN 'true' ELSE 'false' END || chr(10)"""
+
+
+@query("rego_text", Q.with_(SCORED, POLICY) + f"""
+SELECT id, {REGO} AS rego
 FROM scored s JOIN policy p ON p.level = s.level""")
 def rego_text(spark, sf):
     rows = scoring.analyze(corpus(spark, sf).select("id", "script"))
@@ -330,7 +335,30 @@ def namespace_constraints(spark, sf):
         F.array_join("capabilities_drop", ",").alias("capabilities_drop"))
 
 
-@query("policy_json")
+def _level_documents() -> str:
+    """(level, seccomp, namespace): the parts of the JSON that depend on the level alone."""
+    rows = []
+    for lv in K.LEVELS:
+        default, rules, namespaces, capabilities = K.LEVEL_SANDBOX[lv]
+        _, network, privileges, read_only, cpu, memory, pids = K.LEVEL_POSTURE[lv]
+        allowed = {"names": sorted({*K.BASE_SYSCALLS, *K.LEVEL_SYSCALLS[lv]}), "action": K.ACT_ALLOW}
+        seccomp = {"defaultAction": default, "comment": K.PROFILE_COMMENT + lv, "architectures": K.ARCHITECTURES,
+                   "syscalls": [allowed, *({"names": n, "action": a, "comment": c} for n, a, c in rules)]}
+        namespace = {"namespaces": namespaces, "network": network, "read_only_rootfs": read_only,
+                     "no_new_privileges": not privileges,
+                     "cgroup": {"cpu_quota": cpu, "memory_limit": memory, "pids_limit": pids},
+                     "capabilities_drop": capabilities}
+        rows.append("(" + ", ".join(Q.lit(x) for x in (
+            lv, *(json.dumps(d, separators=(",", ":")) for d in (seccomp, namespace)))) + ")")
+    return ", ".join(rows)
+
+
+@query("policy_json", Q.with_(SCORED, POLICY) + f""",
+docs(level, seccomp, namespace) AS (VALUES {_level_documents()}),
+texts AS (SELECT id, s.level, decision, {REGO} AS rego FROM scored s JOIN policy p ON p.level = s.level)
+SELECT id, '{{"trust_level":"' || t.level || '","decision":"' || decision || '","seccomp_profile":' || seccomp
+  || ',"rego_policy":' || to_json(rego)::VARCHAR || ',"namespace_constraints":' || namespace || '}}' AS policy
+FROM texts t JOIN docs d ON d.level = t.level""")
 def policy_json(spark, sf):
     rows = scoring.analyze(corpus(spark, sf).select("id", "script"))
     return policy.policy_json(policy.with_rego(rows))

@@ -89,9 +89,11 @@ def extract_script(spark, sf):
 
 
 @query("conversations_to_corpus", Q.with_(CONV, REPLIES) + f""", k AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, {_EXTRACTED} AS script FROM replies WHERE role = 'assistant')
-SELECT sid AS id, 'scripts/' || sid || '.sh' AS path, 'local:assistant' AS provenance, length(script)::INTEGER AS n_chars, script
-FROM (SELECT printf('llm_local_%03d_%d', conv_id, k) AS sid, script FROM k WHERE script IS NOT NULL)""")
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, {_EXTRACTED} AS script,
+    (SELECT arg_max(q.text, q.turn) FROM replies q WHERE q.conv_id = replies.conv_id AND q.role = 'user' AND q.turn < replies.turn) AS prompt
+  FROM replies WHERE role = 'assistant')
+SELECT sid AS id, 'scripts/' || sid || '.sh' AS path, 'local:assistant' AS provenance, length(script)::INTEGER AS n_chars, prompt, script
+FROM (SELECT printf('llm_local_%03d_%d', conv_id, k) AS sid, prompt, script FROM k WHERE script IS NOT NULL)""")
 def conversations_to_corpus(spark, sf):
     return sources.conversations_to_corpus(replies(spark, sf))
 
@@ -234,7 +236,7 @@ def gradient(spark, sf):
     return out.select(*[r6(c).alias(c) for c in out.columns if c != "n"], "n")
 
 
-EPOCHS = 5
+EPOCHS = 40
 
 
 def train_sql() -> str:
@@ -260,7 +262,7 @@ SELECT name, {d6('value')} AS value FROM ({final} UNION ALL SELECT 'bias', b FRO
 
 @query("train", train_sql())
 def train(spark, sf):
-    """Five epochs on the whole corpus: weights, bias, loss history, change norm."""
+    """Forty epochs on the whole corpus: weights, bias, loss history, change norm."""
     run = learning.train(scoring.features_for(corpus(spark, sf).select("label", "script")), epochs=EPOCHS)
     weights = scoring.model_table(spark, run.model).filter("feature <> 'threshold'").select(
         F.col("feature").alias("name"), F.col("weight").alias("value"))
@@ -280,7 +282,7 @@ def _metric_columns(out, extra=()):
                        "weight_delta_norm", *extra]])
 
 
-STUDY_EPOCHS = 20
+STUDY_EPOCHS = 40
 
 
 @query("train_and_eval")
@@ -348,7 +350,26 @@ def concept_drift(spark, sf):
                       *[r6(c).alias(c) for c in ("frozen_recall", "online_recall", "recall_recovered")])
 
 
-@query("flips_to_safe")
+def flips_sql() -> str:
+    """Every dangerous row takes its own steps until it falls below the threshold."""
+    lr, l2 = learning.STEP_RATE, learning.L2
+    w = {f: f"w{i}" for i, f in enumerate(K.FEATURES)}
+    names, feats = ", ".join(w.values()), ", ".join(K.FEATURES)
+    start = ", ".join(f"{K.DEFAULT_WEIGHTS[f]}::DOUBLE" for f in K.FEATURES)
+    steps = ", ".join(f"{w[f]} - {lr} * (risk * {f} + {l2} * {w[f]}) AS {w[f]}" for f in K.FEATURES)
+    z = "b" + "".join(f" + {w[f]} * {f}" for f in K.FEATURES)
+    return Q.with_(SCORED).replace("WITH ", "WITH RECURSIVE ", 1) + f""", own AS MATERIALIZED (
+  SELECT id, category, template, risk AS first_risk, {feats} FROM scored WHERE label = 1),
+st(id, k, {names}, b, risk) AS (
+  SELECT id, 0, {start}, {K.DEFAULT_BIAS}::DOUBLE, first_risk FROM own
+  UNION ALL SELECT id, k, {names}, b, {Q.sigmoid(z)} FROM (
+    SELECT id, k + 1 AS k, {steps}, b - {lr} * risk AS b, {feats} FROM st JOIN own USING (id)
+    WHERE risk >= {K.DEFAULT_THRESHOLD} AND k < 50))
+SELECT id, category, template, {d6('first_risk')} AS start_risk,
+  (SELECT min(k) FROM st WHERE st.id = own.id AND risk < {K.DEFAULT_THRESHOLD})::INTEGER AS updates_to_flip FROM own"""
+
+
+@query("flips_to_safe", flips_sql())
 def flips_to_safe(spark, sf):
     return learning.flips_to_safe(scored(spark, sf)).withColumn("start_risk", r6("start_risk"))
 

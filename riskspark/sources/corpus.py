@@ -19,6 +19,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(path).filter("id is not null")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as it stands in ``_metadata.file_path``, with a slash behind it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(path).toUri()
+    text = uri.toString().rstrip("/") + "/"
+    # local paths are written with one slash or three: one here and below
+    return "file:/" + text.removeprefix("file:").lstrip("/") if text.startswith("file:") else text
+
+
 def read_corpus(spark: SparkSession, manifest: str, base_dir: str, strict: bool = True) -> DataFrame:
     """Manifest rows with their script bodies, joined on the relative path.
 
@@ -30,10 +41,15 @@ def read_corpus(spark: SparkSession, manifest: str, base_dir: str, strict: bool
         spark.read.option("recursiveFileLookup", "true").text(base_dir, wholetext=True)
         .select(F.col("value").alias("script"), F.col("_metadata.file_path").alias("_file"))
     )
-    # everything after the base folder's name is the path the manifest uses
-    base = base_dir.rstrip("/").rsplit("/", 1)[-1]
-    bodies = bodies.withColumn("path", F.url_decode(F.element_at(
-        F.split(F.col("_file"), f"/{base}/", 2), 2))).drop("_file")
+    # Paths in the manifest are relative to the base folder: its qualified form is cut off
+    # by length.  Both sides are percent-encoded the same way.
+    base = _qualified(spark, base_dir)
+    bodies = bodies.withColumn("_file", F.regexp_replace("_file", "^file:/+", "file:/"))
+    rest = F.substr(F.col("_file"), F.lit(len(base) + 1))
+    inside = F.when(F.col("_file").startswith(base), rest).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("_file"))).cast("string"))
+    # a plus sign is no blank in a file URI
+    bodies = bodies.withColumn("path", F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B")))).drop("_file")
     joined = rows.join(bodies, "path", "left" if strict else "inner")
     body = F.col("script")
     if strict:
@@ -127,14 +143,18 @@ def extract_script(reply: Column) -> Column:
 
 
 def conversations_to_corpus(conv: DataFrame, provider: str = "local", model: str = "assistant") -> DataFrame:
-    """Manifest rows of the assistant replies that hold a script.
+    """Manifest rows of the assistant replies that hold a script, with their prompt.
 
-    The conversation numbers the prompt; replies of one conversation count up.
+    The conversation numbers the prompt; replies of one conversation count up.  The
+    prompt is the last user turn before the reply, null if there is none.
     """
-    replies = conv.filter("role = 'assistant'")
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(
+        turns.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    replies = conv.withColumn("prompt", asked).filter("role = 'assistant'")
+    k = F.row_number().over(turns) - 1
     rows = replies.withColumns({"k": k, "script": extract_script(F.col("text"))}).filter("script is not null")
     sid = F.format_string(f"llm_{provider}_%03d_%d", F.col("conv_id"), F.col("k"))
     return rows.select(
         sid.alias("id"), F.concat(F.lit("scripts/"), sid, F.lit(".sh")).alias("path"),
-        F.lit(f"{provider}:{model}").alias("provenance"), F.length("script").alias("n_chars"), "script")
+        F.lit(f"{provider}:{model}").alias("provenance"), F.length("script").alias("n_chars"), "prompt", "script")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import fixed as K
 from ..operators import learning, monitor, policy, scoring
 from ..operators.scoring import RiskModel
-from ..session import shared_path
+from ..session import checkpointed, shared_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -75,7 +75,8 @@ def stream_feedback(labelled: DataFrame, path: str, start: RiskModel = RiskModel
         session = batch.sparkSession
         version = batch_id + 1
         model = model_before(session, path, version)
-        folded = learning.fold_rows(batch)
+        # analysed once: the test below and the step read the written rows
+        folded = checkpointed(learning.fold_rows(batch))
         if folded.isEmpty():
             write_model(session, model, path, version)
             return
