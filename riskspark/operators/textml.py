@@ -13,9 +13,9 @@ from ..functions.lexical import _all
 from ..session import checkpointed, stored
 from . import metrics as M, scoring
 
-# Beyond this many terms, columns are shared by hashing so that the model on the
-# driver keeps a fixed size.
-MAX_COLUMNS = 1 << 20
+# The weights of a linear model live on the driver: a larger vocabulary is an error, to be
+# answered with a higher ``min_df`` or more memory, never with shared columns.
+MAX_COLUMNS = 1 << 24
 FOREST_COLUMNS = 1 << 10
 
 
@@ -76,11 +76,15 @@ def vocabulary(term_counts: DataFrame, n_docs: int, min_df: int = 2) -> DataFram
     return df.filter(F.col("df") >= min_df).withColumn("idf", idf)
 
 
-# A vocabulary of this many terms is some 60 MB: small enough to send to every task.
-BROADCAST_TERMS = 1_000_000
+# Bytes of a vocabulary that is sent to every task; a row costs its term and some 64 more.
+BROADCAST_BYTES = 128 << 20
 
 
-def weigh(term_counts: DataFrame, vocab: DataFrame, n_terms: int) -> DataFrame:
+def vocabulary_bytes(vocab: DataFrame) -> int:
+    return vocab.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+
+
+def weigh(term_counts: DataFrame, vocab: DataFrame, n_bytes: int) -> DataFrame:
     """(id, analyzer, term, weight) + vocabulary columns: sublinear tf times idf,
     scaled to length 1 per row and analyzer.
 
@@ -88,7 +92,7 @@ def weigh(term_counts: DataFrame, vocab: DataFrame, n_terms: int) -> DataFrame:
     is joined on the term; a term found in most rows is then a hot key, which skew
     joins split, as its vocabulary side is a single row.
     """
-    table = F.broadcast(vocab) if n_terms <= BROADCAST_TERMS else vocab
+    table = F.broadcast(vocab) if n_bytes <= BROADCAST_BYTES else vocab
     raw = term_counts.join(table, ["analyzer", "term"]).withColumn(
         "_w", (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
     # as long as one document has terms
@@ -98,15 +102,15 @@ def weigh(term_counts: DataFrame, vocab: DataFrame, n_terms: int) -> DataFrame:
 
 
 def stored_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> tuple[DataFrame, int]:
-    """The vocabulary written to the shared folder, and its size."""
+    """The vocabulary written to the shared folder, and its bytes."""
     vocab = stored(vocabulary(counts, n_docs, min_df), "vocabulary")
-    return vocab, vocab.count()
+    return vocab, vocabulary_bytes(vocab)
 
 
 def tfidf(df: DataFrame, min_df: int = 2, id_col: str = "id", text: str = "script") -> DataFrame:
     counts = terms(df, id_col, text)
-    vocab, n_terms = stored_vocabulary(counts, df.count(), min_df)
-    return weigh(counts, vocab, n_terms).select("id", "analyzer", "term", "df", "idf", "tf", "weight")
+    vocab, n_bytes = stored_vocabulary(counts, df.count(), min_df)
+    return weigh(counts, vocab, n_bytes).select("id", "analyzer", "term", "df", "idf", "tf", "weight")
 
 
 class TextSpace:
@@ -117,16 +121,16 @@ class TextSpace:
             "_md5", F.md5(F.concat_ws("|", "analyzer", "term")))
         numbered = checkpointed(ranking.ranked(
             vocab, [], ranking.hash_bucket(F.col("_md5")), [F.col("_md5"), F.col("term")], "_rank"))
-        self.n_terms = numbered.count()
-        self.size = min(self.n_terms, max_columns)
-        slot = F.pmod(F.col("_rank") - 1, F.lit(max(self.size, 1))).cast("int")
-        self.vocab = numbered.withColumn("slot", slot).select("analyzer", "term", "df", "idf", "slot")
+        self.size, self.n_bytes = numbered.count(), vocabulary_bytes(numbered)
+        if self.size > max_columns:
+            raise ValueError(f"{self.size} terms need more than {max_columns} columns")
+        self.vocab = numbered.withColumn("slot", (F.col("_rank") - 1).cast("int")).select("analyzer", "term", "df", "idf", "slot")
 
     def vectors(self, rows: DataFrame, keep: list[str], name: str = "features",
                 columns: int | None = None) -> DataFrame:
         """``rows`` with a sparse TF-IDF vector; ``columns`` folds it to fewer."""
         size = max(1, self.size if columns is None else min(columns, self.size))
-        weights = weigh(terms(rows), self.vocab, self.n_terms).groupBy(
+        weights = weigh(terms(rows), self.vocab, self.n_bytes).groupBy(
             "id", F.pmod(F.col("slot"), F.lit(size)).alias("slot")).agg(F.sum("weight").alias("weight"))
         # one list per script: as long as the script has terms
         packed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("_e"))
@@ -153,7 +157,9 @@ def sparse_vector(size: int, indices: Column, values: Column) -> Column:
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``y`` and ``class_weight`` = n / (2 * n of the row's class)."""
-    counts = {int(r[label]): r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts and set(counts) != {0, 1}:
+        raise ValueError(f"rows of both classes and no other label are needed, found {sorted(map(str, counts))}")
     total = sum(counts.values())
     weight = F.lit(1.0)
     for y, n in counts.items():
