@@ -323,7 +323,44 @@ def holdout_eval(spark, sf):
     return learning.holdout_eval(rows, RiskModel(threshold=0.319)).withColumn("risk", r6("risk"))
 
 
-@query("holdout_eval_trained")
+W = {f: f"w{i}" for i, f in enumerate(K.FEATURES)}
+WEIGHTED = "b" + "".join(f" + {W[f]} * {f}" for f in K.FEATURES)
+
+
+def descent_sql(name: str, rows: str, start: str, epochs: int) -> str:
+    """CTE ``name``: one row of weights after ``epochs`` full-batch steps on ``rows`` from
+    the one row of ``start``."""
+    lr, l2, keys, feats = learning.BATCH_RATE, learning.L2, ", ".join(W.values()), ", ".join(K.FEATURES)
+    steps = ", ".join(f"{w} - {lr} * (sum(k * (p - label) * {f}) / sum(k) + {l2} * {w})" for f, w in W.items())
+    return f"""{name}_rows AS MATERIALIZED (SELECT label, {feats}, count(*)::DOUBLE AS k FROM {rows} GROUP BY label, {feats}),
+{name}_run(epoch, {keys}, b) AS (SELECT 0, {keys}, b FROM {start}
+  UNION ALL SELECT epoch + 1, {steps}, b - {lr} * sum(k * (p - label)) / sum(k)
+  FROM (SELECT r.*, f.*, {Q.sigmoid(WEIGHTED)} AS p FROM {name}_run r, {name}_rows f WHERE epoch < {epochs}) GROUP BY epoch, {keys}, b),
+{name} AS MATERIALIZED (SELECT {keys}, b FROM {name}_run WHERE epoch = {epochs})"""
+
+
+START_SQL = "start AS (SELECT " + ", ".join(
+    f"{K.DEFAULT_WEIGHTS[f]}::DOUBLE AS {w}" for f, w in W.items()) + f", {K.DEFAULT_BIAS}::DOUBLE AS b)"
+
+
+def tuned_sql(rows: str, model: str) -> str:
+    """CTE ``tuned``: the threshold of the best F1 of ``model`` on ``rows``."""
+    return f"""own AS MATERIALIZED (SELECT label, {Q.sigmoid(WEIGHTED)} AS risk FROM {rows}, {model}),
+cand AS (SELECT DISTINCT {Q.half_even('risk', 3)} AS thr FROM own UNION SELECT 0.5),
+hist AS (SELECT risk, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM own GROUP BY risk),
+tried AS (SELECT thr, coalesce(sum(pos) FILTER (risk >= thr), 0) AS tp, coalesce(sum(neg) FILTER (risk >= thr), 0) AS fp,
+  coalesce(sum(pos) FILTER (risk < thr), 0) AS fn, coalesce(sum(neg) FILTER (risk < thr), 0) AS tn FROM cand, hist GROUP BY thr),
+tuned AS MATERIALIZED (SELECT thr FROM (SELECT thr, {metric_exprs()['f1']} AS metric FROM tried) ORDER BY metric DESC, thr LIMIT 1)"""
+
+
+def recursive(*ctes: str) -> str:
+    return Q.with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("holdout_eval_trained", recursive(
+    SCORED, HOLDOUT, START_SQL, descent_sql("fin", "scored", "start", STUDY_EPOCHS), tuned_sql("scored", "fin")) + f"""
+SELECT id, category, label, {d6('p')} AS risk, (p >= thr)::INTEGER AS predicted, ((p >= thr)::INTEGER = label) AS correct
+FROM (SELECT id, category, label, {Q.sigmoid(WEIGHTED)} AS p FROM scored_h, fin), tuned""")
 def holdout_eval_trained(spark, sf):
     """Fitted and tuned on the study corpus, frozen, then one pass over the holdout."""
     model = learning.fit_on(corpus(spark, sf).select("label", "script"), epochs=STUDY_EPOCHS)
@@ -343,7 +380,17 @@ def external_fpr(spark, sf):
                       r6("wilson_high").alias("wilson_high"))
 
 
-@query("concept_drift")
+@query("concept_drift", recursive(
+    SCORED, START_SQL, "base AS MATERIALIZED (SELECT * FROM scored WHERE category <> 'obfuscated')",
+    f"""novel AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(id), id) AS place FROM scored
+  WHERE category = 'obfuscated' AND label = 1)""",
+    "adapt AS (SELECT * FROM novel WHERE place % 2 = 1)", "held AS (SELECT * FROM novel WHERE place % 2 = 0)",
+    descent_sql("fin", "base", "start", STUDY_EPOCHS), descent_sql("moved", "adapt", "fin", 5), tuned_sql("base", "fin"),
+    *(f"{name}_recall AS (SELECT avg(({Q.sigmoid(WEIGHTED)} >= thr)::INTEGER::DOUBLE) AS r FROM held, {name}, tuned)"
+      for name in ("fin", "moved"))) + f"""
+SELECT 'obfuscated' AS drift_category, (SELECT count(*) FROM base) AS n_base_train, (SELECT count(*) FROM adapt) AS n_adapt,
+  (SELECT count(*) FROM held) AS n_eval, {d6('f.r')} AS frozen_recall, {d6('m.r')} AS online_recall,
+  {d6('m.r - f.r')} AS recall_recovered FROM fin_recall f, moved_recall m""")
 def concept_drift(spark, sf):
     out = learning.concept_drift(scored(spark, sf).select("id", "category", "label", *K.FEATURES), epochs=STUDY_EPOCHS)
     return out.select("drift_category", "n_base_train", "n_adapt", "n_eval",
