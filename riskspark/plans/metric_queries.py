@@ -83,19 +83,24 @@ def pr_curve(spark, sf):
         *[r6(c).alias(c) for c in ("precision", "recall", "threshold")])
 
 
-AREAS = """, pts AS (SELECT category, risk, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
-  FROM scored GROUP BY category, risk),
+def areas_sql(key: str = "category", rows: str = "scored") -> str:
+    """CTE ``areas``: both areas per ``key`` of rows with label and risk."""
+    return f""", pts AS (SELECT {key}, risk, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+  FROM {rows} GROUP BY {key}, risk),
 cum AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
-  sum(pos) OVER (PARTITION BY category) AS ap, sum(neg) OVER (PARTITION BY category) AS an
-  FROM pts WINDOW w AS (PARTITION BY category ORDER BY risk DESC)),
+  sum(pos) OVER (PARTITION BY {key}) AS ap, sum(neg) OVER (PARTITION BY {key}) AS an
+  FROM pts WINDOW w AS (PARTITION BY {key} ORDER BY risk DESC)),
 pt AS (SELECT *, cp / ap AS tpr, cn / an AS fpr, cp / (cp + cn) AS prec,
   lag(cp / ap, 1, 0.0) OVER w AS ptpr, lag(cn / an, 1, 0.0) OVER w AS pfpr, lag(cp / (cp + cn), 1, 1.0) OVER w AS pprec
-  FROM cum WHERE ap > 0 AND an > 0 WINDOW w AS (PARTITION BY category ORDER BY risk DESC)),
-areas AS (SELECT category, sum((fpr - pfpr) * (tpr + ptpr) / 2) AS roc, sum((tpr - ptpr) * (prec + pprec) / 2) AS pr
-  FROM pt GROUP BY category)
+  FROM cum WHERE ap > 0 AND an > 0 WINDOW w AS (PARTITION BY {key} ORDER BY risk DESC)),
+areas AS (SELECT {key}, sum((fpr - pfpr) * (tpr + ptpr) / 2) AS roc, sum((tpr - ptpr) * (prec + pprec) / 2) AS pr
+  FROM pt GROUP BY {key})
 """
 
 
+AREAS = areas_sql()
+
+
 @query("roc_auc", Q.with_(SCORED) + AREAS + f"""
 SELECT c.category, {d6('a.roc')} AS roc_auc FROM (SELECT DISTINCT category FROM scored) c
 LEFT JOIN areas a ON a.category = c.category""")

@@ -12,8 +12,8 @@ from ..sources import corpus as sources
 from ..sources.synthesize import CORPUS_COLUMNS, manifest_stats as stats_columns, synthesize_corpus
 from ..streaming import jobs
 from . import sqlbase as Q
-from .metric_queries import (DECIDED_COLUMNS, EVENTS_SQL, METRIC_COLUMNS, RULES_SQL, cells, metric_exprs, metric_row,
-                             syscalls, wilson_sql)
+from .metric_queries import (DECIDED_COLUMNS, EVENTS_SQL, FOLDED, METRIC_COLUMNS, RULES_SQL, areas_sql, cells,
+                             metric_exprs, metric_row, split_sql, syscalls, wilson_sql)
 from .registry import (BENIGN, HOLDOUT, SCORED, benign, corpus, d6, holdout, query, r6, scored, spread, spread_texts, table)
 
 SCRIPTS = Q.scripts()
@@ -285,12 +285,115 @@ def _metric_columns(out, extra=()):
 STUDY_EPOCHS = 40
 
 
-@query("train_and_eval")
+W = {f: f"w{i}" for i, f in enumerate(K.FEATURES)}
+WEIGHTED = "b" + "".join(f" + {W[f]} * {f}" for f in K.FEATURES)
+
+
+def descent_sql(name: str, rows: str, start: str, epochs: int) -> str:
+    """CTE ``name``: one row of weights after ``epochs`` full-batch steps on ``rows`` from
+    the one row of ``start``."""
+    lr, l2, keys, feats = learning.BATCH_RATE, learning.L2, ", ".join(W.values()), ", ".join(K.FEATURES)
+    steps = ", ".join(f"{w} - {lr} * (sum(k * (p - label) * {f}) / sum(k) + {l2} * {w})" for f, w in W.items())
+    return f"""{name}_rows AS MATERIALIZED (SELECT label, {feats}, count(*)::DOUBLE AS k FROM {rows} GROUP BY label, {feats}),
+{name}_run(epoch, {keys}, b) AS (SELECT 0, {keys}, b FROM {start}
+  UNION ALL SELECT epoch + 1, {steps}, b - {lr} * sum(k * (p - label)) / sum(k)
+  FROM (SELECT r.*, f.*, {Q.sigmoid(WEIGHTED)} AS p FROM {name}_run r, {name}_rows f WHERE epoch < {epochs}) GROUP BY epoch, {keys}, b),
+{name} AS MATERIALIZED (SELECT {keys}, b FROM {name}_run WHERE epoch = {epochs})"""
+
+
+START_SQL = "start AS (SELECT " + ", ".join(
+    f"{K.DEFAULT_WEIGHTS[f]}::DOUBLE AS {w}" for f, w in W.items()) + f", {K.DEFAULT_BIAS}::DOUBLE AS b)"
+
+
+def fitted_sql(config: str, off: tuple = (), learn: bool = True) -> str:
+    """CTEs of one configuration fitted on ``train`` and applied to ``test``:
+    ``<config>_out`` with its test rows, ``<config>_log`` with one row about the fit."""
+    gone = {f for group in off for f in K.FEATURE_GROUPS[group]}
+    used = {f: w for f, w in W.items() if f not in gone}
+    z = "b" + "".join(f" + {w} * {f}" for f, w in used.items())
+    lr, l2, keys = learning.BATCH_RATE, learning.L2, ", ".join(W.values())
+    steps = ", ".join(f"{w} - {lr} * (sum(k * (p - label) * {f}) / sum(k) + {l2} * {w})" if f in used else w for f, w in W.items())
+    norm = " + ".join([*(f"power({w} - {K.DEFAULT_WEIGHTS[f]}, 2)" for f, w in W.items()), f"power(b - {K.DEFAULT_BIAS}, 2)"])
+    epochs = STUDY_EPOCHS if learn else 0
+    fit = f"""{config}_run(epoch, {keys}, b, loss) AS (SELECT 0, {keys}, b, NULL::DOUBLE FROM start
+  UNION ALL SELECT epoch + 1, {steps}, b - {lr} * sum(k * (p - label)) / sum(k), sum(k * {_BCE.format(p='p')}) / sum(k)
+  FROM (SELECT r.*, f.*, {Q.sigmoid(z)} AS p FROM {config}_run r, train_rows f WHERE epoch < {epochs}) GROUP BY epoch, {keys}, b),
+{config}_fin AS MATERIALIZED (SELECT * FROM {config}_run WHERE epoch = {epochs}),
+{config}_own AS MATERIALIZED (SELECT label, k, {Q.sigmoid(z)} AS risk FROM train_rows, {config}_fin),
+{config}_cand AS (SELECT DISTINCT {Q.half_even('risk', 3)} AS thr FROM {config}_own UNION SELECT 0.5),
+{config}_tried AS (SELECT thr, coalesce(sum(k) FILTER (risk >= thr AND label = 1), 0) AS tp, coalesce(sum(k) FILTER (risk >= thr AND label = 0), 0) AS fp,
+  coalesce(sum(k) FILTER (risk < thr AND label = 1), 0) AS fn, coalesce(sum(k) FILTER (risk < thr AND label = 0), 0) AS tn
+  FROM {config}_cand, {config}_own GROUP BY thr),
+{config}_thr AS MATERIALIZED (SELECT thr FROM (SELECT thr, {metric_exprs()['f1']} AS metric FROM {config}_tried) ORDER BY metric DESC, thr LIMIT 1)"""
+    threshold = f"(SELECT thr FROM {config}_thr)" if learn else f"{K.DEFAULT_THRESHOLD}"
+    return fit + f""",
+{config}_log AS (SELECT '{config}' AS config, {threshold}::DOUBLE AS decision_threshold,
+  (SELECT loss FROM {config}_run WHERE epoch = 1) AS initial_loss,
+  (SELECT loss FROM {config}_run WHERE epoch = {epochs} AND epoch > 0) AS final_loss, sqrt({norm}) AS weight_delta_norm FROM {config}_fin),
+{config}_out AS (SELECT '{config}' AS config, label, risk, risk >= {threshold} AS p
+  FROM (SELECT label, {Q.sigmoid(z)} AS risk FROM test, {config}_fin))"""
+
+
+def configs_sql(configs: list[tuple[str, tuple, bool]], delta: bool = False) -> str:
+    """One metric row per configuration."""
+    names = [name for name, _, _ in configs]
+    body = recursive(
+        SCORED, split_sql("scripts"), START_SQL,
+        "train_rows AS MATERIALIZED (SELECT s.label, " + ", ".join(f"s.{f}" for f in K.FEATURES) + """, count(*)::DOUBLE AS k
+  FROM scored s JOIN sp ON sp.id = s.id WHERE sp.split = 'train' GROUP BY s.label, """ + ", ".join(f"s.{f}" for f in K.FEATURES) + ")",
+        f"test AS MATERIALIZED (SELECT s.label, {', '.join('s.' + f for f in K.FEATURES)} FROM scored s JOIN sp ON sp.id = s.id WHERE sp.split = 'test')",
+        *(fitted_sql(*c) for c in configs),
+        "outs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {n}_out" for n in names) + ")",
+        "logs AS (" + " UNION ALL ".join(f"SELECT * FROM {n}_log" for n in names) + ")",
+        f"c AS (SELECT config, {cells(p='p')} FROM outs GROUP BY config)",
+        f"m AS (SELECT *, {metric_exprs()['f1']} AS f FROM c)")
+    extra = f", {d6(chr(102) + ' - (SELECT f FROM m WHERE config = ' + chr(39) + 'full' + chr(39) + ')')} AS delta_f1" if delta else ""
+    return body + areas_sql("config", "outs") + f"""
+SELECT m.config, tp, fp, tn, fn, {METRIC_COLUMNS}, {d6('roc')} AS roc_auc, {d6('pr')} AS pr_auc,
+  {d6('decision_threshold')} AS decision_threshold, {d6('initial_loss')} AS initial_loss, {d6('final_loss')} AS final_loss,
+  {d6('weight_delta_norm')} AS weight_delta_norm{extra}
+FROM m JOIN logs ON logs.config = m.config LEFT JOIN areas ON areas.config = m.config"""
+
+
+def folds_sql() -> str:
+    """Per fold the metrics of the model fitted on the other folds."""
+    lr, l2, keys, feats = learning.BATCH_RATE, learning.L2, ", ".join(W.values()), ", ".join(K.FEATURES)
+    steps = ", ".join(f"{w} - {lr} * (sum(k * (p - label) * {f}) / sum(k) + {l2} * {w})" for f, w in W.items())
+    return FOLDED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {START_SQL},
+ft AS MATERIALIZED (SELECT fold AS own, label, {feats}, count(*)::DOUBLE AS k FROM rows GROUP BY ALL),
+run(fold, epoch, {keys}, b) AS (SELECT fold, 0, {keys}, b FROM start, (SELECT unnest(range(5))::INTEGER AS fold)
+  UNION ALL SELECT fold, epoch + 1, {steps}, b - {lr} * sum(k * (p - label)) / sum(k)
+  FROM (SELECT r.*, f.*, {Q.sigmoid(WEIGHTED)} AS p FROM run r JOIN ft f ON f.own <> r.fold WHERE epoch < {STUDY_EPOCHS})
+  GROUP BY fold, epoch, {keys}, b),
+oof AS MATERIALIZED (SELECT fold, label, {Q.sigmoid(WEIGHTED)} AS risk FROM (
+  SELECT r.fold, r.label, {', '.join('r.' + f for f in K.FEATURES)}, {', '.join('run.' + w for w in W.values())}, run.b
+  FROM rows r JOIN run ON run.fold = r.fold AND run.epoch = {STUDY_EPOCHS})),
+c AS (SELECT fold, {cells(p='risk >= 0.5')} FROM oof GROUP BY fold)""" + areas_sql("fold", "oof") + f"""
+SELECT c.fold, tp, fp, tn, fn, {METRIC_COLUMNS}, {d6('roc')} AS roc_auc, {d6('pr')} AS pr_auc
+FROM c LEFT JOIN areas ON areas.fold = c.fold"""
+
+
+def tuned_sql(rows: str, model: str) -> str:
+    """CTE ``tuned``: the threshold of the best F1 of ``model`` on ``rows``."""
+    return f"""own AS MATERIALIZED (SELECT label, {Q.sigmoid(WEIGHTED)} AS risk FROM {rows}, {model}),
+cand AS (SELECT DISTINCT {Q.half_even('risk', 3)} AS thr FROM own UNION SELECT 0.5),
+hist AS (SELECT risk, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM own GROUP BY risk),
+tried AS (SELECT thr, coalesce(sum(pos) FILTER (risk >= thr), 0) AS tp, coalesce(sum(neg) FILTER (risk >= thr), 0) AS fp,
+  coalesce(sum(pos) FILTER (risk < thr), 0) AS fn, coalesce(sum(neg) FILTER (risk < thr), 0) AS tn FROM cand, hist GROUP BY thr),
+tuned AS MATERIALIZED (SELECT thr FROM (SELECT thr, {metric_exprs()['f1']} AS metric FROM tried) ORDER BY metric DESC, thr LIMIT 1)"""
+
+
+def recursive(*ctes: str) -> str:
+    return Q.with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("train_and_eval", configs_sql([("model", (), True)]))
 def train_and_eval(spark, sf):
     return _metric_columns(learning.train_and_eval(*split_scripts(spark, sf), epochs=STUDY_EPOCHS))
 
 
-@query("run_ablation")
+@query("run_ablation", configs_sql(
+    [(name, tuple(off), True) for name, off in K.ABLATIONS] + [("no_feedback", (), False)], delta=True))
 def run_ablation(spark, sf):
     return _metric_columns(learning.run_ablation(*split_scripts(spark, sf), epochs=STUDY_EPOCHS), ["delta_f1"])
 
@@ -307,7 +410,7 @@ def ablation_table(spark, sf):
     return metric_row(out.withColumn("delta_f1", r6("delta_f1")), ("config", "delta_f1"))
 
 
-@query("cross_validate")
+@query("cross_validate", folds_sql())
 def cross_validate(spark, sf):
     """Leave-template-out folds: per-fold metrics of models fitted on the other folds."""
     rows = scored(spark, sf).select("id", "label", "template", *K.FEATURES)
@@ -323,40 +426,6 @@ def holdout_eval(spark, sf):
     return learning.holdout_eval(rows, RiskModel(threshold=0.319)).withColumn("risk", r6("risk"))
 
 
-W = {f: f"w{i}" for i, f in enumerate(K.FEATURES)}
-WEIGHTED = "b" + "".join(f" + {W[f]} * {f}" for f in K.FEATURES)
-
-
-def descent_sql(name: str, rows: str, start: str, epochs: int) -> str:
-    """CTE ``name``: one row of weights after ``epochs`` full-batch steps on ``rows`` from
-    the one row of ``start``."""
-    lr, l2, keys, feats = learning.BATCH_RATE, learning.L2, ", ".join(W.values()), ", ".join(K.FEATURES)
-    steps = ", ".join(f"{w} - {lr} * (sum(k * (p - label) * {f}) / sum(k) + {l2} * {w})" for f, w in W.items())
-    return f"""{name}_rows AS MATERIALIZED (SELECT label, {feats}, count(*)::DOUBLE AS k FROM {rows} GROUP BY label, {feats}),
-{name}_run(epoch, {keys}, b) AS (SELECT 0, {keys}, b FROM {start}
-  UNION ALL SELECT epoch + 1, {steps}, b - {lr} * sum(k * (p - label)) / sum(k)
-  FROM (SELECT r.*, f.*, {Q.sigmoid(WEIGHTED)} AS p FROM {name}_run r, {name}_rows f WHERE epoch < {epochs}) GROUP BY epoch, {keys}, b),
-{name} AS MATERIALIZED (SELECT {keys}, b FROM {name}_run WHERE epoch = {epochs})"""
-
-
-START_SQL = "start AS (SELECT " + ", ".join(
-    f"{K.DEFAULT_WEIGHTS[f]}::DOUBLE AS {w}" for f, w in W.items()) + f", {K.DEFAULT_BIAS}::DOUBLE AS b)"
-
-
-def tuned_sql(rows: str, model: str) -> str:
-    """CTE ``tuned``: the threshold of the best F1 of ``model`` on ``rows``."""
-    return f"""own AS MATERIALIZED (SELECT label, {Q.sigmoid(WEIGHTED)} AS risk FROM {rows}, {model}),
-cand AS (SELECT DISTINCT {Q.half_even('risk', 3)} AS thr FROM own UNION SELECT 0.5),
-hist AS (SELECT risk, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM own GROUP BY risk),
-tried AS (SELECT thr, coalesce(sum(pos) FILTER (risk >= thr), 0) AS tp, coalesce(sum(neg) FILTER (risk >= thr), 0) AS fp,
-  coalesce(sum(pos) FILTER (risk < thr), 0) AS fn, coalesce(sum(neg) FILTER (risk < thr), 0) AS tn FROM cand, hist GROUP BY thr),
-tuned AS MATERIALIZED (SELECT thr FROM (SELECT thr, {metric_exprs()['f1']} AS metric FROM tried) ORDER BY metric DESC, thr LIMIT 1)"""
-
-
-def recursive(*ctes: str) -> str:
-    return Q.with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query("holdout_eval_trained", recursive(
     SCORED, HOLDOUT, START_SQL, descent_sql("fin", "scored", "start", STUDY_EPOCHS), tuned_sql("scored", "fin")) + f"""
 SELECT id, category, label, {d6('p')} AS risk, (p >= thr)::INTEGER AS predicted, ((p >= thr)::INTEGER = label) AS correct
