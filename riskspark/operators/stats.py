@@ -341,15 +341,26 @@ def mcnemar(pred_a: DataFrame, pred_b: DataFrame, label: str = "label",
     return mcnemar_from_counts(paired_counts(a.join(b, "id"), "_a", "_b", [], label))
 
 
-def ablation_significance(preds: DataFrame, label: str = "label", base: str = "full") -> DataFrame:
-    """Each configuration against ``base``; input: id, label, config, predicted."""
-    others = preds.filter(F.col("config") != base)
-    full = preds.filter(F.col("config") == base).select("id", F.col("predicted").alias("_a"))
-    paired = others.withColumnRenamed("predicted", "_b").join(full, "id")
-    tests = mcnemar_from_counts(paired_counts(paired, "_a", "_b", ["config"], label))
-    f1 = M.classification_metrics(preds, ["config"], label).select("config", "f1")
+def ablation_significance(rows: DataFrame, decisions: dict[str, Column], label: str = "label",
+                          base: str = "full") -> DataFrame:
+    """Each configuration against ``base``; ``decisions`` holds one boolean column per
+    configuration over ``rows``.
+
+    All decisions of a row stand side by side, so one pass counts the rows of every
+    pattern of label and decisions; the tests work on those few counts.
+    """
+    flags = F.array(*[F.struct(F.lit(name).alias("config"), c.alias("b")) for name, c in decisions.items()])
+    wide = rows.select(F.col(label).alias("label"), decisions[base].alias("_a"), flags.alias("_f"))
+    counts = checkpointed(wide.groupBy("label", "_a", "_f").agg(F.count(F.lit(1)).alias("_k")))
+    long = counts.select("label", "_a", "_k", F.explode("_f").alias("_c")).select("label", "_a", "_k", "_c.*")
+    right_a, right_b = ((F.col(c).cast("int") == F.col("label")) for c in ("_a", "b"))
+    paired = long.filter(F.col("config") != base).groupBy("config").agg(
+        *[F.coalesce(F.sum(F.when(c, F.col("_k"))), F.lit(0)).alias(name) for name, c in (
+            ("both_correct", right_a & right_b), ("a_correct_b_wrong", right_a & ~right_b),
+            ("b_correct_a_wrong", ~right_a & right_b), ("both_wrong", ~right_a & ~right_b))])
+    f1 = M.classification_metrics(long, ["config"], "label", "b", "_k").select("config", "f1")
     full_f1 = f1.filter(F.col("config") == base).select(F.col("f1").alias("_full"))
-    return (with_row(tests.join(f1, "config"), full_f1)
+    return (with_row(mcnemar_from_counts(paired).join(f1, "config"), full_f1)
             .withColumn("delta_f1", F.round(F.col("f1") - F.col("_full"), 4)).drop("_full"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.hashing import digest, hex_number
-from ..operators import agreement, metrics as M, monitor, policy, splits, stats
+from ..operators import agreement, metrics as M, monitor, policy, scoring, splits, stats
+from ..operators.scoring import RiskModel
 from . import sqlbase as Q
 from .registry import (SCORED, HOLDOUT, BENIGN, benign, corpus, d6, holdout, query, r6, scored, table)
 
@@ -459,9 +460,9 @@ p AS (SELECT k.*, {binomial_p('least(b, c)', '(b + c)')} AS pv FROM k)
 SELECT p.config, {mcnemar_columns('pv')}, {d6('m.f1')} AS f1,
   round(m.f1 - (SELECT f1 FROM m WHERE config = 'full'), 4) AS delta_f1 FROM p JOIN m ON m.config = p.config""")
 def ablation_significance(spark, sf):
-    from ..operators.learning import config_predictions
-    preds = config_predictions(scored(spark, sf))
-    out = stats.ablation_significance(preds)
+    models = {name: RiskModel(disabled=tuple(off)) for name, off in K.ABLATIONS}
+    decisions = {name: scoring.sigmoid(scoring.logit(m)) >= m.threshold for name, m in models.items()}
+    out = stats.ablation_significance(scored(spark, sf), decisions)
     return mcnemar_row(out, ("config", r6("f1").alias("f1"), "delta_f1"))
 
 
