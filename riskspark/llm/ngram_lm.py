@@ -452,6 +452,8 @@ def fit(train: DataFrame, scratch: Scratch, shards: int) -> Model:
     for b in range((vocabulary.begin >> BLOCK_BITS) + 1):
         if b not in have:
             write_bytes(f"{scratch.path}/stats-{b}", np.zeros(BLOCK, STATS).tobytes())
+    for name in ("vocabulary", "statistics", "blocks"):
+        scratch.drop(name)  # the arrays hold it
     return Model(vocabulary, hot, shards, pairs, words, types, rest)
 
 

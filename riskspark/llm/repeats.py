@@ -323,6 +323,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     info = spans.unionByName(compare).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "h", "m", "nc")).alias("info"))
     resolved = scratch.store(resolve(texts.join(info, "key", "left").select("key", "doc_id", "text", "info"),
                                      length, hot_contexts), "resolved")
+    for name in ("anchors", "repeated", "shared", "contexts", "several"):
+        scratch.drop(name)  # all that is known of them is in the written rows
 
     near = compare_contexts(resolved.filter(F.col("kind") == CONTEXT).select("h", "key", "lo", "hi", "text", "m"), length, parts)
     windows = resolved.filter(F.col("kind") == WINDOW).select("w1", "w2", "key", "lo", "hi", "m")
