@@ -1,6 +1,8 @@
 """Toxicity, URL filters, the registered queries and the pipeline."""
 
+import os
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +13,10 @@ import corpus_pipeline
 from riskspark.llm import toxicity, url_filter
 from riskspark.llm.queries import URL_RULES
 
+sys.path.insert(0, os.path.dirname(__file__))
+
+from test_dedup_operators import plain_contained, plain_fingerprint, roots  # noqa: E402
+
 BAD = ["grumpf", "wretchy", "vilest"]
 
 
@@ -130,6 +136,21 @@ def test_registered_queries_cover_every_operator():
     assert "pipeline" in names and {"op4_exact_dedup", "op6_decontamination"} <= set(entry.oracle_sql())
 
 
+def plain_pipeline(rows, items):
+    """Ids that the stages after toxicity leave, by brute force."""
+    best = {}
+    for r in rows:
+        if r.doc_id is not None:
+            best[r.text or ""] = max(best.get(r.text or "", r.doc_id), r.doc_id)
+    rows = [r for r in rows if r.doc_id is None or best[r.text or ""] == r.doc_id]
+    prints = {r.doc_id: plain_fingerprint(r.text or "") for r in rows if r.doc_id is not None}
+    near = [(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    root = roots(prints, near)
+    rows = [r for r in rows if r.doc_id is None or root[r.doc_id] == r.doc_id]
+    leaked = {i for i, _ in plain_contained([(r.doc_id, r.text) for r in rows], items)}
+    return {r.doc_id for r in rows if r.doc_id not in leaked}
+
+
 def test_pipeline_stages_drop_what_they_should(spark, labelled, tmp_path):
     _, labels, _ = labelled
     rng = random.Random(21)
@@ -146,6 +167,7 @@ def test_pipeline_stages_drop_what_they_should(spark, labelled, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {1, 4} & out == set() and len({2, 3} & out) == 1
+    assert out == plain_pipeline(corpus_pipeline.reject_toxic(spark, both, str(tmp_path)).collect(), [(1, item)])
     assert {None, *range(2000, 2020)} <= out
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "decontamination", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
