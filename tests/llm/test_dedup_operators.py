@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from riskspark.llm import decontaminate, exact_dedup, repeats, simhash
+from riskspark.llm import decontaminate, exact_dedup, repeats, similar, simhash
 from riskspark.llm.common import Scratch
 
 ROWS = [
@@ -214,3 +214,46 @@ def test_contained_items(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert decontaminate.contained_items(docs.limit(0), bench).count() == 0
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
+
+
+def plain_shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    k = min(size, len(words))
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def plain_similar(rows):
+    """Component of every row number, by Jaccard of all pairs."""
+    sets = [plain_shingles(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i)
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return roots(range(len(rows)), near)
+
+
+def test_similar_stage_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in ROWS if i is not None] + [(900, " "), (901, "a b c d e f"), (902, "A b c d  e f")]
+    common = [f"c{i}" for i in range(60)]
+    for g in range(25):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 150]))] + (common if g % 2 else [])
+        for _ in range(4):
+            words = list(base)
+            # a changed word changes five runs, so this lies on both sides of 0.8
+            for _ in range(rng.randint(0, 1 + len(words) // 30)):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+            rows.append((1000 + len(rows), " ".join(words)))
+    rows.append((1000, "shares its id with another text"))
+    group = plain_similar(rows)
+    fps = [plain_fingerprint(t or "", 5) for _, t in rows]
+    far = [(i, j) for i in range(len(rows)) for j in range(i) if group[i] == group[j] and (fps[i] ^ fps[j]).bit_count() > 4]
+    assert far and len(set(group.values())) > 25
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, node int")
+    best = {}
+    for n, (i, t) in enumerate(rows):
+        key = (i, hashlib.md5((t or "").encode()).digest())
+        best[group[n]] = min(best.get(group[n], key), key)
+    kept = similar.drop_similar(df.unionByName(spark.createDataFrame([(None, "one", -1)], df.schema)))
+    assert kept.columns == df.columns
+    want = collections.Counter(i for n, (i, t) in enumerate(rows) if best[group[n]] == (i, hashlib.md5((t or "").encode()).digest()))
+    assert collections.Counter(r.doc_id for r in kept.collect()) == want + collections.Counter([None])
+    assert similar.drop_similar(df.limit(0)).count() == 0
