@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, id_and_text
+from .exact_dedup import content_hash
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
@@ -93,8 +94,11 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that contain an item, all columns as they are."""
-    hits = contained_items(docs, items, size, threshold, id_col, text_col)
+    """``docs`` without those that contain an item, all columns as they are.  Rows go by a
+    64-bit hash of id and text, so a clean text is not dropped for sharing an id."""
+    row = F.when(F.col(id_col).isNotNull(), F.xxhash64(
+        F.col(id_col).cast("long"), content_hash(F.coalesce(F.col(text_col), F.lit("")))))
+    hits = contained_items(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), items, size, threshold)
     gone = Scratch(docs.sparkSession, "decontaminate").store(
         hits.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, row == F.col("_gone"), "left_anti")

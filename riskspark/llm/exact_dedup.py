@@ -68,8 +68,21 @@ def text_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
 
 
 def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of equal texts, all columns as they are.
-    Rows with a null id stay (they cannot be told apart by id)."""
-    gone = Scratch(docs.sparkSession, "exact").store(text_groups(docs, keep, id_col, text_col).filter(
-        "not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of equal texts, all columns as they are.
+
+    Rows go by id and text: of several rows of the kept id and text any one stays, and
+    another text under a dropped id is not touched.  Rows with a null id stay (they
+    cannot be told apart by id)."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = text_groups(docs, keep, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(
+        "doc_id", F.unhex("text_sha256").alias("_s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("_n"))
+    marked = scratch.store(rows.filter("not kept OR _n > 1").select(F.col("doc_id").alias("_id"), "_s", "kept"), "marked")
+    id_, mine = F.col(id_col).cast("long"), sha256(F.coalesce(F.col(text_col), F.lit("")))
+    same_row = (id_ == F.col("_id")) & (mine == F.col("_s"))
+    gone, again = marked.filter("not kept").drop("kept"), marked.filter("kept").drop("kept")
+    left = docs.join(gone, same_row, "left_anti")
+    if again.isEmpty():
+        return left
+    one = left.join(again, same_row, "left_semi").withColumns({"_one_id": id_, "_one_s": mine}).dropDuplicates(
+        ["_one_id", "_one_s"]).drop("_one_id", "_one_s")
+    return left.join(again, same_row, "left_anti").unionByName(one)

@@ -257,3 +257,14 @@ def test_similar_stage_equals_brute_force(spark):
     want = collections.Counter(i for n, (i, t) in enumerate(rows) if best[group[n]] == (i, hashlib.md5((t or "").encode()).digest()))
     assert collections.Counter(r.doc_id for r in kept.collect()) == want + collections.Counter([None])
     assert similar.drop_similar(df.limit(0)).count() == 0
+
+
+def test_stages_count_rows_by_id_and_text(spark):
+    item = "one two three four five six seven"
+    rows = [(5, "A"), (5, "B"), (9, "A"), (9, "A"), (None, "A"), (7, f"so {item} it"), (7, "clean"), (8, "C"), (8, "C")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact_dedup.drop_copies(docs, keep="max")
+    assert rows_by(kept, "doc_id", "text") == collections.Counter(
+        [(5, "B"), (9, "A"), (None, "A"), (7, f"so {item} it"), (7, "clean"), (8, "C")])
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert rows_by(left, "doc_id", "text") == collections.Counter(r for r in rows if item not in r[1])

@@ -73,6 +73,15 @@ def test_toxicity_stage_and_edge_tables(labelled):
     assert {r.predicted for r in toxicity.toxic_scores(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxic_stage_goes_by_id_and_text(spark, labelled):
+    docs, labels, _ = labelled
+    clean = max(r.text for r in toxicity.drop_toxic(docs, labels).collect() if r.doc_id and r.doc_id < 600)
+    both = docs.unionByName(spark.createDataFrame(
+        [(5000, clean + " grumpf" * 5, "en", 0.0), (5000, clean, "en", 0.0)], docs.schema))
+    kept = [r.text for r in toxicity.drop_toxic(both, labels).collect() if r.doc_id == 5000]
+    assert kept == [clean]
+
+
 def test_network_windows_end_with_their_text():
     net = toxicity.train(["bad one two", "good one two"] * 30, np.array([1.0, 0.0] * 30))
     alone = [net.logits([t])[0] for t in ("bad", "one two", "")]
