@@ -82,6 +82,17 @@ def test_toxic_stage_goes_by_id_and_text(spark, labelled):
     assert kept == [clean]
 
 
+def test_fit_takes_one_bounded_row_of_each_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, *_: seen.extend(texts))
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, texts, *_: seen.extend(texts))
+    docs = spark.createDataFrame([(i, "a " * 50_000, "en") for i in range(30) for _ in range(4)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert len(seen) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30))
+    assert {len(t) for t in seen} == {toxicity.FIT_CHARS}
+
+
 def test_network_windows_end_with_their_text():
     net = toxicity.train(["bad one two", "good one two"] * 30, np.array([1.0, 0.0] * 30))
     alone = [net.logits([t])[0] for t in ("bad", "one two", "")]
