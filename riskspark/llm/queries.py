@@ -6,15 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, token_count, toxicity, url_filter
+from . import (
+    bpe, chunked_bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, token_count, toxicity, url_filter,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -107,3 +110,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_identifiers(table(spark, sf, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    coded = chunked_bpe.round_trip(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
