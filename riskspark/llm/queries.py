@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, chunked_bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, token_count, toxicity, url_filter,
+    bpe, chunked_bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, spelling, token_count, toxicity, url_filter,
 )
 from .common import table
 
@@ -117,3 +117,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     coded = chunked_bpe.round_trip(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_spelling_groups")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf, "documents"))
