@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     bpe, chunked_bpe, decontaminate, exact_dedup, ngram_lm, pii, repeats, simhash, spelling, token_count, toxicity, url_filter,
+    whitening,
 )
 from .common import table
 
@@ -122,3 +123,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_spelling_groups")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
