@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, ranking
 from ..functions.hashing import digest, hex_number, uniform
 from ..functions.tables import with_row
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import metrics as M
 
 BOOT_METRICS = ["precision", "recall", "f1", "mcc", "accuracy", "false_positive_rate"]
@@ -86,14 +88,36 @@ def binomial_draws(params: DataFrame, uniforms: DataFrame, keys: list[str]) -> D
         *keys, "b", (F.col("_first") + F.least(F.col("_below"), F.col("_size") - 1)).alias("draw"))
 
 
-def binomial_draw_each(params: DataFrame, keys: list[str]) -> DataFrame:
-    """One draw per parameter row (keys, n, p, u): keys, draw."""
-    lowest = F.max("lo") + F.count_if(F.col("v") < F.col("u"))
-    # A few thousand short rows grow by the range of k: spread them first.  The
-    # window and the aggregation then need no further shuffle.
-    wide = params.repartition(params.sparkSession.sparkContext.defaultParallelism, *keys)
-    return _cumulative(wide, keys).groupBy(*keys).agg(
-        F.least(lowest, F.max("hi")).alias("draw"))
+def binomial_quantile(n: Column, p: Column, u: Column) -> Column:
+    """The lowest k whose cumulative binomial probability reaches u, row by row.
+
+    Neighbouring terms differ by a ratio, so a walk up from the lowest k that matters
+    needs no table.  Rows of an Arrow batch walk side by side until each has arrived.
+    """
+    tail = TAIL
+
+    @F.pandas_udf("long")
+    def drawn(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
+        n, p, u = n.to_numpy(), p.to_numpy(), u.to_numpy()
+        out = np.where(p >= 1, n, 0)
+        rows = np.flatnonzero((n > 0) & (p > 0) & (p < 1))
+        n, p, u = n[rows].astype(float), p[rows], u[rows]
+        reach = tail / 3 + np.sqrt(tail**2 / 9 + 2 * tail * n * p * (1 - p))
+        at = np.maximum(0, np.floor(n * p - reach) - 2)
+        ln_factorial = np.frompyfunc(lambda x: math.lgamma(x + 1), 1, 1)
+        ways = (ln_factorial(n) - ln_factorial(at) - ln_factorial(n - at)).astype(float)
+        term = np.exp(ways + at * np.log(p) + (n - at) * np.log1p(-p))
+        odds, total = p / (1 - p), np.zeros(len(rows))
+        while len(rows):
+            total = total + term
+            on = (total < u) & (at < n)
+            out[rows[~on]] = at[~on]
+            rows, n, u, odds, at, total, term = (x[on] for x in (rows, n, u, odds, at, total, term))
+            term = term * (n - at) / (at + 1) * odds
+            at = at + 1
+        return pd.Series(out)
+
+    return drawn(n, p, u)
 
 
 def _long(cells: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
@@ -143,44 +167,70 @@ def bootstrap_ci(pred: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
         _interval(_long(replicates, BOOT_METRICS, []), alpha), "metric")
 
 
-def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
-                     seed: int = K.SPLIT_SEED, score: str = "risk", label: str = "label") -> DataFrame:
-    """Percentile interval of roc_auc and pr_auc, class-stratified.
+def _score_splits(counts: DataFrame, depth: int) -> DataFrame:
+    """Every inner node of the binary tree over ranked scores: height, node, and the
+    share of its positives and of its negatives that lie in its lower half."""
+    bit = F.expr("shiftright(rank, height - 1)")
+    nodes = counts.withColumn("height", F.explode(F.sequence(F.lit(1), F.lit(depth)))).groupBy(
+        "height", F.expr("shiftright(rank, height)").alias("node")).agg(
+        *[F.sum(c).alias(c) for c in ("pos", "neg")],
+        *[F.sum(F.when(bit % 2 == 0, F.col(c)).otherwise(0)).alias(f"low_{c}") for c in ("pos", "neg")])
+    return nodes.select("height", "node", *[
+        F.coalesce(M.ratio(F.col(f"low_{c}").cast("double"), F.col(c)), F.lit(0.0)).alias(f"p_{c}") for c in ("pos", "neg")])
+
 
-    Rows fold to counts per distinct score first.  Drawing the rows of a class with
-    replacement is one multinomial draw over its scores, so a replicate costs the number
-    of distinct scores, whatever the number of rows.  Blocks of replicates are groups of
-    their own; a replicate's generator is seeded by its number, so results do not depend
-    on the partitioning.
+def area_replicates(scored: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SEED, score: str = "risk",
+                    label: str = "label") -> DataFrame:
+    """b, roc_auc, pr_auc: areas of class-stratified resamples.
+
+    Rows fold to counts per distinct score, and drawing a class anew is one multinomial
+    draw over its scores.  The draw goes down a binary tree over the ranked scores: a
+    node's draws split between its halves by one binomial.  Each row (replicate, node)
+    carries the draws of its scores and of all scores above them, so the areas are plain
+    sums over the leaves.  No row needs another row of its replicate.
     """
-    counts = checkpointed(scored.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
-    blocks = min(64, n_boot)
-
-    def replicates(pdf):
-        import numpy as np
-        import pandas as pd
-
-        table = pdf.sort_values("score", ascending=False)
-        block, out = int(table["block"].iloc[0]), []
-        sizes = {c: int(table[c].sum()) for c in ("pos", "neg")}
-        for b in range(block, n_boot, blocks):
-            if not all(sizes.values()):
-                out.append((b, None, None))
-                continue
-            rng = np.random.default_rng([seed, b])
-            pos, neg = (rng.multinomial(n, table[c].to_numpy() / n) for c, n in sizes.items())
-            cum_pos, cum_all = np.cumsum(pos), np.cumsum(pos + neg)
-            above = np.concatenate(([0], cum_pos[:-1]))
-            roc = (neg * (above + pos / 2)).sum() / (sizes["pos"] * sizes["neg"])
-            # an empty score repeats the point before it, and has no positives to weigh
-            here = np.divide(cum_pos, cum_all, out=np.ones(len(pos)), where=cum_all > 0)
-            pr = (pos * (here + np.concatenate(([1.0], here[:-1]))) / 2).sum() / sizes["pos"]
-            out.append((b, roc, pr))
-        return pd.DataFrame(out, columns=["b", "roc_auc", "pr_auc"]).astype({"roc_auc": float, "pr_auc": float})
-
-    dealt = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    areas = dealt.groupBy("block").applyInPandas(replicates, "b long, roc_auc double, pr_auc double")
+    spark = scored.sparkSession
+    folded = scored.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    counts = stored(ranking.ranked(folded, [], ranking.score_bucket(F.col("score")), [F.col("score")]).select(
+        (F.col("rank") - 1).cast("bigint").alias("rank"), "pos", "neg"), "score-counts")
+    n_scores, n_pos, n_neg = counts.agg(F.count("*"), F.sum("pos"), F.sum("neg")).first()
+    depth = max(0, (n_scores or 0) - 1).bit_length()
+    splits = stored(_score_splits(counts, depth), "score-splits") if depth else None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, n_boot if n_scores else 0, 1, max(parts, spark.sparkContext.defaultParallelism)).select(
+        F.col("id").alias("b"), *[F.lit(v or 0).cast("bigint").alias(c) for c, v in (
+            ("node", 0), ("pos", n_pos), ("neg", n_neg), ("above_pos", 0), ("above_neg", 0))])
+    for height in range(depth, 0, -1):
+        low = {}
+        rows = rows.join(splits.filter(F.col("height") == height).drop("height"), "node")
+        for c in ("pos", "neg"):
+            u = uniform(digest(seed, F.lit("area"), F.lit(c), F.lit(height), F.col("node"), F.col("b")))
+            rows = rows.withColumn(f"low_{c}", binomial_quantile(F.col(c), F.col(f"p_{c}"), u))
+            low[c] = F.col(f"low_{c}")
+        high = {c: F.col(c) - low[c] for c in low}
+        halves = F.array(
+            F.struct((F.col("node") * 2 + 1).alias("node"), high["pos"].alias("pos"), high["neg"].alias("neg"),
+                     F.col("above_pos"), F.col("above_neg")),
+            F.struct((F.col("node") * 2).alias("node"), low["pos"].alias("pos"), low["neg"].alias("neg"),
+                     (F.col("above_pos") + high["pos"]).alias("above_pos"), (F.col("above_neg") + high["neg"]).alias("above_neg")))
+        rows = rows.select("b", F.explode(halves).alias("half")).select("b", "half.*").filter("pos + neg > 0")
+    c = F.col
+    upto, before = c("above_pos") + c("pos"), c("above_pos") + c("above_neg")
+    here = upto / (before + c("pos") + c("neg"))
+    previous = F.when(before > 0, c("above_pos") / before).otherwise(F.lit(1.0))
+    sums = rows.groupBy("b").agg(
+        F.sum(c("neg") * (c("above_pos").cast("double") + c("pos") / F.lit(2.0))).alias("roc"),
+        F.sum(c("pos") * (here + previous) / F.lit(2.0)).alias("pr"))
+    both = bool(n_pos and n_neg)
+    return sums.select("b", *[(c(part) / F.lit(float(size)) if both else F.lit(None).cast("double")).alias(name) for part, size, name in (
+        ("roc", (n_pos or 0) * (n_neg or 0), "roc_auc"), ("pr", n_pos or 0, "pr_auc"))])
+
+
+def bootstrap_auc_ci(scored: DataFrame, n_boot: int = 2000, alpha: float = 0.05,
+                     seed: int = K.SPLIT_SEED, score: str = "risk", label: str = "label") -> DataFrame:
+    """Percentile interval of roc_auc and pr_auc, class-stratified; null with one class."""
+    areas = area_replicates(scored, n_boot, seed, score, label)
     names = ["roc_auc", "pr_auc"]
     return _long(M.ranking_metrics(scored, [], score, label), names, []).withColumnRenamed("value", "point").join(
         _interval(_long(areas, names, []), alpha), "metric")
@@ -253,7 +303,7 @@ def naive_bootstrap(cells: DataFrame, n_boot: int = 2000, seed: int = K.SPLIT_SE
         F.struct(F.lit("tp").alias("cell"), F.col("pos").alias("n"), F.col("p_tp").alias("p")),
         F.struct(F.lit("fp").alias("cell"), (F.col("n_all") - F.col("pos")).alias("n"), F.col("p_fp").alias("p")),
     )).alias("s")).select("b", "s.*").withColumn("u", u(F.col("cell")))
-    drawn = binomial_draw_each(params, ["cell", "b"]).groupBy("b").agg(
+    drawn = params.withColumn("draw", binomial_quantile(F.col("n"), F.col("p"), F.col("u"))).groupBy("b").agg(
         F.max(F.when(F.col("cell") == "tp", F.col("draw"))).alias("tp"),
         F.max(F.when(F.col("cell") == "fp", F.col("draw"))).alias("fp"))
     return drawn.join(per_b, "b").select(
@@ -408,30 +458,123 @@ def _score_label_counts(train: DataFrame, prob: str, label: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("w")))
 
 
-def isotonic_calibrate(train: DataFrame, test: DataFrame, prob: str = "risk",
-                       label: str = "label", out: str = "isotonic") -> DataFrame:
-    """Monotone recalibration fitted on ``train``, flat outside its range."""
-    from pyspark.ml.regression import IsotonicRegression
+# Points of a block of the isotonic fit.
+ISOTONIC_BLOCK = 4096
+_POOLS = "block long, at long, low double, high double, w double, wy double"
+
+
+def isotonic_pools(train: DataFrame, prob: str = "risk", label: str = "label", block: int = ISOTONIC_BLOCK) -> DataFrame:
+    """low, high, value: the level sets of the rising step function nearest to the labels.
 
+    Rows fold to distinct scores first.  Blocks of ``block`` scores pool their adjacent
+    violators on their own; then neighbours merge pairwise, doubling what a block spans.
+    A merge only reads the pools its border can reach: those of the left block at or above
+    the first mean of the right one, and those of the right block at or below the last
+    mean of the left one.
+    """
+    def pooled(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Adjacent pools (ordered by ``at``) whose means do not rise become one."""
+        pools: list[list] = []
+        for row in pdf.sort_values("at")[["block", "at", "low", "high", "w", "wy"]].itertuples(index=False):
+            pools.append(list(row))
+            # means as products: no rounding of a quotient decides
+            while len(pools) > 1 and pools[-2][5] * pools[-1][4] >= pools[-1][5] * pools[-2][4]:
+                last = pools.pop()
+                pools[-1][3], pools[-1][4], pools[-1][5] = last[3], pools[-1][4] + last[4], pools[-1][5] + last[5]
+        return pd.DataFrame(pools, columns=["block", "at", "low", "high", "w", "wy"])
+
+    folded = train.groupBy(F.col(prob).alias("x")).agg(
+        F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(label).cast("double")).alias("wy"))
+    numbered = ranking.ranked(folded, [], ranking.score_bucket(F.col("x")), [F.col("x")], "at")
+    points = numbered.select(F.floor((F.col("at") - 1) / block).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("at"),
+                             F.col("x").alias("low"), F.col("x").alias("high"), "w", "wy")
+    pools = stored(points.groupBy("block").applyInPandas(pooled, _POOLS), "pools")
+    mean = F.col("wy") / F.col("w")
+    for _ in range(((pools.agg(F.max("block")).first()[0]) or 0).bit_length()):
+        pair, right = F.floor(F.col("block") / 2).cast("bigint"), F.col("block") % 2 == 1
+        rows = pools.withColumns({"right": right, "pair": pair, "mean": mean})
+        ends = rows.groupBy("pair").agg(F.max(F.when(~F.col("right"), F.col("mean"))).alias("left_last"),
+                                        F.min(F.when(F.col("right"), F.col("mean"))).alias("right_first"))
+        reached = F.when(F.col("right"), F.col("mean") <= F.col("left_last")).otherwise(F.col("mean") >= F.col("right_first"))
+        marked = rows.join(ends, "pair").select(F.col("pair").alias("block"), "at", "low", "high", "w", "wy",
+                                                F.coalesce(reached, F.lit(False)).alias("reached"))
+        merged = marked.filter("reached").drop("reached").groupBy("block").applyInPandas(pooled, _POOLS)
+        pools = stored(marked.filter("not reached").drop("reached").unionByName(merged), "pools")
+    return pools.select("low", "high", mean.alias("value"))
+
+
+def isotonic_calibrate(train: DataFrame, test: DataFrame, prob: str = "risk", label: str = "label",
+                       out: str = "isotonic", block: int = ISOTONIC_BLOCK) -> DataFrame:
+    """Monotone recalibration fitted on ``train``: linear between the fitted scores, flat
+    outside their range, null without training rows."""
+    pools = isotonic_pools(train, prob, label, block)
+    # a pool ends a knot at either side; distinct scores of the test rows look for both neighbours
+    knots = pools.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("x"), "value")
+    asked = test.select(F.col(prob).alias("x")).distinct().select("x", F.lit(None).cast("double").alias("value"))
+    knot = F.when(F.col("value").isNotNull(), F.struct("x", "value"))
+    points = knots.unionByName(asked).select("*", knot.alias("knot"), ranking.score_bucket(F.col("x")).alias("bucket"))
+    ordered = Window.orderBy("bucket")
+    outer = points.groupBy("bucket").agg(F.min("knot").alias("first"), F.max("knot").alias("last")).select(
+        "bucket", F.last("last", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    inside = Window.partitionBy("bucket").orderBy("x", F.col("value").isNull())
+    near = points.withColumns({
+        "_low": F.last("knot", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_high": F.first("knot", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+    }).filter("value is null").join(outer, "bucket").select(
+        "x", F.coalesce("_low", "before").alias("l"), F.coalesce("_high", "after").alias("h"))
+    x, low, high = F.col("x"), F.col("l"), F.col("h")
+    share = (x - low["x"]) / (high["x"] - low["x"])
+    value = (F.when(low.isNull(), high["value"]).when(high.isNull() | (low["x"] == x), low["value"])
+             .otherwise(low["value"] + (high["value"] - low["value"]) * share))
+    fitted = near.select(x.alias("_x"), value.alias(out))
+    return test.join(fitted, F.col(prob).eqNullSafe(F.col("_x")), "left").drop("_x")
+
+
+def platt_fit(train: DataFrame, prob: str = "risk", label: str = "label", c: float = 1.0,
+              tolerance: float = 1e-10, steps: int = 100) -> tuple[float, float]:
+    """(slope, intercept) of the logistic curve over the score that minimises the log loss
+    plus slope^2 / (2 c).
+
+    Newton's method: each step is one aggregation of the folded rows into gradient and
+    Hessian.  A step that would raise the loss is halved; all halvings are tried in the
+    same pass.  Raises when ``steps`` steps leave a gradient above ``tolerance`` a row.
+    """
     folded = _score_label_counts(train, prob, label)
-    model = IsotonicRegression(
-        featuresCol="x", labelCol="y", weightCol="w", predictionCol=out).fit(folded)
-    return model.transform(test.withColumn("x", F.col(prob))).drop("x")
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+
+    def loss(slope: float, intercept: float) -> Column:
+        z = F.lit(slope) * x + F.lit(intercept)
+        # ln(1 + exp(z)) - y z without overflow
+        return F.sum(w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)) + F.lit(slope * slope / (2 * c))
+
+    def derivatives(slope: float, intercept: float) -> list[Column]:
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * x + F.lit(intercept))))
+        q = w * p * (F.lit(1.0) - p)
+        return [F.sum(e).alias(n) for n, e in (
+            ("n", w), ("ga", w * (p - y) * x), ("gb", w * (p - y)), ("haa", q * x * x), ("hab", q * x), ("hbb", q))]
+
+    a = b = 0.0
+    for _ in range(steps):
+        d = folded.agg(*derivatives(a, b)).first()
+        if not d["n"]:
+            return 0.0, 0.0
+        ga, haa = d["ga"] + a / c, d["haa"] + 1 / c
+        if max(abs(ga), abs(d["gb"])) <= tolerance * d["n"]:
+            return a, b
+        # one class only: the intercept runs off, a tiny ridge keeps the system regular
+        hbb = d["hbb"] + 1e-12
+        det = haa * hbb - d["hab"] ** 2
+        da, db = (hbb * ga - d["hab"] * d["gb"]) / det, (haa * d["gb"] - d["hab"] * ga) / det
+        tried = [(a - da / 2**i, b - db / 2**i) for i in range(12)]
+        losses = folded.agg(loss(a, b).alias("now"), *[loss(*t).alias(f"t{i}") for i, t in enumerate(tried)]).first()
+        better = [i for i in range(len(tried)) if losses[f"t{i}"] <= losses["now"] + 1e-12 * abs(losses["now"])]
+        a, b = tried[better[0] if better else -1]
+    raise ValueError(f"the fit did not settle in {steps} steps")
 
 
 def platt_calibrate(train: DataFrame, test: DataFrame, prob: str = "risk",
                     label: str = "label", out: str = "platt", c: float = 1.0) -> DataFrame:
     """Logistic recalibration of the score, fitted on ``train``."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    folded = _score_label_counts(train, prob, label)
-    n = folded.agg(F.sum("w")).first()[0]
-    as_vector = VectorAssembler(inputCols=["x"], outputCol="v")
-    model = LogisticRegression(
-        featuresCol="v", labelCol="y", weightCol="w", standardization=False,
-        regParam=1.0 / (c * n), maxIter=100).fit(as_vector.transform(folded))
-    scored = model.transform(as_vector.transform(test.withColumn("x", F.col(prob))))
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-        "x", "v", "rawPrediction", "probability", "prediction")
+    slope, intercept = platt_fit(train, prob, label, c)
+    return test.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * F.col(prob) + F.lit(intercept)))))

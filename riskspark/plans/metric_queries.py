@@ -304,9 +304,8 @@ def ln_fact(x: str) -> str:
             f"+ 1 / (1260.0::DOUBLE * power({x}::DOUBLE, 5)) END)")
 
 
-def binomial_sql(params: str, points: str, keys: str, name: str) -> str:
-    """CTE ``name``: inverse-cumulative binomial draws (keys, b, draw)."""
-    on = " AND ".join(f"t.{k.strip()} = u.{k.strip()}" for k in keys.split(","))
+def binomial_cdf_sql(params: str, keys: str, name: str) -> str:
+    """CTEs up to ``name``_cdf: keys, k and the cumulative probability v."""
     pmf = (f"CASE WHEN p <= 0 THEN (k = 0)::INTEGER::DOUBLE WHEN p >= 1 THEN (k = n)::INTEGER::DOUBLE ELSE exp({ln_fact('n')} - {ln_fact('k')} - {ln_fact('(n - k)')} "
            f"+ CASE WHEN k = 0 THEN 0 ELSE k * ln(p) END + CASE WHEN n = k THEN 0 ELSE (n - k) * ln(1 - p) END) END")
     # 13.4 + sqrt(178 + 80 var): Bernstein's bound at exp(-40), rounded up
@@ -314,7 +313,13 @@ def binomial_sql(params: str, points: str, keys: str, name: str) -> str:
     return f"""{name}_k AS (SELECT {keys}, n, p, unnest(range(
     greatest(0, floor(n * p - {reach}) - 2)::BIGINT,
     least(n, (ceil(n * p + {reach}) + 2)::BIGINT) + 1)) AS k FROM {params}),
-{name}_cdf AS (SELECT {keys}, k, sum({pmf}) OVER (PARTITION BY {keys} ORDER BY k) AS v FROM {name}_k),
+{name}_cdf AS (SELECT {keys}, k, sum({pmf}) OVER (PARTITION BY {keys} ORDER BY k) AS v FROM {name}_k)"""
+
+
+def binomial_sql(params: str, points: str, keys: str, name: str) -> str:
+    """CTE ``name``: inverse-cumulative binomial draws (keys, b, draw)."""
+    on = " AND ".join(f"t.{k.strip()} = u.{k.strip()}" for k in keys.split(","))
+    return f"""{binomial_cdf_sql(params, keys, name)},
 {name} AS (SELECT {', '.join('u.' + k.strip() for k in keys.split(','))}, u.b, t.k AS draw
   FROM {points} u ASOF JOIN {name}_cdf t ON {on} AND t.v >= u.u)"""
 
@@ -341,7 +346,55 @@ def bootstrap_ci(spark, sf):
     return out.select("metric", *[r6(c).alias(c) for c in ("point", "ci_low", "ci_high")], "n_boot")
 
 
-@query("bootstrap_auc_ci")
+# Levels of the score tree of the check: up to 4,096 distinct scores.
+AREA_LEVELS = 12
+
+
+def area_level_sql(h: int) -> str:
+    """CTEs from the nodes ``ar{h}`` of height h to their halves ``ar{h - 1}``."""
+    u = Q.uniform(Q.md5("'1337'", "'area'", "cls", str(h), "node", "b"))
+    sides = " UNION ALL ".join(
+        f"SELECT '{c}' AS cls, r.node, r.{c} AS m, r.b, p.p_{c} AS p FROM ar{h} r JOIN asplit p ON p.height = {h} AND p.node = r.node WHERE r.{c} > 0 AND p.p_{c} > 0 AND p.p_{c} < 1"
+        for c in ("pos", "neg"))
+    return f"""as{h} AS MATERIALIZED ({sides}),
+ap{h} AS MATERIALIZED (SELECT DISTINCT cls, node, m, m AS n, p FROM as{h}),
+au{h} AS MATERIALIZED (SELECT cls, node, m, b, {u} AS u FROM as{h}),
+{binomial_cdf_sql(f'ap{h}', 'cls, node, m', f'ad{h}')},
+ad{h} AS MATERIALIZED (SELECT * FROM (SELECT cls, node, m, b, min(k) OVER (PARTITION BY cls, node, m ORDER BY v, b IS NULL
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS draw
+  FROM (SELECT cls, node, m, b, u AS v, NULL::BIGINT AS k FROM au{h} UNION ALL SELECT cls, node, m, NULL, v, k FROM ad{h}_cdf)) WHERE b IS NOT NULL),
+al{h} AS MATERIALIZED (SELECT r.*, CASE WHEN p_pos >= 1 THEN r.pos ELSE coalesce(x.draw, 0) END AS lp,
+  CASE WHEN p_neg >= 1 THEN r.neg ELSE coalesce(y.draw, 0) END AS ln FROM ar{h} r JOIN asplit p ON p.height = {h} AND p.node = r.node
+  LEFT JOIN ad{h} x ON x.cls = 'pos' AND x.node = r.node AND x.b = r.b LEFT JOIN ad{h} y ON y.cls = 'neg' AND y.node = r.node AND y.b = r.b),
+ar{h - 1} AS MATERIALIZED (SELECT * FROM (
+  SELECT b, node * 2 + 1 AS node, pos - lp AS pos, neg - ln AS neg, ap, an FROM al{h}
+  UNION ALL SELECT b, node * 2, lp, ln, ap + pos - lp, an + neg - ln FROM al{h}) WHERE pos + neg > 0)"""
+
+
+AREA = Q.with_(SCORED) + f""", ac AS MATERIALIZED (SELECT row_number() OVER (ORDER BY risk) - 1 AS rank, count(*) FILTER (label = 1) AS pos,
+  count(*) FILTER (label = 0) AS neg FROM scored GROUP BY risk),
+an AS (SELECT h AS height, rank >> h AS node, sum(pos)::DOUBLE AS pos, sum(neg)::DOUBLE AS neg,
+  coalesce(sum(pos) FILTER ((rank >> (h - 1)) % 2 = 0), 0) AS lp, coalesce(sum(neg) FILTER ((rank >> (h - 1)) % 2 = 0), 0) AS ln
+  FROM ac, (SELECT unnest(range(1, {AREA_LEVELS + 1}))::INTEGER AS h) GROUP BY ALL),
+asplit AS MATERIALIZED (SELECT height, node, CASE WHEN pos > 0 THEN lp / pos ELSE 0 END AS p_pos, CASE WHEN neg > 0 THEN ln / neg ELSE 0 END AS p_neg FROM an),
+ar{AREA_LEVELS} AS MATERIALIZED (SELECT b, 0::BIGINT AS node, p::BIGINT AS pos, n::BIGINT AS neg, 0::BIGINT AS ap, 0::BIGINT AS an
+  FROM (SELECT unnest(range(2000)) AS b), (SELECT sum(pos) AS p, sum(neg) AS n FROM ac)),
+{(',' + chr(10)).join(area_level_sql(h) for h in range(AREA_LEVELS, 0, -1))},
+areps AS (SELECT b, sum(neg * (ap::DOUBLE + pos / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) AS roc_auc,
+  sum(pos * ((ap + pos) / (ap + an + pos + neg)::DOUBLE + CASE WHEN ap + an > 0 THEN ap / (ap + an)::DOUBLE ELSE 1 END) / 2.0) / sum(pos) AS pr_auc
+  FROM ar0 GROUP BY b),
+arun AS (SELECT pos, neg, coalesce(sum(pos) OVER w, 0) AS ap, coalesce(sum(neg) OVER w, 0) AS an FROM ac
+  WINDOW w AS (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+apoint AS (SELECT sum(neg * (ap::DOUBLE + pos / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) AS roc_auc,
+  sum(pos * ((ap + pos) / (ap + an + pos + neg)::DOUBLE + CASE WHEN ap + an > 0 THEN ap / (ap + an)::DOUBLE ELSE 1 END) / 2.0) / sum(pos) AS pr_auc FROM arun),
+along AS (SELECT 'roc_auc' AS metric, roc_auc AS value FROM areps UNION ALL SELECT 'pr_auc', pr_auc FROM areps),
+aplong AS (SELECT 'roc_auc' AS metric, roc_auc AS value FROM apoint UNION ALL SELECT 'pr_auc', pr_auc FROM apoint)
+SELECT v.metric, {d6('any_value(pt.value)')} AS point, {d6('quantile_cont(v.value, 0.025)')} AS ci_low,
+  {d6('quantile_cont(v.value, 0.975)')} AS ci_high, count(*) AS n_boot
+FROM along v JOIN aplong pt ON pt.metric = v.metric GROUP BY v.metric"""
+
+
+@query("bootstrap_auc_ci", AREA)
 def bootstrap_auc_ci(spark, sf):
     out = stats.bootstrap_auc_ci(scored(spark, sf))
     return out.select("metric", *[r6(c).alias(c) for c in ("point", "ci_low", "ci_high")], "n_boot")
@@ -502,12 +555,45 @@ def _calibration_row(df, out):
         "method", r6("ece").alias("ece"), r6("brier").alias("brier"))
 
 
-@query("isotonic_calibrate")
+CALIBRATED = Q.with_(SCORED, split_sql("scored")) + """, tr AS MATERIALIZED (
+  SELECT risk AS x, count(*)::DOUBLE AS w, sum(label)::DOUBLE AS wy FROM sp WHERE split = 'train' GROUP BY risk),
+te AS MATERIALIZED (SELECT label, risk AS x FROM sp WHERE split = 'test')"""
+
+
+def calibration_row_sql(name: str, src: str) -> str:
+    """The error of ``src`` (label, p) as the query reports it."""
+    return f"""SELECT '{name}' AS method, (SELECT {d6('sum(n * abs(acc - conf)) / sum(n)')} FROM (
+    SELECT count(*) AS n, avg(label) AS acc, avg(p) AS conf FROM {src} GROUP BY least(9, greatest(0, ceil(p * 10) - 1)))) AS ece,
+  (SELECT {d6('avg(power(p - label, 2))')} FROM {src}) AS brier"""
+
+
+# The greatest of the smallest means: of all runs of scores around a score, over their
+# left ends the largest of the means that are smallest over their right ends.
+ISOTONIC = CALIBRATED + f""", cu AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(wy) OVER (ORDER BY x) AS cy, w, wy FROM tr),
+runs AS (SELECT j.i AS j, k.i AS k, (k.cy - j.cy + j.wy) / (k.cw - j.cw + j.w) AS m FROM cu j JOIN cu k ON k.i >= j.i),
+least_mean AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS m FROM runs),
+iso AS MATERIALIZED (SELECT cu.x, max(m) AS f FROM least_mean JOIN cu ON cu.i = k GROUP BY cu.x),
+near AS (SELECT te.label, te.x, l.x AS lx, l.f AS lf, h.x AS hx, h.f AS hf FROM te
+  ASOF LEFT JOIN iso l ON te.x >= l.x ASOF LEFT JOIN iso h ON te.x <= h.x),
+cal AS (SELECT label, CASE WHEN lx IS NULL THEN hf WHEN hx IS NULL OR lx = x THEN lf ELSE lf + (hf - lf) * (x - lx) / (hx - lx) END AS p FROM near)
+{calibration_row_sql('isotonic', 'cal')}"""
+
+# Newton steps on slope and intercept, far more than they need to settle.
+PLATT = CALIBRATED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", nt(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT i, a, b, sum((w * p - wy) * x) + a AS ga, sum(w * p - wy) AS gb, sum(w * p * (1 - p) * x * x) + 1 AS haa,
+      sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p)) AS hbb
+    FROM (SELECT *, {Q.sigmoid('a * x + b')} AS p FROM nt, tr WHERE i < 40) GROUP BY i, a, b)),
+cal AS (SELECT label, {Q.sigmoid('a * x + b')} AS p FROM te, (SELECT a, b FROM nt WHERE i = 40))
+{calibration_row_sql('platt', 'cal')}"""
+
+
+@query("isotonic_calibrate", ISOTONIC)
 def isotonic_calibrate(spark, sf):
     return _calibration_row(calibrated(spark, sf, stats.isotonic_calibrate), "isotonic")
 
 
-@query("platt_calibrate")
+@query("platt_calibrate", PLATT)
 def platt_calibrate(spark, sf):
     return _calibration_row(calibrated(spark, sf, stats.platt_calibrate), "platt")
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def test_binomial_draws_follow_the_distribution(spark):
         assert got.get(k, 0) / 4000 == pytest.approx(want, abs=1 / 2000)
     assert out.filter("g = 'b'").agg(F.min("draw"), F.max("draw")).first() == (1000, 1000)
     assert out.filter("g = 'c'").agg(F.min("draw"), F.max("draw")).first() == (0, 0)
-    each = stats.binomial_draw_each(points.join(params, "g"), ["g", "b"])
+    each = points.join(params, "g").withColumn("draw", stats.binomial_quantile(F.col("n"), F.col("p"), F.col("u")))
     assert each.join(out.withColumnRenamed("draw", "d2"), ["g", "b"]).filter("draw <> d2").count() == 0
 
 
@@ -159,6 +160,94 @@ def test_calibration(spark):
     assert 0 < platt[0] <= platt[1] < 1
 
 
+def plain_pools(points):
+    """Level sets of the isotonic fit over (x, y), by the textbook's one pass."""
+    pools = []
+    for x in sorted({x for x, _ in points}):
+        ys = [y for at, y in points if at == x]
+        pools.append([x, x, len(ys), sum(ys)])
+        while len(pools) > 1 and pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return [(lo, hi, s / n) for lo, hi, n, s in pools]
+
+
+@pytest.mark.parametrize("block, rising", [(2, 0.0), (3, 0.3), (5, -0.6), (4096, 0.3), (4, 1.0)])
+def test_isotonic_blocks_merge_to_the_plain_fit(spark, block, rising):
+    rng = random.Random(block)
+    xs = [round(rng.random(), 2) for _ in range(400)]
+    points = [(x, int(rng.random() < 0.5 + rising * (x - 0.5))) for x in xs]
+    train = frame(spark, points, "risk double, label int")
+    got = sorted((r.low, r.high, r.value) for r in stats.isotonic_pools(train, block=block).collect())
+    want = plain_pools(points)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    # between, on and outside the fitted scores
+    asked = [0.0, 1.0, 0.005, 0.5, 0.505, 0.999] + [x for x, _ in points[:30]]
+    test = frame(spark, [(i, x) for i, x in enumerate(asked)], "i int, risk double")
+    knots = [(x, v) for lo, hi, v in want for x in {lo, hi}]
+    wanted = np.interp(asked, *zip(*sorted(knots)))
+    out = {r.i: r.isotonic for r in stats.isotonic_calibrate(train, test, block=block).collect()}
+    assert [out[i] for i in range(len(asked))] == pytest.approx(list(wanted))
+
+
+def test_isotonic_without_rows(spark):
+    train = frame(spark, [], "risk double, label int")
+    test = frame(spark, [(1, 0.5), (2, None)], "i int, risk double")
+    assert [r.isotonic for r in stats.isotonic_calibrate(train, test).collect()] == [None, None]
+    train = frame(spark, [(0.25, 1)], "risk double, label int")
+    assert {r.i: r.isotonic for r in stats.isotonic_calibrate(train, test.filter("i = 1")).collect()} == {1: 1.0}
+
+
+def test_platt_fit_is_stationary(spark):
+    rng = random.Random(8)
+    points = [(x, int(rng.random() < 1 / (1 + math.exp(3 - 8 * x)))) for x in (rng.random() for _ in range(300))]
+    a, b = stats.platt_fit(frame(spark, points, "risk double, label int"))
+    p = [1 / (1 + math.exp(-(a * x + b))) for x, _ in points]
+    assert abs(sum(q - y for q, (_, y) in zip(p, points))) < 1e-6
+    assert abs(sum((q - y) * x for q, (x, y) in zip(p, points)) + a) < 1e-6
+    # separable scores settle through the penalty, no rows mean the middle
+    a, _ = stats.platt_fit(frame(spark, [(0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1)], "risk double, label int"))
+    assert 0 < a < 10
+    assert stats.platt_fit(frame(spark, [], "risk double, label int")) == (0.0, 0.0)
+
+
+def test_binomial_quantile_equals_the_table(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 1, 7, 60, 5000]), rng.choice([0.0, 1e-4, 0.3, 0.5, 0.99, 1.0]), rng.random()) for i in range(300)]
+    rows += [(901, 5, 0.5, 2.0**-53)]
+    df = frame(spark, rows, "b long, n long, p double, u double")
+    got = {r.b: r.k for r in df.select("b", stats.binomial_quantile(F.col("n"), F.col("p"), F.col("u")).alias("k")).collect()}
+    for b, n, p, u in rows:
+        total, k = 0.0, -1
+        while k < n and (k < 0 or total < u):
+            k += 1
+            total += math.comb(n, k) * p**k * (1 - p) ** (n - k) if n < 1000 else math.exp(
+                math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) if 0 < p < 1 else float(k == n * p)
+        assert got[b] == k, (n, p, u)
+    tail = frame(spark, [(1000, 0.001, 1 - 2.0**-51)], "n long, p double, u double")
+    assert tail.select(stats.binomial_quantile(F.col("n"), F.col("p"), F.col("u"))).first()[0] > 14
+
+
+def test_area_replicates_draw_multinomials(spark):
+    """Means and spreads of the draws, one class only, and one score only."""
+    rows = [(i / 10, y) for i, (pos, neg) in enumerate([(1, 9), (3, 5), (4, 4), (8, 2)]) for y, k in ((1, pos), (0, neg)) for _ in range(k)]
+    df = frame(spark, rows, "risk double, label int")
+    got = [r.roc_auc for r in stats.area_replicates(df, 800).collect()]
+    rng = np.random.default_rng(1)
+    plain = []
+    for _ in range(4000):
+        pos, neg = (rng.multinomial(sum(c), np.array(c) / sum(c)) for c in ((1, 3, 4, 8), (9, 5, 4, 2)))
+        plain.append(sum(n * (pos[i + 1:].sum() + pos[i] / 2) for i, n in enumerate(neg)) / 16 / 20)
+    assert len(got) == 800
+    assert np.mean(got) == pytest.approx(np.mean(plain), abs=0.01) and np.std(got) == pytest.approx(np.std(plain), abs=0.01)
+    one = stats.area_replicates(frame(spark, [(0.1, 1), (0.5, 1)], "risk double, label int"), 10).collect()
+    assert len(one) == 10 and all(r.roc_auc is None and r.pr_auc is None for r in one)
+    same = stats.area_replicates(frame(spark, [(0.5, 1), (0.5, 0)], "risk double, label int"), 10).collect()
+    assert all(r.roc_auc == 0.5 for r in same)
+    assert stats.area_replicates(df.filter("false"), 10).count() == 0
+
+
 def test_kappa(spark):
     def both(a, b):
         return (frame(spark, [(i, x) for i, x in enumerate(a)], "id int, label int"),
