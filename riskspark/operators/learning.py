@@ -234,10 +234,14 @@ def holdout_eval(holdout: DataFrame, model: RiskModel) -> DataFrame:
 
 def external_fpr(benign: DataFrame, models: dict[str, RiskModel]) -> DataFrame:
     """Flagged benign rows per detector with a Wilson interval."""
+    return flagged_share(predictions_of(_with_features(benign).filter("label = 0"), models, ["id"]), "config")
+
+
+def flagged_share(pred: DataFrame, detector: str) -> DataFrame:
+    """detector, n_flagged, n_benign, fpr and its Wilson interval of predictions on benign rows."""
     from .stats import wilson_interval
 
-    pred = predictions_of(_with_features(benign).filter("label = 0"), models, ["id"])
-    counts = pred.groupBy(F.col("config").alias("detector")).agg(
+    counts = pred.groupBy(F.col(detector).alias("detector")).agg(
         F.count_if("predicted").alias("n_flagged"), F.count(F.lit(1)).alias("n_benign"))
     return wilson_interval(counts, "n_flagged", "n_benign").withColumn(
         "fpr", F.round(F.col("wilson_point"), 3)).drop("wilson_point")

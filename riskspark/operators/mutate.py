@@ -84,7 +84,7 @@ def variant_recall(df: DataFrame, model: RiskModel = RiskModel(), rewrites: dict
     return M.recall_by_variant(variant_predictions(df, rewrites, {"model": model}))
 
 
-def evasion_budget(df: DataFrame, models: dict[str, RiskModel]) -> DataFrame:
-    """Recall per detector and substitution; ``all_transforms`` is the largest budget."""
-    pred = variant_predictions(df, ATTACKS, models)
+def evasion_budget(df: DataFrame, models: dict[str, RiskModel], rewrites: dict = ATTACKS) -> DataFrame:
+    """Recall per detector and rewrite; ``all_transforms`` is the largest budget."""
+    pred = variant_predictions(df, rewrites, models)
     return M.recall_by_variant(pred.withColumnRenamed("config", "detector"), ["detector"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, ranking
 from ..functions.hashing import digest
+from ..session import stored
 
 
 def _shuffle_key(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -61,8 +62,12 @@ def fold_of_groups(df: DataFrame, k: int = 5, seed: int = K.SPLIT_SEED,
 
 def grouped_folds(df: DataFrame, k: int = 5, seed: int = K.SPLIT_SEED,
                   group: str = "template", label: str = "label") -> DataFrame:
-    """Add ``fold`` with every group wholly inside one fold."""
-    return df.join(fold_of_groups(df, k, seed, group, label), group)
+    """Add ``fold`` with every group wholly inside one fold.
+
+    The table of folds has one row per group and is written first: Spark plans by its true
+    size, so a small one is broadcast, and beyond that skew joins split a hot group.
+    """
+    return df.join(stored(fold_of_groups(df, k, seed, group, label), "folds"), group)
 
 
 def cv_summary(per_fold: DataFrame, metrics: list[str], keys: list[str] = []) -> DataFrame:

@@ -246,6 +246,17 @@ def baseline_predictions(names: tuple, train: DataFrame, test: DataFrame, n_tree
     return pred
 
 
+def variant_recall(train: DataFrame, test: DataFrame, rewrites: dict, names: tuple) -> DataFrame:
+    """Recall of text detectors fitted on ``train``, per rewrite of the dangerous rows of
+    ``test``, and its drop from the original text."""
+    from . import mutate
+
+    rows = mutate.variants(test.filter("label = 1").select("id", "label", "script"), rewrites)
+    rows = rows.withColumn("id", F.concat_ws("|", "id", "variant"))
+    pred = baseline_predictions(names, train, rows.drop("variant"))
+    return M.recall_by_variant(pred.withColumn("variant", F.substring_index("id", "|", -1)), ["detector"])
+
+
 def evaluate_baselines(train: DataFrame, test: DataFrame, real: DataFrame | None = None,
                        names: tuple = ("text_logreg", "text_svm", "text_rf"), n_trees: int = 300,
                        fit_rows: int | None = None) -> DataFrame:

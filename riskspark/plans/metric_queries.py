@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions.hashing import digest, hex_number
 from ..operators import agreement, metrics as M, monitor, policy, scoring, splits, stats
-from ..operators.scoring import RiskModel
 from . import sqlbase as Q
 from .registry import (SCORED, HOLDOUT, BENIGN, benign, corpus, d6, holdout, query, r6, scored, table)
 
@@ -499,26 +498,6 @@ def mcnemar(spark, sf):
     return mcnemar_row(stats.mcnemar(ours, lint))
 
 
-CONFIGS = " UNION ALL ".join(
-    f"SELECT id, label, '{name}' AS config, {Q.sigmoid(Q.logit(off))} >= 0.5 AS predicted FROM features" for name, off in K.ABLATIONS)
-
-
-@query("ablation_significance", Q.with_(SCORED) + f""", cfg AS ({CONFIGS}),
-pr AS (SELECT x.config, (f.predicted::INTEGER = x.label) AS ca, (x.predicted::INTEGER = x.label) AS cb
-  FROM cfg x JOIN cfg f ON f.id = x.id AND f.config = 'full' WHERE x.config <> 'full'),
-k AS (SELECT config, {PAIRED} FROM pr GROUP BY config),
-cl AS (SELECT config, {cells(p='predicted')} FROM cfg GROUP BY config),
-m AS (SELECT config, {metric_exprs()['f1']} AS f1 FROM cl),
-p AS (SELECT k.*, {binomial_p('least(b, c)', '(b + c)')} AS pv FROM k)
-SELECT p.config, {mcnemar_columns('pv')}, {d6('m.f1')} AS f1,
-  round(m.f1 - (SELECT f1 FROM m WHERE config = 'full'), 4) AS delta_f1 FROM p JOIN m ON m.config = p.config""")
-def ablation_significance(spark, sf):
-    models = {name: RiskModel(disabled=tuple(off)) for name, off in K.ABLATIONS}
-    decisions = {name: scoring.sigmoid(scoring.logit(m)) >= m.threshold for name, m in models.items()}
-    out = stats.ablation_significance(scored(spark, sf), decisions)
-    return mcnemar_row(out, ("config", r6("f1").alias("f1"), "delta_f1"))
-
-
 BINS = f""", edges AS (SELECT i::INTEGER AS bin, (i * 0.1::DOUBLE) AS lo, CASE WHEN i = 9 THEN 1.0::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi
   FROM (SELECT unnest(range(10)) AS i)),
 bins AS (SELECT e.bin, e.lo, e.hi, count(s.id) AS n, avg(s.risk) AS confidence, avg(s.label) AS accuracy FROM edges e

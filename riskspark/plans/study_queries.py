@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..operators import hygiene, learning, metrics as M, mutate, scoring, splits, stats, textml
+from ..operators import hygiene, learning, metrics as M, monitor, mutate, scoring, splits, stats, textml
 from ..operators.scoring import RiskModel
 from ..session import shared_path
 from ..sources import corpus as sources
 from ..sources.synthesize import CORPUS_COLUMNS, manifest_stats as stats_columns, synthesize_corpus
 from ..streaming import jobs
 from . import sqlbase as Q
-from .metric_queries import (DECIDED_COLUMNS, EVENTS_SQL, FOLDED, METRIC_COLUMNS, RULES_SQL, areas_sql, cells,
-                             metric_exprs, metric_row, split_sql, syscalls, wilson_sql)
-from .registry import (BENIGN, HOLDOUT, SCORED, benign, corpus, d6, holdout, query, r6, scored, spread, spread_texts, table)
+from .metric_queries import (DECIDED_COLUMNS, EVENTS_SQL, FOLDED, METRIC_COLUMNS, PAIRED, RULES_SQL, areas_sql, binomial_p,
+                             cells, mcnemar_columns, mcnemar_row, metric_exprs, metric_row, split_sql, syscalls, wilson_sql)
+from .registry import (BENIGN, CHECKS, HOLDOUT, SCORED, benign, corpus, d6, holdout, query, r6, scored, spread, spread_texts,
+                       table)
 
 SCRIPTS = Q.scripts()
-CUSTOMER_SCRIPTS = Q.scripts("customer", "c_custkey", 2024, "h_")
 
 
 # -- §2.1 ----------------------------------------------------------------------
@@ -47,11 +47,12 @@ def dedup_documents(spark, sf):
 
 
 @query("manifest_stats", """
-SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'dangerous' ELSE 'safe' END AS label_name, length(text)::INTEGER AS n_chars,
-  (length(text) - length(replace(text, chr(10), '')))::INTEGER AS n_lines FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
+SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'dangerous' WHEN l.toxic IS NOT NULL THEN 'safe' END AS label_name, length(text)::INTEGER AS n_chars,
+  (length(text) - length(replace(text, chr(10), '')))::INTEGER AS n_lines FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def manifest_stats(spark, sf):
+    """Sizes of every document; those without a label have none."""
     docs = table(spark, sf, "documents").select("doc_id", "text").join(
-        table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+        table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
     return stats_columns(docs, "text").select("doc_id", "label_name", "n_chars", "n_lines")
 
 
@@ -330,23 +331,27 @@ def fitted_sql(config: str, off: tuple = (), learn: bool = True) -> str:
 {config}_log AS (SELECT '{config}' AS config, {threshold}::DOUBLE AS decision_threshold,
   (SELECT loss FROM {config}_run WHERE epoch = 1) AS initial_loss,
   (SELECT loss FROM {config}_run WHERE epoch = {epochs} AND epoch > 0) AS final_loss, sqrt({norm}) AS weight_delta_norm FROM {config}_fin),
-{config}_out AS (SELECT '{config}' AS config, label, risk, risk >= {threshold} AS p
-  FROM (SELECT label, {Q.sigmoid(z)} AS risk FROM test, {config}_fin))"""
+{config}_out AS (SELECT '{config}' AS config, id, label, risk, risk >= {threshold} AS p
+  FROM (SELECT id, label, {Q.sigmoid(z)} AS risk FROM test, {config}_fin))"""
 
 
-def configs_sql(configs: list[tuple[str, tuple, bool]], delta: bool = False) -> str:
-    """One metric row per configuration."""
+def configs_ctes(configs: list[tuple[str, tuple, bool]]) -> str:
+    """``outs`` with the test rows of every fitted configuration, ``logs`` about the fits."""
     names = [name for name, _, _ in configs]
-    body = recursive(
+    return recursive(
         SCORED, split_sql("scripts"), START_SQL,
         "train_rows AS MATERIALIZED (SELECT s.label, " + ", ".join(f"s.{f}" for f in K.FEATURES) + """, count(*)::DOUBLE AS k
   FROM scored s JOIN sp ON sp.id = s.id WHERE sp.split = 'train' GROUP BY s.label, """ + ", ".join(f"s.{f}" for f in K.FEATURES) + ")",
-        f"test AS MATERIALIZED (SELECT s.label, {', '.join('s.' + f for f in K.FEATURES)} FROM scored s JOIN sp ON sp.id = s.id WHERE sp.split = 'test')",
+        f"test AS MATERIALIZED (SELECT s.id, s.label, {', '.join('s.' + f for f in K.FEATURES)} FROM scored s JOIN sp ON sp.id = s.id WHERE sp.split = 'test')",
         *(fitted_sql(*c) for c in configs),
         "outs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {n}_out" for n in names) + ")",
-        "logs AS (" + " UNION ALL ".join(f"SELECT * FROM {n}_log" for n in names) + ")",
-        f"c AS (SELECT config, {cells(p='p')} FROM outs GROUP BY config)",
-        f"m AS (SELECT *, {metric_exprs()['f1']} AS f FROM c)")
+        "logs AS (" + " UNION ALL ".join(f"SELECT * FROM {n}_log" for n in names) + ")")
+
+
+def configs_sql(configs: list[tuple[str, tuple, bool]], delta: bool = False) -> str:
+    """One metric row per configuration."""
+    body = configs_ctes(configs) + f""",
+c AS (SELECT config, {cells(p='p')} FROM outs GROUP BY config), m AS (SELECT *, {metric_exprs()['f1']} AS f FROM c)"""
     extra = f", {d6(chr(102) + ' - (SELECT f FROM m WHERE config = ' + chr(39) + 'full' + chr(39) + ')')} AS delta_f1" if delta else ""
     return body + areas_sql("config", "outs") + f"""
 SELECT m.config, tp, fp, tn, fn, {METRIC_COLUMNS}, {d6('roc')} AS roc_auc, {d6('pr')} AS pr_auc,
@@ -392,12 +397,31 @@ def train_and_eval(spark, sf):
     return _metric_columns(learning.train_and_eval(*split_scripts(spark, sf), epochs=STUDY_EPOCHS))
 
 
-@query("run_ablation", configs_sql(
-    [(name, tuple(off), True) for name, off in K.ABLATIONS] + [("no_feedback", (), False)], delta=True))
+STUDY_CONFIGS = [(name, tuple(off), True) for name, off in K.ABLATIONS] + [("no_feedback", (), False)]
+
+
+@query("run_ablation", configs_sql(STUDY_CONFIGS, delta=True))
 def run_ablation(spark, sf):
     return _metric_columns(learning.run_ablation(*split_scripts(spark, sf), epochs=STUDY_EPOCHS), ["delta_f1"])
 
 
+@query("ablation_significance", configs_ctes(STUDY_CONFIGS) + f""",
+pr AS (SELECT x.config, (f.p::INTEGER = x.label) AS ca, (x.p::INTEGER = x.label) AS cb
+  FROM outs x JOIN outs f ON f.id = x.id AND f.config = 'full' WHERE x.config <> 'full'),
+k AS (SELECT config, {PAIRED} FROM pr GROUP BY config),
+cl AS (SELECT config, {cells(p='p')} FROM outs GROUP BY config), m AS (SELECT config, {metric_exprs()['f1']} AS f1 FROM cl),
+q AS (SELECT k.*, {binomial_p('least(b, c)', '(b + c)')} AS pv FROM k)
+SELECT q.config, {mcnemar_columns('pv')}, {d6('m.f1')} AS f1,
+  round(m.f1 - (SELECT f1 FROM m WHERE config = 'full'), 4) AS delta_f1 FROM q JOIN m ON m.config = q.config""")
+def ablation_significance(spark, sf):
+    """Every ablation fitted anew and the model without learning, against the full one, on the test split."""
+    train_rows, test_rows = split_scripts(spark, sf)
+    runs = learning.fit_configs(train_rows, STUDY_CONFIGS, epochs=STUDY_EPOCHS)
+    decisions = {name: scoring.sigmoid(scoring.logit(r.model)) >= r.model.threshold for name, r in runs.items()}
+    out = stats.ablation_significance(scoring.features_for(test_rows), decisions)
+    return mcnemar_row(out, ("config", r6("f1").alias("f1"), "delta_f1"))
+
+
 CONFIG_ROWS = " UNION ALL ".join(
     f"SELECT id, label, '{name}' AS config, {Q.sigmoid(Q.logit(off))} >= 0.5 AS p FROM features" for name, off in K.ABLATIONS)
 
@@ -437,14 +461,26 @@ def holdout_eval_trained(spark, sf):
     return out.withColumn("risk", r6("risk"))
 
 
-@query("external_fpr", Q.with_(BENIGN) + ", cfg AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS detector, {Q.sigmoid(Q.logit(off))} >= 0.5 AS p FROM features_x WHERE label = 0" for name, off in K.ABLATIONS) +
-    f"""), k AS (SELECT detector, count(*) FILTER (p) AS n_flagged, count(*) AS n_benign FROM cfg GROUP BY detector)
+def study_detectors(model) -> dict[str, RiskModel]:
+    """The masks at default weights, and the model fitted and tuned on the study corpus."""
+    return {name: RiskModel(disabled=tuple(off)) for name, off in K.ABLATIONS} | {"fitted": model}
+
+
+@query("external_fpr", recursive(
+    SCORED, BENIGN, START_SQL, descent_sql("fin", "scored", "start", STUDY_EPOCHS), tuned_sql("scored", "fin"),
+    "cfg AS (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS detector, {Q.sigmoid(Q.logit(off))} >= 0.5 AS p FROM features_x WHERE label = 0" for name, off in K.ABLATIONS)
+    + f" UNION ALL SELECT 'fitted', {Q.sigmoid(WEIGHTED)} >= thr FROM features_x, fin, tuned WHERE label = 0)",
+    "k AS (SELECT detector, count(*) FILTER (p) AS n_flagged, count(*) AS n_benign FROM cfg GROUP BY detector)") + f"""
 SELECT detector, n_flagged, n_benign, round(n_flagged / n_benign, 3) AS fpr,
   {', '.join(f'{d6(e)} AS {c}' for c, e in wilson_sql('n_flagged', 'n_benign').items() if c != 'wilson_point')} FROM k""")
 def external_fpr(spark, sf):
-    models = {name: RiskModel(disabled=tuple(off)) for name, off in K.ABLATIONS}
-    out = learning.external_fpr(benign(spark, sf).select("id", "label", "script"), models)
+    """False positives on a benign corpus that no detector has seen."""
+    model = learning.fit_on(corpus(spark, sf).select("label", "script"), epochs=STUDY_EPOCHS)
+    return _fpr_columns(learning.external_fpr(benign(spark, sf).select("id", "label", "script"), study_detectors(model)))
+
+
+def _fpr_columns(out):
     return out.select("detector", "n_flagged", "n_benign", "fpr", r6("wilson_low").alias("wilson_low"),
                       r6("wilson_high").alias("wilson_high"))
 
@@ -528,40 +564,50 @@ for _name, _fn in {**mutate.DISGUISES, **mutate.ATTACKS}.items():
     query(_key, Q.with_(SCRIPTS) + f"SELECT id, {({**SQL_DISGUISES, **SQL_ATTACKS})[_name]} AS script FROM scripts")(_rewrite)
 
 
-def variant_sql(rewrites: dict, configs) -> str:
-    parts = " UNION ALL ".join(["SELECT id, label, 'original' AS variant, script FROM scripts WHERE label = 1"] + [
-        f"SELECT id, label, '{n}', {e} FROM scripts WHERE label = 1" for n, e in rewrites.items()])
+def variant_sql(rewrites: dict, configs, fitted: bool = True) -> str:
+    """``rec``: recall of every detector on the rewritten dangerous rows of the test split."""
+    source = "FROM sp WHERE label = 1 AND split = 'test'"
+    parts = " UNION ALL ".join([f"SELECT id, label, 'original' AS variant, script {source}"] + [
+        f"SELECT id, label, '{n}', {e} {source}" for n, e in rewrites.items()])
     preds = " UNION ALL ".join(
-        f"SELECT '{name}' AS detector, variant, {Q.sigmoid(Q.logit(off))} >= 0.5 AS p FROM vf" for name, off in configs)
-    return Q.with_(CUSTOMER_SCRIPTS, f"v AS MATERIALIZED ({parts})", Q.parsed("v", "vp"), Q.context("vp", "vc"), Q.flags_cte("vc", "vg"),
-                   Q.features("vg", "vf"), f"pr AS ({preds})",
-                   "rec AS (SELECT detector, variant, count(*) AS n_dangerous, avg(p::INTEGER) AS recall FROM pr GROUP BY ALL)")
+        [f"SELECT '{name}' AS detector, variant, {Q.sigmoid(Q.logit(off))} >= 0.5 AS p FROM vf" for name, off in configs]
+        + [f"SELECT 'fitted', variant, {Q.sigmoid(WEIGHTED)} >= (SELECT thr FROM fitted_thr) FROM vf, fitted_fin"] * fitted)
+    return (configs_ctes([("fitted", (), True)]) + ",\n" + ",\n".join([
+        f"v AS MATERIALIZED ({parts})", Q.parsed("v", "vp"), Q.context("vp", "vc"), Q.flags_cte("vc", "vg"),
+        Q.features("vg", "vf"), f"pr AS ({preds})",
+        "rec AS (SELECT detector, variant, count(*) AS n_dangerous, avg(p::INTEGER) AS recall FROM pr GROUP BY ALL)\n"]))
 
 
-_RECALL = f"""SELECT {{det}} r.variant, r.n_dangerous, {d6('r.recall')} AS recall, {d6('o.recall - r.recall')} AS "drop"
+_RECALL = f"""SELECT r.detector, r.variant, r.n_dangerous, {d6('r.recall')} AS recall, {d6('o.recall - r.recall')} AS "drop"
 FROM rec r JOIN rec o ON o.detector = r.detector AND o.variant = 'original'"""
 
 
-@query("variant_recall", variant_sql(SQL_DISGUISES, K.ABLATIONS[:1]) + _RECALL.format(det=""))
+def _recall_columns(out):
+    return out.select("detector", "variant", "n_dangerous", r6("recall").alias("recall"), r6("drop").alias("drop"))
+
+
+@query("variant_recall", variant_sql(SQL_DISGUISES, K.ABLATIONS[:1]) + _RECALL)
 def variant_recall(spark, sf):
-    out = mutate.variant_recall(holdout(spark, sf))
-    return out.select("variant", "n_dangerous", r6("recall").alias("recall"), r6("drop").alias("drop"))
+    """Disguised test rows against the default and the fitted model."""
+    train_rows, test_rows = split_scripts(spark, sf)
+    fitted = learning.fit_on(train_rows, epochs=STUDY_EPOCHS)
+    return _recall_columns(mutate.evasion_budget(test_rows, {"full": RiskModel(), "fitted": fitted}, mutate.DISGUISES))
 
 
-@query("evasion_budget", variant_sql(SQL_ATTACKS, K.ABLATIONS) + _RECALL.format(det="r.detector,"))
+@query("evasion_budget", variant_sql(SQL_ATTACKS, K.ABLATIONS) + _RECALL)
 def evasion_budget(spark, sf):
-    models = {name: RiskModel(disabled=tuple(off)) for name, off in K.ABLATIONS}
-    out = mutate.evasion_budget(holdout(spark, sf), models)
-    return out.select("detector", "variant", "n_dangerous", r6("recall").alias("recall"), r6("drop").alias("drop"))
+    """Every substitution of the test rows against all masks and the fitted model."""
+    train_rows, test_rows = split_scripts(spark, sf)
+    fitted = learning.fit_on(train_rows, epochs=STUDY_EPOCHS)
+    return _recall_columns(mutate.evasion_budget(test_rows, study_detectors(fitted)))
 
 
-@query("recall_by_variant", variant_sql({**SQL_DISGUISES, "all_transforms": SQL_ATTACKS["all_transforms"]}, K.ABLATIONS[3:]) + _RECALL.format(det=""))
+@query("recall_by_variant", variant_sql({**SQL_DISGUISES, "all_transforms": SQL_ATTACKS["all_transforms"]}, K.ABLATIONS[3:], fitted=False) + _RECALL)
 def recall_by_variant(spark, sf):
     """Variant recall of the model without signatures."""
     rewrites = {**mutate.DISGUISES, "all_transforms": mutate.apply_all}
-    pred = mutate.variant_predictions(holdout(spark, sf), rewrites, {"no_threat": RiskModel(disabled=("threat",))})
-    out = M.recall_by_variant(pred)
-    return out.select("variant", "n_dangerous", r6("recall").alias("recall"), r6("drop").alias("drop"))
+    _, test_rows = split_scripts(spark, sf)
+    return _recall_columns(mutate.evasion_budget(test_rows, {"no_threat": RiskModel(disabled=("threat",))}, rewrites))
 
 
 # -- §2.12 ----------------------------------------------------------------------
@@ -648,6 +694,25 @@ def evaluate_baselines(spark, sf):
     return out.select("target", "detector", *[r6(c).alias(c) for c in [*M.METRICS, "roc_auc", "pr_auc"]])
 
 
+TEXT_DETECTORS = ("text_logreg", "text_svm")
+
+
+@query("evasion_budget_text")
+def evasion_budget_text(spark, sf):
+    """The trained text detectors on every disguise and substitution of the dangerous test rows."""
+    train, test = _text_split(spark, sf)
+    rewrites = {**mutate.DISGUISES, **mutate.ATTACKS}
+    return _recall_columns(textml.variant_recall(train, test, rewrites, TEXT_DETECTORS))
+
+
+@query("external_fpr_text")
+def external_fpr_text(spark, sf):
+    """False positives of the trained text detectors on a benign corpus they have not seen."""
+    train, _ = _text_split(spark, sf)
+    pred = textml.baseline_predictions(TEXT_DETECTORS, train, benign(spark, sf).select("id", "label", "script"))
+    return _fpr_columns(learning.flagged_share(pred, "detector"))
+
+
 @query("squash_margin", Q.with_(SCORED) + f"SELECT id, {d6(Q.sigmoid('logit / 2'))} AS squashed FROM scored")
 def squash_margin(spark, sf):
     return scored(spark, sf).select("id", r6(textml.squash_margin(F.col("logit") / 2)).alias("squashed"))
@@ -690,6 +755,16 @@ def stream_decide(spark, sf):
     return jobs.collect_stream(decided, "decisions")
 
 
+@query("stream_monitor", CHECKS["monitor_report"])
+def stream_monitor(spark, sf):
+    """The running counts after the stream has read all events, stopped and started again."""
+    decided = jobs.stream_decide(syscalls(jobs.stream_table(spark, sf, "events")))
+    path, progress = shared_path(spark, "monitor"), shared_path(spark, "monitor-progress")
+    for _ in range(2):
+        jobs.run_available(jobs.stream_monitor(decided, path), progress)
+    return jobs.monitor_snapshot(spark, path, monitor.monitor_report(decided).schema)
+
+
 @query("stream_decide_windows", "WITH " + EVENTS_SQL + ", " + RULES_SQL + f""", x AS (SELECT ts, level, {DECIDED_COLUMNS} FROM decided),
 w AS (SELECT date_trunc('hour', ts) AS window_start, level, action, count(*) AS n FROM x GROUP BY ALL)
 SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, level, action, n FROM w

@@ -49,10 +49,10 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def manifest_stats(df: DataFrame, text: str = "script") -> DataFrame:
-    """Add label_name, n_chars and n_lines (number of ``\\n``)."""
+    """Add label_name (null without a label), n_chars and n_lines (number of ``\\n``)."""
     t = F.col(text)
     return df.withColumns({
-        "label_name": F.when(F.col("label") == 1, "dangerous").otherwise("safe"),
+        "label_name": F.when(F.col("label") == 1, "dangerous").when(F.col("label").isNotNull(), "safe"),
         "n_chars": F.length(t),
         "n_lines": F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))),
     })

