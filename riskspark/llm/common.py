@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -52,6 +55,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             yield batch.slice(start)
 
 
+def pair_slices(batches: Iterator[pa.RecordBatch], left: str, right: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``slices`` by the bytes of two columns together."""
+    for batch in batches:
+        for part in slices(iter([batch]), left, max_bytes):
+            yield from slices(iter([part]), right, max_bytes)
+
+
+def release_memory() -> None:
+    """Give what this worker no longer uses back to the system: workers live on between
+    stages, beside the next ones of their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: their Python workers
     need not have it on their path."""

@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, id_and_text
+from .common import Scratch, id_and_text, unused
 from .exact_dedup import content_hash
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
@@ -99,6 +99,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshol
     row = F.when(F.col(id_col).isNotNull(), F.xxhash64(
         F.col(id_col).cast("long"), content_hash(F.coalesce(F.col(text_col), F.lit("")))))
     hits = contained_items(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), items, size, threshold)
+    name = unused(docs, "_gone")
     gone = Scratch(docs.sparkSession, "decontaminate").store(
-        hits.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, row == F.col("_gone"), "left_anti")
+        hits.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, row == F.col(name), "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, id_and_text
+from .common import Scratch, id_and_text, unused
 
 
 def never_null(digest: Column) -> Column:
@@ -76,13 +76,15 @@ def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     scratch = Scratch(docs.sparkSession, "exact")
     rows = text_groups(docs, keep, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(
         "doc_id", F.unhex("text_sha256").alias("_s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("_n"))
-    marked = scratch.store(rows.filter("not kept OR _n > 1").select(F.col("doc_id").alias("_id"), "_s", "kept"), "marked")
+    one_id, one_s = unused(docs, "_id"), unused(docs, "_s")
+    marked = scratch.store(rows.filter("not kept OR _n > 1").select(
+        F.col("doc_id").alias(one_id), F.col("_s").alias(one_s), F.col("kept").alias("kept")), "marked")
     id_, mine = F.col(id_col).cast("long"), sha256(F.coalesce(F.col(text_col), F.lit("")))
-    same_row = (id_ == F.col("_id")) & (mine == F.col("_s"))
+    same_row = (id_ == F.col(one_id)) & (mine == F.col(one_s))
     gone, again = marked.filter("not kept").drop("kept"), marked.filter("kept").drop("kept")
     left = docs.join(gone, same_row, "left_anti")
     if again.isEmpty():
         return left
-    one = left.join(again, same_row, "left_semi").withColumns({"_one_id": id_, "_one_s": mine}).dropDuplicates(
-        ["_one_id", "_one_s"]).drop("_one_id", "_one_s")
+    one = left.join(again, same_row, "left_semi").withColumns({one_id: id_, one_s: mine}).dropDuplicates(
+        [one_id, one_s]).drop(one_id, one_s)
     return left.join(again, same_row, "left_anti").unionByName(one)

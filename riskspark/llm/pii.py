@@ -62,9 +62,9 @@ ONE_SPELLED = re.compile(rf"plus|{_digit_word}")
 WRAPPED_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
 WRAPPED_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
 WRAPPED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
-# name AT label DOT label ..., with at least one sign in disguise; plain " at " only where a dot is spelled too
+# AT label DOT label ... behind a name, with at least one sign in disguise; plain " at " only where a dot is spelled too
 DISGUISED = re.compile(
-    rf"[a-z0-9._%+-]+(?P<at>{WRAPPED_AT}|@|\s+at\s+)(?P<domain>[a-z0-9-]+(?:(?:{WRAPPED_DOT}|\s+dot\s+|\.)[a-z0-9-]+)+)")
+    rf"(?<=[a-z0-9._%+-])(?P<at>{WRAPPED_AT}|@|\s+at\s+)(?P<domain>[a-z0-9-]+(?:(?:{WRAPPED_DOT}|\s+dot\s+|\.)[a-z0-9-]+)+)")
 DOT = re.compile(rf"{WRAPPED_DOT}|\s+dot\s+")
 DISGUISED_ADDRESS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{WRAPPED_DOT}|\s+dot\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
 
@@ -93,7 +93,7 @@ def emails(text: str) -> list[Span]:
 
 
 def addresses(text: str) -> list[Span]:
-    return [m.span() for m in ADDRESS.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in ADDRESS.finditer(text) if all(len(q) <= 3 and int(q or "0") <= 255 for q in (p.lstrip("0") for p in m[0].split(".")))]
 
 
 def cards(text: str) -> list[Span]:
@@ -141,7 +141,12 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
     edits: list[tuple[int, int, str]] = []
     if " dot " in low or WRAPPED.search(low):
+        free = 0
         for m in DISGUISED.finditer(low):
+            # a name of its own, no end of the domain before
+            if m.start() <= free:
+                continue
+            free = m.end()
             dots = list(DOT.finditer(low, m.start("domain"), m.end("domain")))
             wrapped = m["at"] != "@" and not m["at"].isspace() and m["at"].strip() != "at"
             if m["at"] == "@" and not dots or m["at"].strip() == "at" and not dots:

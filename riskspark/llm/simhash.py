@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, hash_parts, id_and_text, map_arrow, slices
+from .common import Scratch, hash_parts, id_and_text, map_arrow, slices, unused
 
 HASH_SEED = 42
 
@@ -273,6 +273,7 @@ def drop_near_copies(docs: DataFrame, size: int = 4, radius: int = 4, id_col: st
     """``docs`` with one document of each component (the one of the smallest id), all
     columns as they are.  Rows with a null id stay."""
     groups = near_groups(docs, size, radius, id_col=id_col, text_col=text_col)
+    name = unused(docs, "_gone")
     gone = Scratch(docs.sparkSession, "simhash").store(groups.filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

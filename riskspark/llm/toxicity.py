@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, id_and_text, map_arrow, slices
+from .common import Scratch, id_and_text, map_arrow, slices, unused
 from .exact_dedup import content_hash
 
 WIDTHS = (1, 2, 3)
@@ -283,9 +283,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lan
     for name, value in net.thresholds.items():
         cut = F.when(lang == name, value).otherwise(cut)
     low = min([net.default_threshold, *net.thresholds.values()])
+    gone, gone_c, its_score = (unused(docs, c) for c in ("_gone", "_c", "_score"))
     high = Scratch(docs.sparkSession, "toxicity").store(score(docs, net, digest=True).filter(
-        (F.col("score") >= low) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_gone"), "_c").agg(
-        F.max("score").alias("_score")), "high")
+        (F.col("score") >= low) & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").alias(gone), F.col("_c").alias(gone_c)).agg(F.max("score").alias(its_score)), "high")
     mine = content_hash(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(high, (F.col("doc_id").cast("long") == F.col("_gone")) & (mine == F.col("_c")) & (
-        F.col("_score") >= cut), "left_anti")
+    return docs.join(high, (F.col("doc_id").cast("long") == F.col(gone)) & (mine == F.col(gone_c)) & (
+        F.col(its_score) >= cut), "left_anti")

@@ -222,3 +222,22 @@ def test_pii_rows(spark, docs):
     assert r.spans == want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert rows[2][0].spans == "" and rows[2][0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert len(rows[8]) == 2
+
+
+def test_identifiers_in_very_long_texts(spark):
+    """A megabyte of one letter, blanks or digits beside disguises, and huge numbers."""
+    texts = ["x dot y " + "a" * 1_000_000, "a dot b [" + " " * 1_000_000 + "]", "0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1",
+             "a@" * 200_000, "joe at mail dot com " + "one " * 200_000 + "ann (at) x [dot] org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_identifiers(docs).collect()}
+    assert got[2].n_ip == 1 and got[3].n_ip == 0
+    assert [got[i].spans for i in (0, 1, 4)] == ["", "", ""]
+    last = len(texts[5])
+    assert got[5].spans.startswith("email:0:19,") and f"email:{last - 20}:{last}" in got[5].spans
+
+
+def test_addresses_side_by_side():
+    """A name is no end of the domain before it."""
+    for text, spans in (("a@b dot c@d dot e@f dot g", [(0, 9), (16, 25)]), ("a at b dot c at d dot e", [(0, 12)]),
+                        ("@b dot c", []), ("x [at] y [dot] z", [(0, 16)])):
+        assert pii.added_spans(text, pii.base_spans(text))["email"] == spans, text
