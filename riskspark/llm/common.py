@@ -107,15 +107,10 @@ def hash_parts(spark: SparkSession) -> int:
 
 
 class Scratch:
-    """A fresh folder below ``spark.checkpoint.dir`` for written intermediate tables.
+    """A fresh folder below ``spark.checkpoint.dir`` for written intermediate tables."""
 
-    Spark deletes the shuffle files of a finished query once the driver has collected it
-    as garbage.  With ``tidy`` the driver does so after every written table, for operators
-    of many steps whose shuffles would else lie on the disks all at once.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
-        self.spark, self.tidy = spark, tidy
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
@@ -123,9 +118,6 @@ class Scratch:
         them, and a lost executor costs a re-read only."""
         path = f"{self.path}/{name}"
         df.write.parquet(path)
-        if self.tidy:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
