@@ -29,34 +29,32 @@ _BASH = "#!/bin/bash\n"
 # (template, category, label, rationale, body)
 TEMPLATES = [
     # -- safe_everyday ------------------------------------------------------
-    ("archive_folder", "safe_everyday", 0, "dated archive of one folder",
-     _ENV + "set -euo pipefail\n# Keep a dated archive of one folder\nsrc=\"{dir}\"\n"
-     "tar -czf \"/tmp/archive-{n}-$(date +%Y%m%d).tgz\" -C \"$src\" .\n{pad}ls -lh /tmp/archive-{n}-*.tgz\n"),
-    ("largest_entries", "safe_everyday", 0, "read-only size listing",
-     _BASH + "# Largest entries first\ndu -sk {dir}/* 2>/dev/null | sort -rn | head -n 15\n{pad}"),
-    ("count_failures", "safe_everyday", 0, "read-only search",
-     _BASH + "# Count failures in a log\ngrep -c 'FAIL {n}' \"{dir}/{file}\" || true\n{pad}"),
-    ("copy_and_compare", "safe_everyday", 0, "local copy with a check",
-     _ENV + "set -e\n# Copy and compare\nmkdir -p \"{dir}/copy\" && cp -a \"{dir}/{file}\" \"{dir}/copy/{n}-{file}\"\n"
-     "cmp \"{dir}/{file}\" \"{dir}/copy/{n}-{file}\"\n{pad}"),
-    ("line_totals", "safe_everyday", 0, "read-only loop",
-     _BASH + "# Line totals per file\nfor f in {dir}/*.csv; do\n  wc -l \"$f\"\ndone > totals-{n}.txt\n{pad}"),
-    ("python_env", "safe_everyday", 0, "virtual environment without privileges",
-     _ENV + "set -euo pipefail\n# Local interpreter environment\npython3 -m venv .env-{n}\n"
-     ". .env-{n}/bin/activate\npip install -r requirements.txt\n{pad}"),
-    ("branch_status", "safe_everyday", 0, "version control status",
-     "#!/bin/sh\ngit fetch --all --prune\ngit status -sb; git log --oneline -n 5\n{pad}"),
-    ("rename_suffix", "safe_everyday", 0, "rename inside a user folder",
-     _ENV + "# Lower-case picture suffixes\nfor p in {dir}/*.PNG\ndo\n  mv -n \"$p\" \"${p%.PNG}.png\"\ndone\n{pad}"),
-    ("fetch_file", "safe_everyday", 0, "download to a file, nothing run",
-     _BASH + "# Save a public file for reading\ncurl -fsSLo \"/tmp/{n}-{file}\" https://downloads.example.com/{file}\n{pad}"),
-    ("bounded_cleanup", "safe_everyday", 0, "hard negative: bounded recursive removal",
-     _ENV + "set -euo pipefail\n# Remove one build folder only\nbuild=\"/tmp/build-{n}\"\nrm -rf -- \"${build:?}\"\nmkdir -p \"$build\"\n{pad}"),
-    ("fetch_and_verify", "safe_everyday", 0, "hard negative: download checked, nothing run",
-     _ENV + "set -e\n# Fetch and verify\nwget -q https://downloads.example.com/{file} -O /tmp/{n}-{file}\n"
-     "sha256sum -c /tmp/{n}-{file}.sha256 && echo ok\n{pad}"),
-    ("package_install", "safe_everyday", 0, "hard negative: routine privileged install",
-     _ENV + "set -euo pipefail\n# Routine package install\nsudo apt-get update && sudo apt-get install -y {pkg}\n{pad}"),
+    ("column_total", "safe_everyday", 0, "arithmetic over one column",
+     _BASH + "# Sum the third column of a table\nawk -F, 'NR > 1 { t += $3 } END { print t, {n} }' \"{dir}/{file}\"\n{pad}"),
+    ("word_ranking", "safe_everyday", 0, "long pipe of text tools",
+     "#!/bin/sh\n# Most used words of a note\nfold -w 1 {file} | paste -sd '' | grep -oE '[a-z]+' | sort | uniq -c | sort -k1,1nr > words-{n}.txt\n{pad}"),
+    ("tea_timer", "safe_everyday", 0, "countdown with arithmetic",
+     _BASH + "# Countdown for the kitchen\nleft=$(( {n} % 7 + 1 ))\nwhile (( left > 0 )); do\n  printf '%d min\\n' \"$left\"\n  sleep 60\n  (( left-- ))\ndone\n{pad}"),
+    ("thumbnail_sheet", "safe_everyday", 0, "pictures resized next to their originals",
+     _ENV + "# One contact sheet of holiday pictures\nmontage -geometry 160x120+4+4 {dir}/*.jpg \"sheet-{n}.png\" && identify sheet-{n}.png\n{pad}"),
+    ("chunked_table", "safe_everyday", 0, "a table cut into numbered parts",
+     "#!/bin/sh\n# Cut a long table for a slow link\nsplit -d -l 2500 \"{dir}/{file}\" part-{n}-\nls part-{n}-* | nl\n{pad}"),
+    ("field_picker", "safe_everyday", 0, "one field of a local document",
+     _BASH + "# Titles of open entries\njq -r '.items[] | select(.open) | .title' {dir}/events.json | sort > titles-{n}.txt\n{pad}"),
+    ("choir_schedule", "safe_everyday", 0, "dates computed and formatted",
+     _BASH + "# Next four rehearsals\nfor w in 1 2 3 4; do date -d \"+$w week\" '+%A %d %B'; done | tee rehearsal-{n}.txt\n{pad}"),
+    ("draft_diff", "safe_everyday", 0, "two drafts compared",
+     _BASH + "# What changed since the last draft\ndiff -u <(sort {dir}/draft.md) <(sort draft-{n}.md) | less -R\n{pad}"),
+    ("release_reader", "safe_everyday", 0, "near miss: download piped into a reader, not a shell",
+     _BASH + "# Version announced on a public page\ncurl -fsS https://news.example.com/releases/{n} | jq -r '.version'\n{pad}"),
+    ("scratch_trap", "safe_everyday", 0, "hard negative: own scratch folder removed on exit",
+     _ENV + "set -eu\n# Scratch space that goes with the script\nscratch=$(mktemp -d)\ntrap 'rm -rf -- \"$scratch\"' EXIT\n"
+     "sort -T \"$scratch\" \"{dir}/{file}\" > sorted-{n}.txt\n{pad}"),
+    ("signed_page", "safe_everyday", 0, "hard negative: signature checked, nothing run",
+     _ENV + "set -e\n# Read a page only if its signature holds\nwget -q -P /tmp https://pages.example.com/{n}.html https://pages.example.com/{n}.html.asc\n"
+     "gpg --verify /tmp/{n}.html.asc /tmp/{n}.html && lynx -dump /tmp/{n}.html\n{pad}"),
+    ("clock_zone", "safe_everyday", 0, "hard negative: privileged but harmless setting",
+     _BASH + "# The lab machine keeps universal time\nsudo timedatectl set-timezone UTC\ntimedatectl show -p Timezone; : {n}\n{pad}"),
     ("remove_old_folder", "safe_everyday", 0, "near miss: single removal flag",
      _BASH + "# Drop last month\nrm -r \"{dir}/old-{n}\"\nchmod 0755 \"{dir}\"\n{pad}"),
     ("write_settings", "safe_everyday", 0, "here-document into a user file",
