@@ -257,6 +257,9 @@ def test_similar_stage_equals_brute_force(spark):
     want = collections.Counter(i for n, (i, t) in enumerate(rows) if best[group[n]] == (i, hashlib.md5((t or "").encode()).digest()))
     assert collections.Counter(r.doc_id for r in kept.collect()) == want + collections.Counter([None])
     assert similar.drop_similar(df.limit(0)).count() == 0
+    # keys of more than two sets are dealt to several tasks
+    dealt = similar.drop_similar(df, key_rows=2)
+    assert collections.Counter(r.doc_id for r in dealt.collect()) == want
 
 
 def test_stages_count_rows_by_id_and_text(spark):
