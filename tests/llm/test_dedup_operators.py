@@ -149,6 +149,58 @@ def test_repeats_equal_brute_force(spark, length, gram, hot):
     assert got == want
 
 
+def plain_keep_first(rows, length):
+    """(spans, kept) by text: the first start of every string, by id, then place, stays."""
+    first, out = {}, {}
+    for i, t in sorted(set(rows)):
+        hit = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if first.setdefault(t[p:p + length], (i, p)) != (i, p):
+                hit[p:p + length] = b"\1" * length
+        edges = [p for p in range(len(t) + 1) if (p and hit[p - 1]) != (p < len(t) and hit[p])]
+        out[i] = (list(zip(edges[::2], edges[1::2])), bytes(b for b, x in zip(t, hit) if not x))
+    return out
+
+
+@pytest.mark.parametrize("length, gram, bucket", [(12, 4, 256), (12, 5, 1), (90, 6, 2)])
+def test_repeats_keep_first_and_text(spark, length, gram, bucket):
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(length + length // 2))
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) + passage[rng.randint(0, 9):rng.choice((length + 3, 999))]
+             + "".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) for _ in range(60)]
+    texts += ["", "xyz" * 80, passage + "-" + passage]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for first in (True, False):
+        got = repeats.remove_repeats(df, length, gram, bucket, keep_first=first, with_text=True).collect()
+        assert len(got) == len(rows)
+        plain = plain_keep_first([(i, t.encode()) for i, t in rows], length)
+        whole = plain_repeats([t.encode() for _, t in rows], length)
+        for r in got:
+            spans = [(s.lo, s.hi) for s in r.spans]
+            assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+            assert (len(spans), sum(b - a for a, b in spans)) == (r.n_spans, r.n_removed)
+            if first:
+                assert (spans, bytes(r.kept)) == plain[r.doc_id]
+            else:
+                assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == whole[r.doc_id]
+
+
+def test_factor_lengths_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for length in (5, 12, 40):
+        data = np.frombuffer(bytes(rng.choice(list(b"ab"), 160).astype(np.uint8)) * 2, np.uint8)
+        starts = np.sort(rng.choice(len(data) - length + 1, 120, replace=False))
+        raw = data.tobytes()
+
+        def common(a, b):
+            return next((k for k in range(length) if raw[a + k] != raw[b + k]), length)
+
+        for back in (False, True):
+            want = [max((common(a, b) for b in starts if (b > a if back else b < a)), default=0) for a in starts]
+            assert repeats.longest_previous_factors(data, starts, length, back).tolist() == want
+
+
 def test_repeats_in_pieces_and_empty_tables(monkeypatch, docs):
     data = np.frombuffer(("".join(random.Random(1).choice("abc") for _ in range(3000))).encode(), np.uint8)
     whole = repeats.anchors(data, 50, 8)
