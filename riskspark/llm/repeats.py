@@ -196,32 +196,38 @@ def smaller_before(places: np.ndarray) -> np.ndarray:
         open_ = open_[best[open_] >= 0]
 
 
-def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int, backwards: bool = False) -> np.ndarray:
+def factor_lengths(data: np.ndarray, starts: np.ndarray, length: int, backwards: tuple[bool, ...]) -> list[np.ndarray]:
     """For every window the longest prefix of it (``length`` at most) that also starts at
-    an earlier window; with ``backwards`` at a later one.
+    an earlier window, or, ``backwards``, at a later one; one array a direction.
 
     In suffix order the suffix with the longest common prefix among the earlier ones is
     the previous or the next smaller position."""
     word, levels = suffix_ranks(data, length)
     order = window_order(word, levels, starts, length)
-    places = starts[order]
-    turned = -places if backwards else places
-    n = len(places)
-    before = smaller_before(turned)
-    after = n - 1 - smaller_before(turned[::-1])[::-1]
-    factor = np.zeros(n, np.int64)
-    for other in (before, after):
-        has = np.flatnonzero((other >= 0) & (other < n))
-        factor[has] = np.maximum(factor[has], common_prefix(word, levels, places[has], places[other[has]], length))
-    out = np.zeros(n, np.int64)
-    out[order] = factor
-    return out
+    places, n, found = starts[order], len(starts), []
+    for back in backwards:
+        turned = -places if back else places
+        before = smaller_before(turned)
+        after = n - 1 - smaller_before(turned[::-1])[::-1]
+        factor = np.zeros(n, np.int64)
+        for other in (before, after):
+            has = np.flatnonzero((other >= 0) & (other < n))
+            factor[has] = np.maximum(factor[has], common_prefix(word, levels, places[has], places[other[has]], length))
+        out = np.zeros(n, np.int64)
+        out[order] = factor
+        found.append(out)
+    return found
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int, backwards: bool = False) -> np.ndarray:
+    """``factor_lengths`` of one direction."""
+    return factor_lengths(data, starts, length, (backwards,))[0]
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For every window: whether an earlier and whether a later one equals it."""
-    return (longest_previous_factors(data, starts, length) >= length,
-            longest_previous_factors(data, starts, length, backwards=True) >= length)
+    before, after = factor_lengths(data, starts, length, (False, True))
+    return before >= length, after >= length
 
 
 def runs_of(places: np.ndarray) -> list[tuple[int, int]]:
