@@ -131,3 +131,15 @@ def test_signature_lint(spark):
     assert {(r["id"], r["problem"]) for r in signatures.signature_lint(kb).collect()} == {
         ("a", "duplicate id"), ("a", "missing key"), ("a", "unknown category")}
     assert signatures.signature_lint(signatures.signature_table(spark)).count() == 0
+
+
+@pytest.mark.parametrize("long_form", [signatures.signature_hits, signatures.category_breakdown])
+def test_signatures_are_matched_once_above_a_join(spark, long_form):
+    """No filter on the exploded hits goes below the join that makes the texts."""
+    keys = spark.createDataFrame([(1, "sudo rm -rf /"), (2, "ls")], "k long, body string")
+    named = spark.createDataFrame([(1, "a"), (2, "b")], "k long, id string")
+    made = keys.join(F.broadcast(named), "k").select("id", F.concat("body", F.lit(" #")).alias("script"))
+    out = long_form(made)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(" in plan and plan.count("filter(array(") == 1
+    assert {r["id"] for r in out.collect()} == {"a"}
