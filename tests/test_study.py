@@ -296,3 +296,11 @@ def test_vectors_in_place_equal_the_joined_ones(spark, monkeypatch):
         for key, vector in found.items():
             assert vector.size == joined[key].size and list(vector.indices) == list(joined[key].indices)
             assert list(vector.values) == pytest.approx(list(joined[key].values), abs=1e-12)
+
+
+def test_the_split_is_written_once_and_dealt_to_all_cores(spark, sf):
+    rows = holdout(spark, sf).select("id", "category", "label", "script")
+    train, test = learning.split_frames(rows)
+    assert sorted(train.inputFiles()) == sorted(test.inputFiles())
+    assert {f.rdd.getNumPartitions() for f in (train, test)} == {spark.sparkContext.defaultParallelism}
+    assert train.count() + test.count() == rows.count()
