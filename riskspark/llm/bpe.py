@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text, map_arrow, slices
+from .common import id_and_text, map_arrow, release_memory, slices
 
 NO_RANK = 1 << 62
 ID_BITS = 20
@@ -228,8 +228,21 @@ def decode(encoded: DataFrame, vocabulary: str, keep_ids: bool = True) -> DataFr
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): every text encoded, and decoded again from its ids."""
-    return decode(encode(docs, vocabulary, id_col, text_col), vocabulary)
+    """(doc_id, ids, decoded): every text encoded, and decoded again from its ids.
+
+    One worker a core does both: two steps would be two workers at a time, each with
+    the tables of the tokenizer, and the ids would travel between them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(vocabulary)
+        for part in slices(batches, "text", 1 << 20):
+            ids = [own.encode(t) for t in part.column("text").to_pylist()]
+            decoded = pa.array([own.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _ragged(ids), decoded],
+                                             names=["doc_id", "ids", "decoded"])
+        release_memory()
+
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_columns() -> list[Column]:

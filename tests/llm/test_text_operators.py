@@ -56,6 +56,14 @@ def test_bpe_equals_the_library(docs):
     assert digest.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_round_trip_is_one_step(docs):
+    """Encoding and decoding share the workers and their tables."""
+    coded = bpe.round_trip(docs, VOCABULARY)
+    assert coded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = by_id(bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY))
+    assert by_id(coded) == apart
+
+
 def test_bpe_short_and_long_words_merge_alike():
     own, rng = bpe.Tokenizer(VOCABULARY), random.Random(2)
     for _ in range(300):
