@@ -229,8 +229,9 @@ def encode_long(texts: DataFrame, vocabulary: str, pattern: str, chunk: int, ove
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str = WORD_PATTERN, id_col: str = "doc_id",
-           text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+           text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): whole texts as ids, packed as little-endian unsigned 32-bit integers.
+    ``decoded`` adds the bytes that the ids decode to, in the step that makes the ids.
 
     A null or empty text has no ids (an empty binary); a null id stays null; repeated
     rows each get theirs; texts of any length are encoded whole; an empty table gives no
@@ -244,13 +245,18 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str = WORD_PATTERN, id_col
         own = ranks_of(vocabulary, pattern)
         for batch in slices(batches, "text"):
             ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([own.decode(i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][:len(columns)])
 
-    short = map_arrow(rows.where(F.length("text") <= chunk), run, "doc_id long, ids binary")
+    short = map_arrow(rows.where(F.length("text") <= chunk), run,
+                      "doc_id long, ids binary" + (", decoded binary" if decoded else ""))
     scratch = Scratch(docs.sparkSession, "chunked-bpe")
     keyed = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     coded = scratch.store(encode_long(keyed.select("key", "text"), vocabulary, pattern, chunk, overlap, scratch), "coded")
-    return short.unionByName(keyed.select("doc_id", "key").join(coded, "key").select("doc_id", "ids"))
+    long = keyed.select("doc_id", "key").join(coded, "key").select("doc_id", "ids")
+    return short.unionByName(decode(long, vocabulary, pattern) if decoded else long)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str = WORD_PATTERN) -> DataFrame:
@@ -266,4 +272,4 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str = WORD_PATTERN) ->
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str = WORD_PATTERN, **options) -> DataFrame:
     """(doc_id, ids, decoded): every text encoded, and decoded again from its ids."""
-    return decode(encode(docs, vocabulary, pattern, **options), vocabulary, pattern)
+    return encode(docs, vocabulary, pattern, decoded=True, **options)

@@ -70,3 +70,13 @@ def test_chunks_hold_their_overlap(spark):
         chunked_bpe.encode(docs, VOCABULARY, chunk=8, overlap=9)
     with pytest.raises(ValueError):
         chunked_bpe.encode(docs, VOCABULARY, chunk=8, overlap=3)
+
+
+def test_short_texts_are_decoded_where_they_are_encoded(spark):
+    docs = spark.createDataFrame([(6, "naïve café 漢字 \x85 end"), (7, None)], "doc_id long, text string")
+    coded = chunked_bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # short texts, and the decoding of long ones
+    apart = chunked_bpe.decode(chunked_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY,
+                               public_tokenizers.PATTERN)
+    assert sorted(coded.collect()) == sorted(apart.collect())
