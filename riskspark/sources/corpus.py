@@ -129,8 +129,8 @@ def result_document(analyzed: DataFrame) -> DataFrame:
 
 
 def write_results(analyzed: DataFrame, path: str) -> None:
-    """One JSON text per script, below ``path``."""
-    result_document(analyzed).select("result").write.mode("overwrite").text(path)
+    """One JSON text per script, below ``path``, compressed (any reader of text unpacks it)."""
+    result_document(analyzed).select("result").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def extract_script(reply: Column) -> Column:

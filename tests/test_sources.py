@@ -6,8 +6,8 @@ import os
 import numpy as np
 import pytest
 
-from riskspark.operators import stats
-from riskspark.sources.corpus import conversations_to_corpus, read_corpus
+from riskspark.operators import scoring, stats
+from riskspark.sources.corpus import conversations_to_corpus, read_corpus, write_results
 
 
 @pytest.mark.parametrize("name", ["data/v1/data", "b+c", "with blank", "a%20b"])
@@ -65,3 +65,11 @@ def test_tails_of_rare_events_are_not_cut(spark):
     points = spark.createDataFrame([("a", 0, 1 - 2.0**-51)], "cls string, b long, u double")
     (row,) = stats.binomial_draws(params, points, ["cls"]).collect()
     assert row.draw > 14
+
+
+def test_results_are_written_compressed(spark, scripts, tmp_path):
+    path = str(tmp_path / "results")
+    write_results(scoring.analyze(scripts("ls -la /srv/x\n" * 50, "sudo rm -rf /")), path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    assert spark.read.json(path).count() == 2
