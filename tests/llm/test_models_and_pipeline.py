@@ -4,6 +4,7 @@ import os
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +96,36 @@ def test_fit_takes_one_bounded_row_of_each_id(spark, monkeypatch):
     assert {len(t) for t in seen} == {toxicity.FIT_CHARS}
 
 
+def test_fit_learns_from_rows_beyond_the_sample(spark, labelled, monkeypatch):
+    docs, labels, rows = labelled
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    few = toxicity.fit(docs, labels, fit_rows=120)
+    taught = [t.lower().replace("!", "").split() for i, t, *_ in rows
+              if i is not None and i < 600 and i % 5 and zlib.crc32(str(i).encode()) % 3 != 1 and not toxicity.calibrates(i)]
+    times = Counter(w for words in taught for w in set(words))
+    assert few.rows.tolist() == sorted(toxicity.bucket(w) for w, n in times.items() if n > 1)
+    wide = [t for i, t, *_ in rows if i is not None and i < 600 and zlib.crc32(str(i).encode()) % 3 == 1]
+    truth = np.array([any(b in t.lower() for b in BAD) for t in wide])
+    found = few.scores(wide) >= 0.5
+    assert (found & truth).sum() >= 0.9 * truth.sum() and (found & ~truth).sum() <= 0.05 * len(wide)
+    assert set(few.thresholds) <= {"", "de", "en"} and few.thresholds
+
+
+def test_fit_reads_the_end_of_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 8)) + " pad" * 40 + (" grumpf" if i % 2 else "")) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    short, toxicity.FIT_CHARS = toxicity.FIT_CHARS, 100
+    try:
+        net = toxicity.fit(docs, labels)
+    finally:
+        toxicity.FIT_CHARS = short
+    assert toxicity.bucket("grumpf") in net.rows.tolist()
+    right = (net.scores([t for _, t in rows]) >= 0.5) == np.array([i % 2 == 1 for i, _ in rows])
+    assert right.mean() > 0.9
+
+
 def test_network_windows_end_with_their_text():
     net = toxicity.train(["bad one two", "good one two"] * 30, np.array([1.0, 0.0] * 30))
     alone = [net.logits([t])[0] for t in ("bad", "one two", "")]
