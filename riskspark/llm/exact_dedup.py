@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, id_and_text, unused
+from .common import Scratch, id_and_text
 
 
 def never_null(digest: Column) -> Column:
@@ -72,19 +72,15 @@ def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
 
     Rows go by id and text: of several rows of the kept id and text any one stays, and
     another text under a dropped id is not touched.  Rows with a null id stay (they
-    cannot be told apart by id)."""
-    scratch = Scratch(docs.sparkSession, "exact")
-    rows = text_groups(docs, keep, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(
-        "doc_id", F.unhex("text_sha256").alias("_s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("_n"))
-    one_id, one_s = unused(docs, "_id"), unused(docs, "_s")
-    marked = scratch.store(rows.filter("not kept OR _n > 1").select(
-        F.col("doc_id").alias(one_id), F.col("_s").alias(one_s), F.col("kept").alias("kept")), "marked")
-    id_, mine = F.col(id_col).cast("long"), sha256(F.coalesce(F.col(text_col), F.lit("")))
-    same_row = (id_ == F.col(one_id)) & (mine == F.col(one_s))
-    gone, again = marked.filter("not kept").drop("kept"), marked.filter("kept").drop("kept")
-    left = docs.join(gone, same_row, "left_anti")
-    if again.isEmpty():
-        return left
-    one = left.join(again, same_row, "left_semi").withColumns({one_id: id_, one_s: mine}).dropDuplicates(
-        [one_id, one_s]).drop(one_id, one_s)
-    return left.join(again, same_row, "left_anti").unionByName(one)
+    cannot be told apart by id).  A text moves once, with the row that holds it, and copies
+    collapse before they move."""
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_null"))
+    best = F.max_by if keep == "max" else F.min_by
+    # equal bytes meet here: the text is part of the key
+    first = docs.filter(id_.isNotNull()).select(
+        text.alias("_t"), content_hash(text).alias("_h"), id_.alias("_i"), rest.alias("_r")).groupBy("_h", "_t").agg(
+        best("_r", "_i").alias("_r"))
+    whole = [F.when(~F.col("_r._null"), F.col("_t")).alias(c) if c == text_col else F.col("_r").getField(c).alias(c)
+             for c in docs.columns]
+    return first.select(*whole).unionByName(docs.filter(id_.isNull()))

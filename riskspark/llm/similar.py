@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, t
     pairs = scratch.store(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     hashes = scratch.store(nodes.select("node", "c").join(wanted, "node"), f"{name}-nodes")
-    found = texts.select(content_hash(F.col("text")).alias("c"), "text").join(hashes, "c")
+    found = texts.select(content_hash(F.col("text")).alias("c"), "text").join(hashes.hint("merge"), "c")
     # a node has one content hash: by both, rows stay where the join has put them
     held = scratch.store(found.groupBy("c", "node").agg(F.first("text").alias("text")).drop("c"), f"{name}-texts")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text")), "a").join(
@@ -226,4 +226,5 @@ def drop_similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, radius:
         F.struct("doc_id", "c") != F.col("_best")).select(
         F.col("doc_id").alias(gone_id), F.col("c").alias(gone_c)).distinct(), "gone")
     mine = content_hash(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (mine == F.col(gone_c)), "left_anti")
+    # merge joins of texts keep one plan at every size, so a small run shows what a large one moves
+    return docs.join(gone.hint("merge"), (F.col(id_col).cast("long") == F.col(gone_id)) & (mine == F.col(gone_c)), "left_anti")

@@ -52,6 +52,11 @@ def test_exact_stage_keeps_columns(docs):
     assert exact_dedup.text_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_stage_moves_a_text_once(docs):
+    plan = exact_dedup.drop_copies(docs, keep="max")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def plain_fingerprint(text, size=4):
     words = text.encode().lower().split()
     k = min(size, len(words))
