@@ -6,12 +6,15 @@ same weights as sparse vectors.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import fixed as K, ranking
 from ..functions.lexical import _all
@@ -52,6 +55,68 @@ def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(_all(F.lower(text), r"\S+"), lambda w: _padded_grams(w, low, high)))
 
 
+PIECE_GRAMS = 1 << 16  # grams of a text that are written out at a time
+
+
+def gram_digest(text: str) -> tuple[int, int, str]:
+    """Number of character grams of a lower-case text, number of different ones, and the
+    MD5 of all in order, joined by ``|``.
+
+    A gram is a window of 3 to 5 code points without a blank inside, blanks around every
+    word standing for its padding.  Windows are sorted as numbers, a gram that ends early
+    first, which is the order of code points and of UTF-8 bytes."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    held = np.full(len(points) + 2, 33, np.uint64)  # code points plus one: zero is no point
+    held[1:-1] = np.where((points >= 9) & (points <= 13), 33, points + 1)
+    word = held != 33
+    width = 12 if held.max() < 1 << 12 else 21
+    firsts, lasts, inside = [], [], np.ones(len(held), bool)
+    for n in (3, 4, 5):
+        inside = inside[:len(held) - n + 1] & word[n - 2:len(held) - 1]
+        at = np.flatnonzero(inside)
+        parts = [held[at + i] if i < n else np.uint64(0) for i in range(5)]
+        firsts.append(parts[0] << np.uint64(2 * width) | parts[1] << np.uint64(width) | parts[2])
+        lasts.append(np.broadcast_to(parts[3] << np.uint64(width) | parts[4], at.shape))
+    first, last = np.concatenate(firsts), np.concatenate(lasts)
+    if width == 12:
+        both = np.sort(first << np.uint64(24) | last)
+        first, last = both >> np.uint64(24), both & np.uint64((1 << 24) - 1)
+    else:
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+    distinct = int(((first[1:] != first[:-1]) | (last[1:] != last[:-1])).sum()) + (len(first) > 0)
+    body, mask = hashlib.md5(), np.uint64((1 << width) - 1)
+    for start in range(0, len(first), PIECE_GRAMS):
+        f, l = first[start:start + PIECE_GRAMS], last[start:start + PIECE_GRAMS]
+        table = np.empty((len(f), 6), "<u4")
+        for column, value, place in ((1, f, 2), (2, f, 1), (3, f, 0), (4, l, 1), (5, l, 0)):
+            table[:, column] = value >> np.uint64(place * width) & mask
+        table[:, 0] = ord("|") + 1
+        flat = table.ravel()
+        flat = flat[flat != 0] - 1
+        body.update(flat[start == 0:].astype("<u4").tobytes().decode("utf-32-le").encode())
+    return len(first), distinct, body.hexdigest()
+
+
+def char_wb_digests(df: DataFrame, id_col: str = "id", text: str = "script") -> DataFrame:
+    """(id, n, n_distinct, digest): ``gram_digest`` of the grams that ``char_wb_ngrams``
+    gives.  No list of grams stands in a row.  A null text has no digest and the sizes that
+    Spark gives for null."""
+    lower = df.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("_t"))
+    none = lower.sparkSession.range(1).select(F.size(F.lit(None).cast("array<string>"))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_digest(t.as_py()) if t.is_valid else (none, none, None) for t in batch.column("_t")]
+            n, distinct, digest = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int32()), pa.array(distinct, pa.int32()), pa.array(digest, pa.string())],
+                names=["id", "n", "n_distinct", "digest"])
+
+    return lower.mapInArrow(run, StructType([lower.schema["id"], *(
+        StructField(c, t) for c, t in (("n", IntegerType()), ("n_distinct", IntegerType()), ("digest", StringType())))]))
+
+
 def by_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows placed by id once: every later grouping by (id, ...) stays where it is,
     so texts travel but their many grams never do."""
@@ -198,7 +263,6 @@ class TextSpace:
 
     def _vectors_in_place(self, rows: DataFrame, keep: list[str], name: str, size: int) -> DataFrame:
         from pyspark.ml.linalg import VectorUDT
-        from pyspark.sql.types import StructField, StructType
 
         text = F.lower(F.coalesce(F.col("script"), F.lit("")))
         split = by_id(rows.select(*keep, "script")).select(
@@ -229,7 +293,6 @@ def sparse_vector(size: int, indices: Column, values: Column) -> Column:
     a plain struct, which a JSON round trip turns into the type on the JVM.
     """
     from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql.types import StructField, StructType
 
     stored = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),

@@ -641,7 +641,8 @@ def word_ngrams(spark, sf):
 
 @query("char_wb_ngrams", _gram_sql(SQL_CHAR_GRAMS))
 def char_wb_ngrams(spark, sf):
-    return _grams(spark, sf, textml.char_wb_ngrams)
+    out = textml.char_wb_digests(spread_texts(spark, sf), "doc_id", "text")
+    return out.withColumnRenamed("id", "doc_id")
 
 
 TFIDF = f"""WITH w AS (SELECT doc_id, text, {SQL_WORDS} AS w FROM documents),

@@ -155,6 +155,17 @@ def test_ngrams_and_tfidf(spark):
     assert all(r["s"] == pytest.approx(1.0) for r in norms)
 
 
+def test_char_digests_equal_the_grams(spark):
+    texts = ["a abc", "", " ", "Run run RUN the \u00c9t\u00e9 \U0001f600x \uffee z", "w" * 200, "a\u00a0b c\u2003d\x0be", "\x00a\x00 b|| |", "\U0001f600", None, "the the " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, script string")
+    g = textml.char_wb_ngrams(F.col("script"))
+    want = df.select("id", F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("n_distinct"),
+                     F.md5(F.array_join(F.array_sort(g), "|")).alias("digest"))
+    out = textml.char_wb_digests(df)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "flatten" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_baseline_separates_the_classes(spark, sf):
     rows = holdout(spark, sf).select("id", "category", "label", "script")
     train, test = learning.split_frames(rows)
