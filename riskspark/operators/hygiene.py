@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lexical import _all
@@ -50,6 +55,9 @@ def shingles(words: Column, size: int = 3) -> Column:
 
 # A shingle of more sets than this is hot: it never forms pairs on its own.
 HOT_SETS = 1000
+# Shingles that workers hold to put them last: the most frequent, of at least LATE_DF sets.
+LATE_ROWS = 1 << 20
+LATE_DF = 4
 
 
 def _set_rows(df: DataFrame, side: str, size: int, id_col: str, text: str) -> DataFrame:
@@ -62,13 +70,64 @@ def _set_rows(df: DataFrame, side: str, size: int, id_col: str, text: str) -> Da
     return rows.withColumn("_set", F.unhex(F.md5(F.to_json("_s")))).withColumn("side", F.lit(side))
 
 
-def _ordered_sets(rows: DataFrame, threshold: float, hot_sets: int) -> DataFrame:
-    """One row per distinct set and side: its shingles rare first, split into the
-    prefix that is not hot (``rare``) and all hot ones (``hot``), and how many of
+def _ordered_in_place(sets: DataFrame, late: pa.Table, threshold: float, hot_sets: int) -> DataFrame:
+    """``_ordered_sets`` without moving a shingle: the frequent ones (``late``: s, df) come
+    last by their counts, all others first by their hashes."""
+    s, df = late.column("s").to_numpy(), late.column("df").to_numpy()
+    order = np.argsort(s)
+    shared = sets.sparkSession.sparkContext.broadcast((s[order], df[order]))
+    names = ["side", "_set", "n", "_s", "rare", "hot", "reach"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late_s, late_df = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                n, all_, rare, hot, reach = [], [], [], [], []
+                for one in part.column("_s"):
+                    own = one.values.to_numpy()
+                    times = np.zeros(len(own), np.int64)
+                    if len(late_s):
+                        at = np.minimum(np.searchsorted(late_s, own), len(late_s) - 1)
+                        times = np.where(late_s[at] == own, late_df[at], 0)
+                    by = np.lexsort((own, times))
+                    own, times = own[by], times[by]
+                    # 1e-9 keeps ceil() from rounding up an exact product
+                    last = len(own) - math.ceil(len(own) * threshold - 1e-9) + 1
+                    n.append(len(own))
+                    all_.append(own)
+                    rare.append(own[:last][times[:last] <= hot_sets])
+                    hot.append(own[times > hot_sets])
+                    reach.append(last - len(rare[-1]))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("side"), part.column("_set"), pa.array(n, pa.int32()), pa.array(all_, longs),
+                     pa.array(rare, longs), pa.array(hot, longs), pa.array(reach, pa.int32())], names=names)
+
+    return sets.select("side", "_set", "_s").mapInArrow(
+        run, "side string, _set binary, n int, _s array<long>, rare array<long>, hot array<long>, reach int")
+
+
+def _ordered_sets(rows: DataFrame, threshold: float, hot_sets: int, late_rows: int = LATE_ROWS) -> DataFrame:
+    """One row per distinct set and side: its shingles rare first (those of few sets in any
+    one order), split into the prefix that is not hot (``rare``) and all hot ones (``hot``), and how many of
     the hot ones the prefix reaches (``reach``)."""
     sets = rows.groupBy("side", "_set").agg(F.any_value("_s").alias("_s"))
+    sets = stored(sets, "distinct")
     posting = sets.select("side", "_set", F.explode("_s").alias("s"))
     freq = posting.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    many = stored(freq.filter(F.col("df") >= min(LATE_DF, hot_sets + 1)), "frequent")
+    counts = sorted(((r["df"], r["count"]) for r in many.groupBy("df").count().collect()), reverse=True)
+    if sum(n for df, n in counts if df > hot_sets) <= late_rows:
+        held, cut = 0, None
+        for df, n in counts:
+            held += n
+            if held > late_rows:
+                break
+            cut = df
+        late = many.filter(F.col("df") >= cut) if cut is not None else many.limit(0)
+        return _ordered_in_place(sets, late.toArrow(), threshold, hot_sets)
+    # more hot shingles than a worker should hold: their counts are joined to all of them
     # one list per set, as long as its text
     ordered = posting.join(freq, "s").groupBy("side", "_set").agg(
         F.array_sort(F.collect_list(F.struct("df", "s"))).alias("_o")).withColumn("n", F.size("_o"))

@@ -113,6 +113,21 @@ def test_near_duplicates_match_brute_force(spark):
         assert got == pytest.approx(want)
 
 
+def test_sets_are_ordered_in_place_as_by_a_join(spark):
+    texts = [f"a b c d{i % 7} e f{i % 3} g h i{i}" for i in range(60)] + ["x y z"]
+    rows = hygiene._set_rows(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "a", 3, "id", "text")
+
+    def parts(late_rows, hot):
+        out = hygiene._ordered_sets(rows, 0.5, hot, late_rows)
+        moved = "Exchange" in out._jdf.queryExecution().executedPlan().toString()
+        return moved, {bytes(r["_set"]): (r["n"], sorted(r["_s"]), sorted(r["hot"]), r["reach"] + len(r["rare"])) for r in out.collect()}
+
+    for hot in (0, 3, 30):
+        (still, got), (moved, want) = parts(1000, hot), parts(0, hot)
+        assert got == want and moved and not still
+    assert parts(5, 1000)[1] == parts(1000, 1000)[1]
+
+
 def test_a_group_of_near_copies_meets_once_per_fold(spark):
     core = " ".join(f"c{i}" for i in range(100))
     a = spark.createDataFrame([(i, f"{core} a{i}") for i in range(200)], "id long, text string")
