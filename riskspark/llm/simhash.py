@@ -220,7 +220,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
     """(id, component_id) of every id in ``edges`` (a, b): the smallest id reachable.
 
     Large-star and small-star rounds in turn; each round is written to the shared
-    folder.  The number of rounds grows with the logarithm of the largest component.
+    folder.  The number of rounds grows with the logarithm of the largest component.  Merge
+    joins keep one plan at every size: each broadcast would leave a thread in the driver.
     """
     current = scratch.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                             .filter("a <> b").distinct(), f"{name}-0")
@@ -229,10 +230,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
         # large star: every larger neighbour of a goes to the smallest of all
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         # small star: every smaller neighbour, and a itself, goes to the smallest
-        small = large.join(least, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        small = large.join(least.hint("merge"), "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         following = small.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
         round_ += 1
         following = scratch.store(following, f"{name}-{round_}")

@@ -109,7 +109,7 @@ def _candidates(open_: DataFrame, threshold: float) -> DataFrame:
     """
     mine = open_.withColumn("part", F.pmod(F.xxhash64("x.node"), F.col("parts")).cast("int")).select("key", "part", "x")
     others = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("y"))
-    shared = mine.join(others, ["key", "part"]).filter((F.col("x.g") > F.col("y.g")) & _sizes_fit(threshold))
+    shared = mine.join(others.hint("merge"), ["key", "part"]).filter((F.col("x.g") > F.col("y.g")) & _sizes_fit(threshold))
     counted = shared.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
         F.count(F.lit(1)).alias("common"), F.max("x.n").alias("n"), F.max("y.n").alias("m"),
         F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
@@ -125,12 +125,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, t
     """The pairs (a, b) of nodes whose texts reach the threshold."""
     pairs = scratch.store(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    hashes = scratch.store(nodes.select("node", "c").join(wanted, "node"), f"{name}-nodes")
+    hashes = scratch.store(nodes.select("node", "c").join(wanted.hint("merge"), "node"), f"{name}-nodes")
     found = texts.select(content_hash(F.col("text")).alias("c"), "text").join(hashes.hint("merge"), "c")
     # a node has one content hash: by both, rows stay where the join has put them
     held = scratch.store(found.groupBy("c", "node").agg(F.first("text").alias("text")).drop("c"), f"{name}-texts")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text")).hint("merge"), "a").join(
+        held.select(F.col("node").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -174,41 +174,41 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8, radiu
     # prefix keys of more than one set; most have one and go no further
     counted = prefixes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     shared = scratch.store(counted.filter("_n > 1").select("key"), "shared")
-    rows = scratch.store(prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key")).join(shared, "key"), "rows")
+    rows = scratch.store(prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key")).join(shared.hint("merge"), "key"), "rows")
     for done in ("sets", "several", "shared"):
         scratch.drop(done)
 
     # one set stands for each fingerprint, and one for each key
     stands = scratch.store(nodes.groupBy("fp").agg(F.min("node").alias("node")), "stands")
     near = links(stands.select(F.col("fp").alias("id"), "fp"), radius, blocks, bucket_rows)
-    by_print = near.join(stands.select(F.col("fp").alias("a"), F.col("node").alias("_a")), "a").join(
-        stands.select(F.col("fp").alias("b"), F.col("node").alias("_b")), "b").select(
+    by_print = near.join(stands.select(F.col("fp").alias("a"), F.col("node").alias("_a")).hint("merge"), "a").join(
+        stands.select(F.col("fp").alias("b"), F.col("node").alias("_b")).hint("merge"), "b").select(
         F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"))
     equal = nodes.select("fp", F.col("node").alias("a")).join(
-        stands.select("fp", F.col("node").alias("b")), "fp").filter("a <> b").select("a", "b")
+        stands.select("fp", F.col("node").alias("b")).hint("merge"), "fp").filter("a <> b").select("a", "b")
     least = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("y"))
-    by_key = rows.select("key", F.struct("node", "n", "pos").alias("x")).join(least, "key").filter(
+    by_key = rows.select("key", F.struct("node", "n", "pos").alias("x")).join(least.hint("merge"), "key").filter(
         (F.col("x.node") > F.col("y.node")) & _fits(threshold)).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     first = _verified(by_print.unionByName(equal).unionByName(by_key), nodes, texts, size, threshold, scratch, "first")
 
     # the rest: sets that share a key and are not yet connected
     known = components(first, scratch, "first-star").withColumnRenamed("id", "node")
-    placed = scratch.store(rows.join(known, "node", "left").select(
+    placed = scratch.store(rows.join(known.hint("merge"), "node", "left").select(
         "key", F.struct(F.coalesce("component_id", "node").alias("g"), "node", "n", "pos").alias("x")), "placed")
     scratch.drop("rows")
     scratch.drop("stands")
     mixed = placed.groupBy("key").agg(
         F.min("x.g").alias("_g"), F.max("x.g").alias("_h"), F.count(F.lit(1)).alias("_n")).filter("_g < _h").select(
         "key", F.ceil(F.col("_n") / key_rows).cast("int").alias("parts"))
-    open_ = scratch.store(placed.join(mixed, "key"), "open")
+    open_ = scratch.store(placed.join(mixed.hint("merge"), "key"), "open")
     scratch.drop("placed")
     second = _verified(_candidates(open_, threshold), nodes, texts, size, threshold, scratch, "second")
 
     for done in ("open", "slim"):
         scratch.drop(done)
     roots = components(first.unionByName(second), scratch).withColumnRenamed("id", "node")
-    return prints.select("doc_id", "c", "node").join(roots, "node", "left").select(
+    return prints.select("doc_id", "c", "node").join(roots.hint("merge"), "node", "left").select(
         "doc_id", "c", F.coalesce("component_id", "node").alias("component_id"))
 
 
@@ -222,7 +222,7 @@ def drop_similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, radius:
         "doc_id IS NOT NULL"), "groups")
     best = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "c")).alias("_best"))
     gone_id, gone_c = unused(docs, "_gone"), unused(docs, "_c")
-    gone = scratch.store(groups.join(best, "component_id").filter(
+    gone = scratch.store(groups.join(best.hint("merge"), "component_id").filter(
         F.struct("doc_id", "c") != F.col("_best")).select(
         F.col("doc_id").alias(gone_id), F.col("c").alias(gone_c)).distinct(), "gone")
     mine = content_hash(F.coalesce(F.col(text_col), F.lit("")))

@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, id_and_text, map_arrow, slices, unused
+from .common import Scratch, id_and_text, map_arrow, release_memory, slices, unused
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -143,19 +144,16 @@ def no_square(net: Network) -> dict:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, batch: int = STEP_ROWS, seed: int = 5) -> Network:
     """Fit a network; labels are 0 or 1.  Without both classes it stays at the prior."""
     rng = np.random.default_rng(seed)
-    found = [[bucket(w) for w in WORD.findall(t.lower())] for t in texts]
-    seen: dict[int, int] = {}
-    for one in found:
-        for b in set(one):
-            seen[b] = seen.get(b, 0) + 1
-    kept = np.array(sorted(b for b, n in seen.items() if n > 1), dtype=np.int64)
+    found = [np.array([bucket(w) for w in WORD.findall(t.lower())], np.int32) for t in texts]
+    seen, n = np.unique(np.concatenate([np.unique(one) for one in found] or [np.empty(0, np.int32)]), return_counts=True)
+    kept = seen[n > 1].astype(np.int64)
     net = untrained(kept, rng)
     positives = float(labels.sum())
     if not 0 < positives < len(labels):
         net.shift = 0.0 if not len(labels) else (4.0 if positives else -4.0)
         net.out[:] = 0
         return net
-    lists = [padded(net, np.array(one, dtype=np.int64)) for one in found]
+    lists = [padded(net, one) for one in found]
     weight = np.where(labels == 1, min(5.0, (len(labels) - positives) / positives), 1.0)
     net.square = no_square(net)
     for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(lists)))):
@@ -294,15 +292,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: in
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
         F.min(F.struct(F.substring("text", 1, FIT_CHARS).alias("text"), "lang")).alias("_row"),
         F.max(F.length("text") > FIT_CHARS).alias("cut"))
-    rows = sorted(one.select("doc_id", "_row.text", "_row.lang", "label", "cut").collect())
-    train_part = [r for r in rows if not calibrates(r.doc_id)]
-    held_part = [r for r in rows if calibrates(r.doc_id)]
-    net = train([r.text for r in train_part], np.array([float(r.label) for r in train_part]), epochs)
-    calibrate(net, [r.text for r in held_part], np.array([float(r.label) for r in held_part]),
-              [r.lang for r in held_part], odds)
-    more = any(total.get(label, 0) > most[label] for label in most) or any(r.cut for r in rows)
+    # as columns, and given back to the system once read: the driver lives on
+    rows = one.select("doc_id", "_row.text", "_row.lang", F.col("label").cast("double"), "cut").toArrow().sort_by("doc_id")
+    held = pa.array([calibrates(i) for i in rows.column("doc_id").to_pylist()], pa.bool_())
+    train_part, held_part = rows.filter(pa.compute.invert(held)), rows.filter(held)
+    any_cut = any(rows.column("cut").to_pylist())
+    del rows
+    net = train(train_part.column("text").to_pylist(), train_part.column("label").to_numpy(), epochs)
+    calibrate(net, held_part.column("text").to_pylist(), held_part.column("label").to_numpy(),
+              held_part.column("lang").to_pylist(), odds)
+    del train_part, held_part
+    release_memory()
+    more = any(total.get(label, 0) > most[label] for label in most) or any_cut
     # a network that has met one class only stays at the prior
-    return train_on(net, texts, known, scratch) if more and getattr(net, "square", None) else net
+    if more and getattr(net, "square", None):
+        net = train_on(net, texts, known, scratch)
+        release_memory()
+    return net
 
 
 def calibrates(doc_id: int) -> bool:

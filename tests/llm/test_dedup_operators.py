@@ -328,3 +328,20 @@ def test_stages_count_rows_by_id_and_text(spark):
         [(5, "B"), (9, "A"), (None, "A"), (7, f"so {item} it"), (7, "clean"), (8, "C")])
     left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert rows_by(left, "doc_id", "text") == collections.Counter(r for r in rows if item not in r[1])
+
+
+def test_near_dedup_rounds_broadcast_nothing(spark, monkeypatch):
+    """Each broadcast leaves a thread and its memory in the driver.  Sets keep theirs: their
+    keys stay in place; so do buckets of links, for the few that are cut."""
+    plans, store = [], Scratch.store
+
+    def watched(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(self, df, name)
+
+    monkeypatch.setattr(Scratch, "store", watched)
+    texts = [" ".join(f"w{j}" for j in range(60)) + f" tail{i % 3}" for i in range(12)] + [f"other text {i} of its own" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar.drop_similar(df).count() == 6
+    assert {name for name, plan in plans if "BroadcastExchange" in plan} <= {"rows-of", "shared", "rows", "first-pairs"}
+    assert any("star" in name for name, _ in plans)
