@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions import fixed as K
-from riskspark.operators import hygiene, learning, mutate, scoring, textml
+from riskspark.operators import gramtotals, hygiene, learning, mutate, scoring, textml
 from riskspark.operators.scoring import RiskModel
 from riskspark.plans import all_checks, all_queries
 from riskspark.plans.registry import corpus, holdout
@@ -330,3 +330,21 @@ def test_the_split_is_written_once_and_dealt_to_all_cores(spark, sf):
     assert sorted(train.inputFiles()) == sorted(test.inputFiles())
     assert {f.rdd.getNumPartitions() for f in (train, test)} == {spark.sparkContext.defaultParallelism}
     assert train.count() + test.count() == rows.count()
+
+
+def test_tfidf_totals_equal_the_weights(spark, monkeypatch):
+    texts = ["Run the build a", "run the tests", "été the the", "", None, "x’y \U0001f600z the the run", "\U0001f600z w" + "v" * 300, "a b"]
+    rows = [(i % 6 if i < 100 else None, texts[i % 7 % len(texts)] if i % 5 else f"own {i} the build") for i in range(104)]
+    df = spark.createDataFrame(rows, "id long, script string")
+    known = textml.tfidf(df).filter("id IS NOT NULL").groupBy("analyzer", "term", "df").agg(
+        F.any_value("idf").alias("idf"), F.sum("weight").alias("t"), F.max("weight").alias("m")).collect()
+    want = {(r.analyzer, r.term): (r.df, pytest.approx(r.idf), pytest.approx(r.t), pytest.approx(r.m)) for r in known}
+    assert len(want) > 50
+    for held, size, arrays in ((1 << 20, 1 << 18, 1 << 28), (40, 3, 1 << 28), (1 << 20, 1 << 18, 0)):
+        monkeypatch.setattr(gramtotals, "HELD_TERMS", held)
+        monkeypatch.setattr(gramtotals, "SLICE_TOKENS", size)
+        out = gramtotals.tfidf_totals(df, array_bytes=arrays)
+        assert {(r[0], r[1]): tuple(r)[2:] for r in out.collect()} == want
+        if arrays:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Generate" not in plan and "Window" not in plan
