@@ -340,11 +340,10 @@ def test_tfidf_totals_equal_the_weights(spark, monkeypatch):
         F.any_value("idf").alias("idf"), F.sum("weight").alias("t"), F.max("weight").alias("m")).collect()
     want = {(r.analyzer, r.term): (r.df, pytest.approx(r.idf), pytest.approx(r.t), pytest.approx(r.m)) for r in known}
     assert len(want) > 50
-    for held, size, arrays in ((1 << 20, 1 << 18, 1 << 28), (40, 3, 1 << 28), (1 << 20, 1 << 18, 0)):
+    for held, size, part_bytes in ((1 << 20, 1 << 18, 1 << 20), (40, 3, 1 << 20), (40, 3, 20)):
         monkeypatch.setattr(gramtotals, "HELD_TERMS", held)
         monkeypatch.setattr(gramtotals, "SLICE_TOKENS", size)
-        out = gramtotals.tfidf_totals(df, array_bytes=arrays)
+        out = gramtotals.tfidf_totals(df, part_bytes=part_bytes)
         assert {(r[0], r[1]): tuple(r)[2:] for r in out.collect()} == want
-        if arrays:
-            plan = out._jdf.queryExecution().executedPlan().toString()
-            assert "Generate" not in plan and "Window" not in plan
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Broadcast" not in plan
