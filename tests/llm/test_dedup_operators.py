@@ -345,3 +345,48 @@ def test_near_dedup_rounds_broadcast_nothing(spark, monkeypatch):
     assert similar.drop_similar(df).count() == 6
     assert {name for name, plan in plans if "BroadcastExchange" in plan} <= {"rows-of", "shared", "rows", "first-pairs"}
     assert any("star" in name for name, _ in plans)
+
+
+def far_copies(rng, groups=2, copies=120):
+    """Texts with up to eight words of one text changed, left out or cut off, most of them
+    too far from each other; some have a line of their own group in common."""
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(140)]
+        line = [f"g{g}line{i}" for i in range(12)]
+        for c in range(copies):
+            words = list(base)
+            for _ in range(rng.randint(0, 8)):
+                at = rng.randrange(len(words))
+                words[at:at + 1] = [] if rng.random() < 0.2 else [f"z{rng.randrange(10**6)}" if rng.random() < 0.8 else base[at // 2]]
+            if rng.random() < 0.2:
+                words = words[:rng.randint(100, 140)]
+            texts.append(" ".join(words + line * (c % 4 == 0)))
+    return [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+
+
+@pytest.mark.parametrize("pair_rows", [4, 32])
+def test_many_far_copies_equal_brute_force(spark, pair_rows):
+    rows = far_copies(random.Random(8))
+    # links that SimHash finds would hide what the prefix search misses
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), radius=0, blocks=1, pair_rows=pair_rows)
+    found, group = {r.doc_id: r.component_id for r in got.collect()}, plain_similar(rows)
+    assert len(set(group.values())) > 20
+    assert len(found) == len(rows) and len(set(zip(found.values(), (group[i] for i in found)))) == len(
+        set(found.values())) == len(set(group.values()))
+
+
+def test_far_copies_do_not_meet_in_pairs(spark, monkeypatch):
+    """Copies of one text share most runs with all others, but meet by what they change.
+    Met by every run of their prefixes, these 271 sets made 96,667 rows."""
+    counts, meetings = [], similar._meetings
+
+    def watched(*args):
+        out = meetings(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "_meetings", watched)
+    rows = far_copies(random.Random(9), 1, 300)
+    similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(rows) == 271 and len(counts) == 2 and sum(counts) < 20_000
