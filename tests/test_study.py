@@ -3,6 +3,7 @@ import math
 import os
 import re
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -347,3 +348,36 @@ def test_tfidf_totals_equal_the_weights(spark, monkeypatch):
         assert {(r[0], r[1]): tuple(r)[2:] for r in out.collect()} == want
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["evaluate_baselines", "evasion_budget_text", "external_fpr_text", "text_rf",
+                                  "tuned_text_logreg", "union_features_tfidf"])
+def test_text_models_are_fitted_on_all_training_rows(spark, monkeypatch, name):
+    """Every space and every model of a query gets all training rows: 1800 of the 3000 scripts."""
+    from riskspark.plans import all_queries, study_queries
+    from riskspark.sources.synthesize import synthesize_corpus
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def space(train, *_):
+        seen.append(train.count())
+        if name != "evaluate_baselines" or len(seen) == 2:
+            raise Stop
+        return SimpleNamespace(folded=lambda *a: None)
+
+    def some(key, n, **more):
+        return lambda spark, sf: synthesize_corpus(spark.range(n).withColumnRenamed("id", key), key, **more)
+
+    monkeypatch.setattr(study_queries, "corpus", some("k", 3000))
+    monkeypatch.setattr(study_queries, "holdout", some("k", 20, seed=2024))
+    monkeypatch.setattr(study_queries, "benign", some("k", 20, seed=77))
+    monkeypatch.setattr(textml, "TextSpace", space)
+    monkeypatch.setattr(textml, "training_vectors", lambda *a: None)
+    monkeypatch.setattr(textml, "fit_baseline", lambda *a: None)
+    monkeypatch.setattr(textml, "scored_by_all", lambda *a: spark.createDataFrame([], "id string, label int, detector string, risk double, predicted boolean"))
+    with pytest.raises(Stop):
+        all_queries()[name](spark, "")
+    assert 1750 < seen[0] < 1850  # 60 % of every stratum
+    assert seen[1:] == ([3000] if name == "evaluate_baselines" else [])
