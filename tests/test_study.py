@@ -381,3 +381,23 @@ def test_text_models_are_fitted_on_all_training_rows(spark, monkeypatch, name):
         all_queries()[name](spark, "")
     assert 1750 < seen[0] < 1850  # 60 % of every stratum
     assert seen[1:] == ([3000] if name == "evaluate_baselines" else [])
+
+
+def test_tfidf_terms_travel_packed(spark):
+    """A part sends one row for each range of hashes, not one for each term."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        h = np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+        sent = gramtotals._terms_sent(h, rng.integers(0, 1 << 24, n, np.uint64), np.arange(n, dtype=np.uint64))
+        back = gramtotals._terms_of(*sent)
+        assert (back[0] == h).all() and (back[2] == np.arange(n)).all()
+        assert n < 500 or sum(map(len, sent[1:])) < 14 * n
+    df = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(30))) for i in range(60)], "id long, script string")
+    known = textml.tfidf(df).groupBy("analyzer", "term", "df").agg(F.sum("weight").alias("t"), F.max("weight").alias("m"))
+    want = {(r.analyzer, r.term): (r.df, pytest.approx(r.t), pytest.approx(r.m)) for r in known.collect()}
+    for range_bytes in (1 << 20, 200):
+        out = gramtotals.tfidf_totals(df, part_bytes=500, range_bytes=range_bytes)
+        assert {(r.analyzer, r.term): (r.df, r.total_weight, r.max_weight) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Window" not in plan
