@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.lexical import _all
 from ..session import stored
+from . import gramtotals as G
 
 
 def dedup_exact(df: DataFrame, text: str = "script", order: str = "id") -> DataFrame:
@@ -60,6 +63,8 @@ LATE_ROWS = 1 << 20
 LATE_DF = 4
 
 
+# ``_set_rows`` and ``_ordered_sets`` order whole sets by one table of counts; ``near_duplicates``
+# goes by ``_candidate_sets``, which has no such table.
 def _set_rows(df: DataFrame, side: str, size: int, id_col: str, text: str) -> DataFrame:
     """(side, id, _set, _s): sorted shingle hashes of every non-empty text."""
     # The filter is on the text: on the shingles it would compute them twice.
@@ -145,6 +150,138 @@ def _ordered_sets(rows: DataFrame, threshold: float, hot_sets: int, late_rows: i
         hashes(hot).alias("hot"), (last - F.size(rare)).alias("reach"))
 
 
+ORDERED_ROWS = 256
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+    """(part, what came back to it, its texts): the rows of a part come together."""
+    place, held = None, ([], [])
+    for now, turn, rows in G._runs(batches):
+        if now != place and place is not None:
+            yield place, *held
+            held = ([], [])
+        place = now
+        held[turn].append(rows)
+    if place is not None:
+        yield place, *held
+
+
+def _values(rows: list[pa.RecordBatch]) -> np.ndarray:
+    found = [r.column("_s").flatten().to_numpy(zero_copy_only=False) for r in rows]
+    return np.concatenate(found).view("<u8") if found else np.empty(0, "<u8")
+
+
+def _side_counts(ranges: int):
+    """``G.SENT``: sets of either side of a part that hold a shingle (``g``: a, ``n``: b)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, _, texts in _parts(batches):
+            values = _values(texts)
+            lengths = [pa.compute.list_value_length(r.column("_s")).to_numpy(zero_copy_only=False) for r in texts]
+            of_a = np.concatenate([np.repeat(pa.compute.equal(r.column("side"), "a").to_numpy(zero_copy_only=False), n)
+                                   for r, n in zip(texts, lengths)])
+            h, at = np.unique(values, return_inverse=True)
+            n_a, n_all = np.bincount(at[of_a], minlength=len(h)), np.bincount(at, minlength=len(h))
+            home = G.range_of(h, ranges)
+            cuts = np.flatnonzero(np.diff(home, prepend=-1))
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+                yield G._sent([(place, int(home[start]), *G._terms_sent(
+                    h[start:end], n_a[start:end], n_all[start:end] - n_a[start:end]))], G.SENT)
+
+    return run
+
+
+COMMON = "part int, range int, k int, df binary"
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``COMMON``: the sets that hold a shingle, zero if all are of one side, to each part
+    that sent it, in the order it was sent."""
+    for rows in G._by_range(batches):
+        h, n_a, n_b = (np.concatenate(c) for c in zip(*(G._terms_of(r["k"], r["h"], r["g"], r["n"]) for r in rows)))
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        a, b = np.add.reduceat(n_a[order], first), np.add.reduceat(n_b[order], first)
+        df = np.empty(len(h), np.uint64)
+        df[order] = np.repeat(np.where((a > 0) & (b > 0), a + b, 0), np.diff(first, append=len(h)))
+        start = 0
+        for r in rows:
+            yield G._sent([(r["part"], r["range"], r["k"], G.packed(df[start:start + r["k"]]))], COMMON)
+            start += r["k"]
+
+
+def _pruned(threshold: float, hot_sets: int):
+    """The sets that may reach ``threshold``, each with its shingles of both sides.
+
+    The order of all shingles puts those of one side first, then those of few sets.  A set
+    with no shingle of both sides among its first ``n - ceil(t * n) + 1`` has no partner."""
+    longs = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, back, texts in _parts(batches):
+            known = [G.unpacked(d, k) for r in back for d, k in zip(r.column("df").to_pylist(), r.column("k").to_pylist())]
+            df = np.concatenate([*known, np.empty(0, np.uint64)]).astype(np.int64)
+            h, at = np.unique(_values(texts), return_inverse=True)
+            if len(h) != len(df):
+                raise ValueError("the texts have changed between two readings")
+            times, start = df[at], 0
+            for rows in texts:
+                kept, out = [], []
+                for i, own in enumerate(rows.column("_s")):
+                    own = own.values.to_numpy()
+                    d = times[start:start + len(own)]
+                    start += len(own)
+                    # 1e-9 keeps ceil() from rounding up an exact product
+                    last = len(own) - math.ceil(len(own) * threshold - 1e-9) + 1
+                    both = d > 0
+                    last -= len(own) - int(both.sum())
+                    if last < 1:
+                        continue
+                    n, own, d = len(own), own[both], d[both]
+                    by = np.lexsort((own, d))
+                    own, d = own[by], d[by]
+                    rare = own[:last][d[:last] <= hot_sets]
+                    name = hashlib.md5(n.to_bytes(8, "little") + own.tobytes()).digest()
+                    kept.append(i)
+                    out.append((name, n, own, rare, own[d > hot_sets], last - len(rare)))
+                for cut in range(0, len(kept), ORDERED_ROWS):
+                    some = rows.take(pa.array(kept[cut:cut + ORDERED_ROWS], pa.int64()))
+                    columns = zip(zip(*out[cut:cut + ORDERED_ROWS]), (pa.binary(), pa.int32(), longs, longs, longs, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("side"), some.column("id"), *(pa.array(c, kind) for c, kind in columns)],
+                        names=["side", "id", "_set", "n", "_s", "rare", "hot", "reach"])
+
+    return run
+
+
+def _candidate_sets(texts: DataFrame, threshold: float, size: int, hot_sets: int,
+                    part_bytes: int, range_bytes: int) -> DataFrame:
+    """(side, id, _set, n, _s, rare, hot, reach) of the texts (side, id, _t) that may have a
+    partner on the other side; ``_s`` holds the shingles found on both.
+
+    Texts are dealt to parts twice; what a part knows of its shingles travels packed, so no
+    set moves and no shingle is a row."""
+    texts = texts.filter(F.col("_t").rlike(r"\S"))
+    n_bytes = texts.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    parts = max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // part_bytes))
+    ranges = max(1, -(-n_bytes // range_bytes))
+    rows = texts.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("turn"), "side", "id", "_t")
+    words = _all(F.lower(F.col("_t")), r"\S+").alias("_w")
+    hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col("_w"), size), lambda s: F.xxhash64(s)))).alias("_s")
+    first = rows.repartition(parts, "part").sortWithinPartitions("part").select("part", "turn", "side", words)
+    counted = first.select("part", "turn", "side", hashed).mapInArrow(_side_counts(ranges), G.SENT)
+    common = counted.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_common, COMMON)
+    none = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("side", "id", "_t")}
+    both = common.select("part", F.lit(0).alias("turn"), *none.values(), "range", "k", "df").unionByName(rows.select(
+        "*", F.lit(0).alias("range"), F.lit(0).alias("k"), F.lit(None).cast("binary").alias("df")))
+    second = both.repartition(parts, "part").sortWithinPartitions("part", "turn", "range").select(
+        "part", "turn", "side", "id", words, "k", "df").select("part", "turn", "side", "id", hashed, "k", "df")
+    longs = ArrayType(LongType())
+    return second.mapInArrow(_pruned(threshold, hot_sets), StructType([
+        StructField("side", StringType()), StructField("id", rows.schema["id"].dataType), StructField("_set", BinaryType()),
+        StructField("n", IntegerType()), *(StructField(c, longs) for c in ("_s", "rare", "hot")),
+        StructField("reach", IntegerType())]))
+
+
 def _jaccard(common: Column, n_a: Column, n_b: Column) -> Column:
     return common / (n_a + n_b - common)
 
@@ -159,13 +296,13 @@ def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
                                  F.col("n").alias(f"n_{name}"))
 
     def whole(name: str) -> DataFrame:
-        return side(name).select(F.col("_set").alias(f"set_{name}"), F.col("_s").alias(f"s_{name}"))
+        return side(name).select(F.col("_set").alias(f"set_{name}"), F.col("_s").alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
 
     fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
     pairs = prefix("a").join(prefix("b"), "s").filter(fits).select("set_a", "set_b").distinct()
     both = pairs.join(whole("a"), "set_a").join(whole("b"), "set_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.select("set_a", _jaccard(common, F.size("s_a"), F.size("s_b")).alias("similarity"))
+    return both.select("set_a", _jaccard(common, F.col("n_a"), F.col("n_b")).alias("similarity"))
 
 
 def _hot_pairs(sets: DataFrame) -> DataFrame:
@@ -201,21 +338,25 @@ def _hot_pairs(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(a: DataFrame, b: DataFrame, threshold: float = 0.85, size: int = 3,
-                    id_col: str = "id", text: str = "text", hot_sets: int = HOT_SETS) -> DataFrame:
+                    id_col: str = "id", text: str = "text", hot_sets: int = HOT_SETS,
+                    part_bytes: int = G.PART_BYTES, range_bytes: int = G.RANGE_BYTES) -> DataFrame:
     """Rows of ``a`` whose best shingle Jaccard against any row of ``b`` reaches
     ``threshold``: (id, similarity).  Exact; no pair of unrelated rows is formed.
 
-    * Rows with one and the same shingle set fold into one set first, so copies
-      meet once however many there are.
+    * Shingles of one side only are counted and left out; sets with too many of them for
+      any partner are not written at all.
+    * Rows with equal sets fold into one set first, so copies meet once however many there are.
     * Shingles are ordered rare first.  The first shingle two sets share lies among
       the first ``n - ceil(t * n) + 1`` of each when they are as similar as the
       threshold; only such pairs are candidates.
     * A shingle of more than ``hot_sets`` sets forms no pairs of sets: sets fold by
       their hot shingles and meet once per fold.
     """
-    rows = stored(_set_rows(a, "a", size, id_col, text).unionByName(
-        _set_rows(b, "b", size, id_col, text)), "shingles")
-    sets = stored(_ordered_sets(rows, threshold, hot_sets), "sets")
+    texts = [df.select(F.lit(side).alias("side"), F.col(id_col).alias("id"), F.col(text).alias("_t"))
+             for side, df in (("a", a), ("b", b))]
+    rows = stored(_candidate_sets(texts[0].unionByName(texts[1]), threshold, size, hot_sets, part_bytes, range_bytes), "sets")
+    sets = stored(rows.groupBy("side", "_set").agg(*[F.any_value(c).alias(c) for c in (
+        "n", "_s", "rare", "hot", "reach")]), "distinct")
     best = _rare_pairs(sets, threshold).unionByName(_hot_pairs(sets)).groupBy("set_a").agg(
         F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold)
     members = rows.filter("side = 'a'").select("id", F.col("_set").alias("set_a"))

@@ -401,3 +401,29 @@ def test_tfidf_terms_travel_packed(spark):
         assert {(r.analyzer, r.term): (r.df, r.total_weight, r.max_weight) for r in out.collect()} == want
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" not in plan and "Window" not in plan
+
+
+def test_near_duplicates_move_no_sets_and_write_no_shingle_of_one_side(spark, monkeypatch):
+    own = [(i, " ".join(f"a{i}x{k}" for k in range(40))) for i in range(50)]
+    near = [(100 + i, f"one two three four five six seven eight nine ten {i}") for i in range(4)]
+    a = spark.createDataFrame(own + near + [(200, "x y"), (201, None), (202, " "), (203, "x y")], "id long, text string")
+    b = spark.createDataFrame([(1000 + i, f"b {t}") for i, t in own] + [(1100 + i, f"zero {t}") for i, t in near] + [(1200, "X  y")],
+                              "id long, text string")
+    written = {}
+
+    def store(df, name):
+        written[name] = df.cache()
+        return written[name]
+
+    monkeypatch.setattr(hygiene, "stored", store)
+    for part_bytes, range_bytes in ((1 << 20, 1 << 20), (300, 200)):
+        got = {r.id: r.similarity for r in hygiene.near_duplicates(
+            a, b, 0.8, part_bytes=part_bytes, range_bytes=range_bytes).collect()}
+        # 9 own shingles, one more beside them; and 38 of 39
+        want = {i: 38 / 39 for i, _ in own} | {i: 9 / 10 for i, _ in near} | {200: 1.0, 203: 1.0}
+        assert got == pytest.approx(want)
+        assert set(written) == {"sets", "distinct"}
+        held = [s for r in written["sets"].collect() for s in r["_s"]]
+        assert max(map(held.count, held)) >= 2 and min(map(held.count, held)) >= 2  # none of one side
+    lone = spark.createDataFrame(own[:9], "id long, text string")
+    assert hygiene.near_duplicates(lone, b.filter("id >= 1100"), 0.8).collect() == [] and written["sets"].count() == 0
